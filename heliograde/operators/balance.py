@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograde.operators import ranking as R
+from heliograde.session import durable
 
 
 def proportional_targets(counts: DataFrame, group: str, now: str, wanted: str) -> DataFrame:
@@ -44,7 +45,7 @@ def fill_to_shares(shares: DataFrame, group: str, now: str, share: str, totals:
         group, now, share, "__c0", F.explode(F.array(*[F.lit(n) for n in totals])).alias("total")
     ).withColumn("__need", F.greatest(F.col("total") - F.col("__c0"), F.lit(0)))
     gap = F.col(share) * F.col("total") - F.col(now)  # in units
-    long = long.withColumn("__neg_gap", -gap)
+    long = durable(long.withColumn("__neg_gap", -gap))
     dist = R.value_counts(long, ["total"], "__neg_gap", {"k": F.lit(1), "g": F.col("__neg_gap")})
     p = R.running_sums(dist, ["total"], "__neg_gap", ["k", "g"])
     need = long.groupBy("total").agg(F.max("__need").alias("__need"))
@@ -57,10 +58,10 @@ def fill_to_shares(shares: DataFrame, group: str, now: str, share: str, totals:
         .select("total", "m.level")
     )
     raw = F.greatest(F.lit(0.0), -F.col("__neg_gap") - F.col("level"))
-    long = long.join(level, "total").withColumn("__raw", F.when(F.col("__need") > 0, F.round(raw, 9)).otherwise(0.0))
+    long = durable(long.join(level, "total")).withColumn("__raw", F.when(F.col("__need") > 0, F.round(raw, 9)).otherwise(0.0))
     left = long.groupBy("total").agg((F.max("__need") - F.sum(F.floor("__raw"))).alias("__left"))
     frac = F.round(F.col("__raw") - F.floor("__raw"), 9)
-    long = long.join(left, "total").withColumn("__frac", frac)
+    long = durable(long.join(left, "total").withColumn("__frac", frac))
     dist2 = R.value_counts(long.filter("__frac > 0"), ["total"], "__frac", {"k": F.lit(1)})
     rank = R.running_sums(dist2, ["total"], "__frac", ["k"], (0.0, 1.0)).select(
         "total", "__frac", (F.col("total_k") - F.col("below_k") - F.col("k")).alias("__ahead"), F.col("k").alias("__tied")
