@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heliograde.functions.scalars import excluded_land, land_suitability
 from heliograde.operators import ranking as R
+from heliograde.session import durable
 
 # Direction of each criterion (benefit or cost) and published weight vectors.
 DIRECTION = {
@@ -68,53 +69,73 @@ def normalise(points: DataFrame, country: str, criteria: list[str], ranges: Data
     return out.select(*points.columns, *cols)
 
 
-def _weights(vector: dict[str, float], with_land: bool) -> dict[str, Column]:
-    """Weights over the criteria a country has, renormalised; land gets the mean of the full vector."""
-    w = {c: F.when(F.col(f"has_{c}"), F.lit(v)).otherwise(0.0) for c, v in vector.items()}
-    if with_land:
-        w["land"] = F.lit(sum(vector.values()) / len(vector))
-    total = sum(w.values(), F.lit(0.0))
-    return {c: v / F.nullif(total, F.lit(0.0)) for c, v in w.items()}
+def config_weights(ranges: DataFrame, country: str, vectors: dict[str, dict[str, float]], modes: tuple[str, ...], order: list[str]) -> DataFrame:
+    """One row per country with an array of (config, land mode, weights in criterion ``order``).
 
+    Weights cover the criteria the country has and sum to one; land joins with the mean of the
+    full vector where the mode asks for it. The table is as long as there are countries.
+    """
+    have = ranges.groupBy(country).agg(F.collect_set("criterion").alias("__have"))
+    rows = []
+    for name, vector in vectors.items():
+        for mode in modes:
+            full = dict(vector)
+            if mode == "weighted" and "land" not in vector:
+                full["land"] = sum(vector.values()) / len(vector)
+            raw = F.array(*[
+                F.lit(full.get(c, 0.0)) if c == "land" or c not in full else F.when(F.array_contains("__have", c), full[c]).otherwise(0.0) for c in order
+            ])
+            rows.append(F.struct(F.lit(name).alias("config"), F.lit(mode).alias("land"), raw.alias("raw")))
+    total = lambda r: F.nullif(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
+    return have.select(country, F.inline(F.array(*rows))).select(
+        country, "config", "land", F.transform("raw", lambda x: x / total(F.col("raw"))).alias("w")
+    ).groupBy(country).agg(F.collect_list(F.struct("config", "land", "w")).alias("__configs"))
 
-def _value(c: str) -> Column:
-    # A criterion the country lacks has weight zero and must not blank the row.
-    return F.when(~F.col(f"has_{c}"), 0.0).otherwise(F.col(f"n_{c}")) if c != "land" else F.col("n_land")
 
+def _terms(x: Column, w: Column, f) -> Column:
+    """Sum of f(weight, value) over criteria; a weight of zero never blanks the row."""
+    parts = F.zip_with(x, w, lambda v, k: F.when(k == 0, 0.0).otherwise(f(k, v)))
+    return F.aggregate(parts, F.lit(0.0), lambda a, t: a + t)
 
-def weighted_sum(w: dict[str, Column]) -> Column:
-    return sum((wt * _value(c) for c, wt in w.items()), F.lit(0.0))
 
+def weighted_sum(x: Column, w: Column) -> Column:
+    return _terms(x, w, lambda k, v: k * v)
 
-def topsis(w: dict[str, Column]) -> Column:
+
+def topsis(x: Column, w: Column) -> Column:
     """Closeness to the ideal point 1 against the anti-ideal 0, every point on its own."""
-    plus = F.sqrt(sum(((wt * _value(c) - wt) * (wt * _value(c) - wt) for c, wt in w.items()), F.lit(0.0)))
-    minus = F.sqrt(sum((wt * _value(c) * wt * _value(c) for c, wt in w.items()), F.lit(0.0)))
+    plus = F.sqrt(_terms(x, w, lambda k, v: (k * v - k) * (k * v - k)))
+    minus = F.sqrt(_terms(x, w, lambda k, v: k * v * k * v))
     return minus / (plus + minus + EPS)
 
 
 def score_configs(points: DataFrame, country: str, keep: list[str], vectors: dict[str, dict[str, float]] | None = None,
                   directions: dict[str, str] = DIRECTION, cover: str = "worldcover", protected: str = "wdpa",
                   modes: tuple[str, ...] = ("excl", "weighted"), minimum: int = MIN_FINITE_LAND) -> DataFrame:
-    """Long table (keep..., config, aggregator, land, score): one score per point and config.
+    """Long table (keep..., config, aggregator, land, mcda): one score per point and config.
 
     A config scores exactly the points complete for its own criteria; excluded ground gets 0.
-    All configs come from one pass over the normalised points.
+    Normalised criteria travel as one array and meet the weight arrays of all configs in one
+    explode, so the plan does not grow with the number of configs.
     """
     vectors = vectors or config_vectors()
     criteria = sorted({c for v in vectors.values() for c in v if c != "land"})
-    ranges = criterion_ranges(points, country, criteria, minimum=minimum)
-    normal = normalise(points, country, criteria, ranges, directions).withColumn("n_land", land_suitability(cover)).withColumn(
-        "__excl", excluded_land(cover, protected)
-    ).withColumn("has_land", F.lit(True))
-    parts = []
-    for name, vector in vectors.items():
-        for mode in modes:
-            w = _weights(vector, mode == "weighted" and "land" not in vector)
-            for agg, s in (("wlc", weighted_sum(w)), ("topsis", topsis(w))):
-                score = F.when(s.isNotNull() & F.col("__excl"), 0.0).otherwise(s)
-                parts.append(F.struct(F.lit(name).alias("config"), F.lit(agg).alias("aggregator"), F.lit(mode).alias("land"), score.alias("mcda")))
-    return normal.select(*keep, F.inline(F.array(*parts))).filter(F.col("mcda").isNotNull())
+    order = [*criteria, "land"]
+    ranges = durable(criterion_ranges(points, country, criteria, minimum=minimum))  # countries x criteria rows
+    normal = normalise(points, country, criteria, ranges, directions)
+    arrays = normal.select(
+        *keep, *([] if country in keep else [country]), excluded_land(cover, protected).alias("__excl"),
+        F.array(*[F.col(f"n_{c}") for c in criteria], land_suitability(cover).cast("double")).alias("__x"),
+    )
+    long = arrays.join(config_weights(ranges, country, vectors, modes, order), country).select(
+        *keep, "__excl", "__x", F.inline("__configs")
+    )
+    pair = F.array(
+        F.struct(F.lit("wlc").alias("aggregator"), weighted_sum(F.col("__x"), F.col("w")).alias("mcda")),
+        F.struct(F.lit("topsis").alias("aggregator"), topsis(F.col("__x"), F.col("w")).alias("mcda")),
+    )
+    out = long.select(*keep, "config", "land", "__excl", F.inline(pair)).filter(F.col("mcda").isNotNull())
+    return out.select(*keep, "config", "aggregator", "land", F.when(F.col("__excl"), 0.0).otherwise(F.col("mcda")).alias("mcda"))
 
 
 def reclassify(value: Column, criterion: str) -> Column:
@@ -124,3 +145,13 @@ def reclassify(value: Column, criterion: str) -> Column:
         inside = (value >= lo) & (value < hi)
         out = F.when(inside, cls) if out is None else out.when(inside, cls)
     return out
+
+
+def weight_table(ranges: DataFrame, country: str, vectors: dict[str, dict[str, float]]) -> DataFrame:
+    """(country, config, criterion, weight): vectors cut to the criteria a country has, plus land, summing to one."""
+    rows = [F.struct(F.lit(n).alias("config"), F.lit(c).alias("criterion"), F.lit(v).alias("w")) for n, vec in vectors.items() for c, v in vec.items()]
+    have = ranges.select(country, F.col("criterion").alias("__c")).select(country, "__c", F.inline(F.array(*rows))).filter(F.col("__c") == F.col("criterion")).drop("__c")
+    land = [F.struct(F.lit(n).alias("config"), F.lit("land").alias("criterion"), F.lit(sum(vec.values()) / len(vec)).alias("w")) for n, vec in vectors.items()]
+    full = have.unionByName(ranges.select(country).distinct().select(country, F.inline(F.array(*land))))
+    total = full.groupBy(country, "config").agg(F.sum("w").alias("__t"))
+    return full.join(total, [country, "config"]).select(country, "config", "criterion", (F.col("w") / F.col("__t")).alias("weight"))

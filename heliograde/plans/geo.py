@@ -183,30 +183,28 @@ def trim(spark, sf):
     return TH.trim_densest(d, "det_id", "country", keep, (40000.0, 320000.0))
 
 
-CC = f"""WITH RECURSIVE {xyz('detectors', 'det_id', 'a')}, b AS (SELECT * FROM a), e AS (SELECT a.det_id AS u, b.det_id AS v FROM a, b WHERE {DIST} <= 3000),
-    reach(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON r.v = e.u), cc AS (SELECT u AS det_id, min(v) AS cluster_id FROM reach GROUP BY u)"""
+CC = f"""WITH RECURSIVE scattered AS ({T.SQL['scattered']}), {xyz('scattered', 'site_id', 'a')}, b AS (SELECT * FROM a), e AS (SELECT a.site_id AS u, b.site_id AS v FROM a, b WHERE {DIST} <= 3000),
+    reach(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM reach r JOIN e ON r.v = e.u), cc AS (SELECT u AS site_id, min(v) AS cluster_id FROM reach GROUP BY u)"""
 
 
-@query("sm15_chain_clusters", T.sql("SELECT 1", "detectors").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT 1", "") + ", " + CC.split("WITH RECURSIVE ", 1)[1] + " SELECT det_id, cluster_id FROM cc")
+@query("sm15_chain_clusters", CC + " SELECT site_id, cluster_id FROM cc")
 def clusters(spark, sf):
-    return TH.chain_clusters(T.detectors(spark, sf), "det_id", 3000.0)
+    return TH.chain_clusters(T.scattered(spark, sf), "site_id", 3000.0)
 
 
-@query("sm15_cluster_envelopes", T.sql("SELECT 1", "detectors").replace("WITH ", "WITH RECURSIVE ", 1).replace(" SELECT 1", "") + ", " + CC.split("WITH RECURSIVE ", 1)[1]
-       + """ SELECT cluster_id, count(*) AS num_sites, round(min(lon) - 1500 / (cos(radians((min(lat) + max(lat)) / 2)) * 111320), 6) AS minx, round(min(lat) - 1500 / 111320.0::DOUBLE, 6) AS miny,
-    round(max(lon) + 1500 / (cos(radians((min(lat) + max(lat)) / 2)) * 111320), 6) AS maxx, round(max(lat) + 1500 / 111320.0::DOUBLE, 6) AS maxy FROM cc JOIN detectors USING (det_id) GROUP BY cluster_id""")
+@query("sm15_cluster_envelopes", CC + """ SELECT cluster_id, count(*) AS num_sites, round(min(lon) - 1500 / (cos(radians((min(lat) + max(lat)) / 2)) * 111320), 6) AS minx, round(min(lat) - 1500 / 111320.0::DOUBLE, 6) AS miny,
+    round(max(lon) + 1500 / (cos(radians((min(lat) + max(lat)) / 2)) * 111320), 6) AS maxx, round(max(lat) + 1500 / 111320.0::DOUBLE, 6) AS maxy FROM cc JOIN scattered USING (site_id) GROUP BY cluster_id""")
 def envelopes(spark, sf):
-    d = T.detectors(spark, sf).select("det_id", "lon", "lat")
-    return C.cluster_envelopes(d.join(TH.chain_clusters(d, "det_id", 3000.0), "det_id"), "cluster_id", 1500.0)
+    d = T.scattered(spark, sf)
+    return C.cluster_envelopes(d.join(TH.chain_clusters(d, "site_id", 3000.0), "site_id"), "cluster_id", 1500.0)
 
 
 @query("sm15_separation_sweep")
 def sweep(spark, sf):
     """Cluster counts for a ladder of separations."""
-    d = T.detectors(spark, sf).select("det_id", "lon", "lat")
-    out = None
-    for km in (2, 4):
-        c = TH.chain_clusters(d, "det_id", km * 1000.0).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    d, out = T.scattered(spark, sf), None
+    for km in (1, 2, 4):
+        c = TH.chain_clusters(d, "site_id", km * 1000.0).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
         row = c.agg(F.lit(km).alias("separation_km"), F.count(F.lit(1)).alias("clusters"), F.max("n").alias("largest"))
         out = row if out is None else out.unionByName(row)
     return out

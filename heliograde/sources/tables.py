@@ -55,6 +55,14 @@ def dense_sites(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def scattered(spark: SparkSession, sf: str) -> DataFrame:
+    """Irregularly spread sites in the dense box: one row per customer."""
+    k = F.col("c_custkey")
+    return read(spark, sf, "customer").select(
+        k.alias("site_id"), (F.lit(10) + ((k * k * 31 + k * 17) % 1999) / 1000.0).alias("lon"), (F.lit(40) + ((k * k * 57 + k * 91) % 1997) / 1000.0).alias("lat")
+    )
+
+
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scored points: sites of two sources and random land, many tied scores, some NULL."""
     l = read(spark, sf, "lineitem")
@@ -161,6 +169,8 @@ SQL = {
         ((c_custkey * 37) % 5000)::DOUBLE AS nn_m FROM customer JOIN nation ON c_nationkey = n_nationkey""",
     "dense_sites": """SELECT s_suppkey AS dense_id, s_nationkey AS nation, 10 + ((s_suppkey * 7919) % 2000) / 1000.0::DOUBLE AS lon,
         40 + ((s_suppkey * 104729) % 2000) / 1000.0::DOUBLE AS lat, (2017 + s_suppkey % 7)::INTEGER AS year FROM supplier""",
+    "scattered": """SELECT c_custkey AS site_id, 10 + ((c_custkey * c_custkey * 31 + c_custkey * 17) % 1999) / 1000.0::DOUBLE AS lon,
+        40 + ((c_custkey * c_custkey * 57 + c_custkey * 91) % 1997) / 1000.0::DOUBLE AS lat FROM customer""",
     "scores": """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 'C' || (l_suppkey % 13)::VARCHAR AS country,
         CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE (floor(l_extendedprice)::BIGINT % 1000) / 1000.0::DOUBLE END AS score,
         ((floor(l_extendedprice)::BIGINT * 7 + l_partkey) % 1000) / 1000.0::DOUBLE AS score_b,
