@@ -149,3 +149,8 @@ def folded_aspect(aspect_deg: Column, slope_deg: Column, lat: Column) -> Column:
 def northness01(aspect_deg: Column) -> Column:
     """The map variant of the aspect score: [0, 1], the same in both hemispheres."""
     return (1.0 - F.cos(F.radians(aspect_deg))) / 2.0
+
+
+def top_flags(df, pct: str):
+    """Site flags from its land percentile: inside the top 20, 10 and 5 % of land."""
+    return df.withColumns({"top20": F.col(pct) >= 0.80, "top10": F.col(pct) >= 0.90, "top5": F.col(pct) >= 0.95})

@@ -19,7 +19,7 @@ from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograde.functions.vectors import cosine, dot, literal_vector
+from heliograde.functions.vectors import dot, l2_norm
 from heliograde.operators import ranking as R
 from heliograde.operators.sampling import balanced_weight
 
@@ -114,7 +114,9 @@ def perceptron(train: DataFrame, inputs: int, label: str = "label", seed: int =
 def multi_prototype(train: DataFrame, df: DataFrame, vec: str, k: int, keep: list[str], seed: int = 0) -> DataFrame:
     """Best cosine to any of k k-means centres of the positives."""
     centres = KMeans(k=k, seed=seed, featuresCol="features").fit(with_features(train, vec)).clusterCenters()
-    best = F.greatest(*[cosine(F.col(vec), literal_vector(c)) for c in centres]) if len(centres) > 1 else cosine(F.col(vec), literal_vector(centres[0]))
+    # Centres as one constant array of unit vectors: k x d numbers, one expression for any k.
+    units = F.lit([[float(x) for x in c / np.linalg.norm(c)] for c in centres])
+    best = F.array_max(F.transform(units, lambda c: dot(F.col(vec), c))) / F.nullif(l2_norm(vec), F.lit(0.0))
     return df.select(*keep, best.alias("score"))
 
 

@@ -11,7 +11,7 @@ from heliograde.functions import scalars as X
 from heliograde.functions.hashing import hash_order, hash_order_sql as H
 from heliograde.operators import ranking as R
 from heliograde.operators import summaries as A
-from heliograde.plans.evaluation import METRIC, config_metrics
+from heliograde.plans.evaluation import METRIC, config_metrics, profile_sql
 from heliograde.plans.registry import query
 from heliograde.sources import files
 from heliograde.sources import tables as T
@@ -94,6 +94,20 @@ def metric_rows(spark, sf):
     return I.result_rows(m).select("experiment", "scope", "value", "n_pos")
 
 
+@query("s10_stage_events", "SELECT event_type AS stage, CASE WHEN value > 100 THEN 'slow' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1, 2")
+def stage_events(spark, sf):
+    """Stage events written as JSON lines and rolled up by stage and status."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/log"
+    e = T.read(spark, sf, "events")
+    I.append_stages(e.select(F.col("event_type").alias("stage"), F.when(F.col("value") > 100, "slow").otherwise("ok").alias("status"), "ts"), path)
+    back = spark.read.schema("stage string, status string").json(path)
+    return back.groupBy("stage", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("s11_replace_by_key", """WITH cur AS (SELECT experiment, scope, max(event_id) AS v FROM results_log WHERE event_id % 2 = 0 GROUP BY ALL), new AS (SELECT experiment, scope, -min(event_id) AS v FROM results_log WHERE event_id % 11 = 1 GROUP BY ALL)
     SELECT * FROM cur WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.experiment = cur.experiment AND new.scope = cur.scope) UNION ALL SELECT * FROM new""", ("results_log",))
 def replace(spark, sf):
@@ -306,6 +320,15 @@ def land_suit(spark, sf):
     return T.criteria(spark, sf).groupBy(F.coalesce("worldcover", F.lit(-1)).alias("worldcover")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(X.land_suitability("worldcover")), 6).alias("suitability"))
 
 
+@query("f14_percentile_flags", """WITH p AS (SELECT country, sc, lo / tn AS pct FROM (""" + profile_sql("scores", "country") + """)) SELECT s.country, count(*) AS n, count(*) FILTER (WHERE pct >= 0.8) AS top20, count(*) FILTER (WHERE pct >= 0.9) AS top10, count(*) FILTER (WHERE pct >= 0.95) AS top5
+    FROM scores s JOIN p ON p.country = s.country AND p.sc = s.score WHERE label = 1 GROUP BY s.country""", ("scores",))
+def percentile_flags(spark, sf):
+    from heliograde.operators.evaluate import site_percentiles
+
+    s = X.top_flags(site_percentiles(T.scores(spark, sf), ["country"], KEYS), "land_pct")
+    return s.groupBy("country").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(c) for c in ("top20", "top10", "top5")])
+
+
 @query("f15_nested_json", """WITH j AS (SELECT p_partkey, [{'name': 'slope', 'imp': p_size % 10}, {'name': 'grid', 'imp': p_partkey % 10}, {'name': 'road', 'imp': (p_size + p_partkey) % 7}] AS l FROM part)
     SELECT p_partkey, array_to_string(list_transform(list_slice(list_sort(list_transform(l, lambda x: {'k': -x.imp, 'name': x.name})), 1, 2), lambda x: x.name || ' ' || (-x.k)::VARCHAR), ', ') AS top2 FROM j""")
 def nested_json(spark, sf):

@@ -39,6 +39,11 @@ def append_stage(spark: SparkSession, path: str, stage: str, cmd: str, status: s
     df.coalesce(1).write.mode("append").json(path)
 
 
+def append_stages(events: DataFrame, path: str) -> None:
+    """Many stage events as JSON lines."""
+    events.write.mode("append").json(path)
+
+
 def remaining(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work items whose key has no result yet."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
