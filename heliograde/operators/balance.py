@@ -16,7 +16,7 @@ from heliograde.session import durable
 def proportional_targets(counts: DataFrame, group: str, now: str, wanted: str) -> DataFrame:
     """Shares of both columns, the proportional target at the present total, and the deficit."""
     t = counts.agg(F.sum(now).alias("__n"), F.sum(wanted).alias("__p"))
-    return counts.join(t, F.lit(True)).select(
+    return counts.transform(R.attach_row, t).select(
         group, now, wanted,
         (F.col(wanted) / F.nullif(F.col("__p"), F.lit(0))).alias("pos_share"),
         (F.col(now) / F.greatest(F.col("__n"), F.lit(1))).alias("neg_share"),
@@ -41,7 +41,7 @@ def fill_to_shares(shares: DataFrame, group: str, now: str, share: str, totals:
     above the level are untouched. N at or below the present total adds nothing.
     """
     base = shares.agg(F.sum(now).alias("__c0"))
-    long = shares.join(base, F.lit(True)).select(
+    long = shares.transform(R.attach_row, base).select(
         group, now, share, "__c0", F.explode(F.array(*[F.lit(n) for n in totals])).alias("total")
     ).withColumn("__need", F.greatest(F.col("total") - F.col("__c0"), F.lit(0)))
     gap = F.col(share) * F.col("total") - F.col(now)  # in units

@@ -61,7 +61,7 @@ def distance_audit(nearest: DataFrame, half_diagonal: float, limit: float) -> Da
         F.count(F.lit(1)).alias("n"), F.round(F.min(d), 3).alias("min_m"), F.count_if(d < limit).alias("centre_within_5km"),
         F.count_if(edge < limit).alias("edge_within_5km"), F.count_if(edge <= limit).alias("edge_upto_5km"), F.count_if(edge < 0).alias("inside"),
     )
-    return counts.join(q.select(F.round("p1", 3).alias("p1"), F.round("median", 3).alias("median")), F.lit(True))
+    return counts.transform(R.attach_row, q.select(F.round("p1", 3).alias("p1"), F.round("median", 3).alias("median")))
 
 
 def compass_shift(sites: DataFrame, ident: str, group: str, clear: float) -> DataFrame:

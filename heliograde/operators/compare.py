@@ -45,9 +45,11 @@ def bootstrap_over_groups(metrics: DataFrame, group: str, config: str, value: st
 def leave_one_group_out(metrics: DataFrame, group: str, config: str, value: str) -> DataFrame:
     """Best config with each group left out: totals minus the group's own row, no pairing of groups."""
     total = metrics.groupBy(config).agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__n"))
+    every = total.agg(F.collect_list(F.struct(config, "__s", "__n")).alias("__all"))  # one entry per config
     own = metrics.select(F.col(group).alias("dropped"), config, F.col(value).alias("__v"))
-    # A group without this config drops nothing from its total, hence the full (group, config) frame.
-    frame = metrics.select(F.col(group).alias("dropped")).distinct().join(total, F.lit(True)).join(own, ["dropped", config], "left")
+    # A group without this config drops nothing from its total, hence every config for every group.
+    groups = metrics.select(F.col(group).alias("dropped")).distinct()
+    frame = R.attach_row(groups, every).select("dropped", F.inline("__all")).join(own, ["dropped", config], "left")
     left = frame.withColumn("macro", (F.col("__s") - F.coalesce("__v", F.lit(0.0))) / F.nullif(F.col("__n") - F.col("__v").isNotNull().cast("int"), F.lit(0)))
     return left.groupBy("dropped").agg(_best(F.col("macro"), config).alias("best_config"), F.round(F.max("macro"), 6).alias("best_macro"))
 
@@ -72,41 +74,38 @@ def ordinal_rank(df: DataFrame, group: list[str], value: str, key: str, out: str
     """1-based rank with ties in key order: rank of the value plus position inside the tie."""
     dist = R.value_counts(R.clean_scores(df, value), group, value, {"n": F.lit(1)})
     first = R.running_sums(dist, group, value, ["n"], domain).select(*group, value, "below_n")
-    w = Window.partitionBy(*group, value).orderBy(key)
-    return df.join(first, [*group, value]).withColumn(out, F.col("below_n") + F.row_number().over(w)).drop("below_n")
+    # A value shared by very many rows is itself a group to be cut into cells.
+    tie = R.running_sums(df.select(*group, value, key).withColumn("one", F.lit(1)), [*group, value], key, ["one"])
+    place = tie.select(*group, value, key, (F.col("below_one") + 1).alias("__in"))
+    return df.join(first, [*group, value]).join(place, [*group, value, key]).withColumn(out, F.col("below_n") + F.col("__in")).drop("below_n", "__in")
 
 
 def auc_by_bin(df: DataFrame, value: str, bins: list[tuple[str, float, float]], out: str, score: str = "score", label: str = "label") -> DataFrame:
-    """ROC of the positives in each [lo, hi) bin against all land.
-
-    Land is counted once per distinct score and only those counts are repeated per bin.
-    """
+    """ROC of the positives in each [lo, hi) bin against all land."""
     b = None
     for name, lo, hi in bins:
         inside = (F.col(value) >= lo) & (F.col(value) < hi)
         b = F.when(inside, F.lit(name)) if b is None else b.when(inside, F.lit(name))
-    clean = R.clean_scores(df, score)
-    pos = clean.filter(F.col(label) == 1).withColumn(out, b).filter(F.col(out).isNotNull()).groupBy(out, score).agg(
-        F.count(F.lit(1)).alias("pos"), F.lit(0).cast("bigint").alias("neg"))
-    land = clean.filter(F.col(label) == 0).groupBy(score).agg(F.count(F.lit(1)).alias("neg")).select(
-        F.explode(F.array(*[F.lit(n) for n, _, _ in bins])).alias(out), score, F.lit(0).cast("bigint").alias("pos"), "neg")
-    return _auc_of_counts(pos.unionByName(land), [out], score)
+    return auc_by_key_shared_land(df.withColumn(out, b), out, 1, score, label)
 
 
 def auc_by_key_shared_land(df: DataFrame, key: str, minimum: int, score: str = "score", label: str = "label") -> DataFrame:
-    """ROC of positives by ``key`` (at least ``minimum`` of them) against the same land each."""
-    clean = R.clean_scores(df, score)
-    pos = clean.filter(F.col(label) == 1).groupBy(key, score).agg(F.count(F.lit(1)).alias("pos"), F.lit(0).cast("bigint").alias("neg"))
-    keys = pos.groupBy(key).agg(F.sum("pos").alias("__n")).filter(F.col("__n") >= minimum).select(key)
-    land = clean.filter(F.col(label) == 0).groupBy(score).agg(F.count(F.lit(1)).alias("neg"))
-    repeated = land.join(keys, F.lit(True)).select(key, score, F.lit(0).cast("bigint").alias("pos"), "neg")
-    return _auc_of_counts(pos.join(keys, key).unionByName(repeated), [key], score)
+    """ROC of positives by ``key`` (at least ``minimum`` of them) against the same land each.
 
-
-def _auc_of_counts(counts: DataFrame, group: list[str], score: str) -> DataFrame:
-    dist = counts.groupBy(*group, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    p = R.running_sums(dist, group, score, ["pos", "neg"], E.UNIT)
-    return p.groupBy(*group).agg(F.max("total_pos").alias("n_pos"), F.max("total_neg").alias("n_neg"), F.round(E.auc_expr(), 6).alias("roc"))
+    Land is ranked once; every positive score reads off the land below it, so nothing is
+    repeated per key.
+    """
+    clean = R.clean_scores(df, score)
+    is_land = F.col(label) == 0
+    land = R.value_counts(clean, [], score, {"neg": F.when(is_land, 1).otherwise(0)})
+    ranked = R.running_sums(land, [], score, ["neg"], E.UNIT)
+    pos = clean.filter(~is_land & F.col(key).isNotNull()).groupBy(key, score).agg(F.count(F.lit(1)).alias("pos"))
+    d = lambda c: F.col(c).cast("double")
+    won = F.sum(d("pos") * (d("below_neg") + d("neg") / 2))
+    per = pos.join(ranked, score).groupBy(key).agg(
+        F.sum("pos").alias("n_pos"), F.max("total_neg").alias("n_neg"), F.round(won / F.nullif(F.sum(d("pos")) * F.max(d("total_neg")), F.lit(0.0)), 6).alias("roc")
+    )
+    return per.filter(F.col("n_pos") >= minimum)
 
 
 def metric_gap(a: DataFrame, b: DataFrame, keys: list[str], name_a: str, name_b: str, value: str = "roc") -> DataFrame:
@@ -147,7 +146,7 @@ def expert_vs_empirical(df: DataFrame, group: list[str], criteria: list[str], we
         w = F.when(F.col("criterion") == c, F.lit(v)) if w is None else w.when(F.col("criterion") == c, F.lit(v))
     both = d.withColumn("__w", w).filter(F.col("__w").isNotNull())
     total = both.agg(F.sum("__w").alias("__tw"), F.sum("__d").alias("__td"))
-    return both.join(total, F.lit(True)).select(
+    return both.transform(R.attach_row, total).select(
         "criterion", F.round(F.col("__w") / F.col("__tw"), 6).alias("expert_share"), F.round(F.col("__d") / F.col("__td"), 6).alias("empirical_share")
     )
 
@@ -164,7 +163,7 @@ def binned_medians(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
     ranked = R.with_rank(df, [], x, "__rk")
     n = df.agg(F.count(F.lit(1)).alias("__n"))
     b = F.least(F.floor((F.col("__rk") - 0.5) / F.col("__n") * bins), F.lit(bins - 1)).cast("bigint")
-    binned = ranked.join(n, F.lit(True)).withColumn("decile", b)
+    binned = ranked.transform(R.attach_row, n).withColumn("decile", b)
     med = R.quantiles(binned, ["decile"], y, {"median_score": 0.5}, E.UNIT).withColumn("median_score", F.round("median_score", 6))
     rest = binned.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(x), 6).alias("mean_x"))
     return rest.join(med, "decile")
@@ -174,7 +173,7 @@ def suitable_share(df: DataFrame, q: float, score: str = "score", label: str = "
     """Threshold = q quantile of site scores; share of land at or above it."""
     thr = R.quantiles(df.filter(F.col(label) == 1), [], score, {"threshold": q}, E.UNIT)
     land = R.clean_scores(df, score).filter(F.col(label) == 0)
-    return land.join(thr, F.lit(True)).agg(
+    return land.transform(R.attach_row, thr).agg(
         F.round(F.max("threshold"), 6).alias("threshold"), F.round(F.avg((F.col(score) >= F.col("threshold")).cast("double")), 6).alias("suitable_fraction")
     )
 
@@ -183,7 +182,7 @@ def weakest_first(per: DataFrame, group: str, metric: str, volume: str) -> DataF
     """Groups from the weakest metric up, with the rank correlation of metric and volume."""
     rho = E.spearman(per, [], metric, volume).select("rho")
     ranked = ordinal_rank(per, [], metric, group, "weakness_rank")
-    return ranked.join(rho, F.lit(True)).select(group, metric, volume, "weakness_rank", "rho")
+    return ranked.transform(R.attach_row, rho).select(group, metric, volume, "weakness_rank", "rho")
 
 
 def lag_matrix(df: DataFrame, models: dict[str, str], land_lag: str, label: str = "label") -> DataFrame:
@@ -194,4 +193,4 @@ def lag_matrix(df: DataFrame, models: dict[str, str], land_lag: str, label: str
     wide = a.groupBy("train_lag").agg(*[F.max(F.when(F.col(land_lag) == g, F.col("roc"))).alias(f"land_{g}") for g in lags])
     both = [F.max(F.when((F.col("train_lag") == g) & (F.col(land_lag) == g), F.col("roc"))) for g in lags]
     gap = a.agg(F.round(both[0] - both[1], 6).alias("matched_gap"))
-    return wide.join(gap, F.lit(True))
+    return wide.transform(R.attach_row, gap)

@@ -155,7 +155,7 @@ def gains_curve(df: DataFrame, group: list[str], weight: Column, tops: list[int]
     ])
     ladder = thresholds.select(*group, pairs.alias("__ladder"))
     sites = p.filter(F.col("pos") > 0)
-    joined = sites.join(ladder, group) if group else sites.join(ladder, F.lit(True))
+    joined = sites.join(ladder, group) if group else R.attach_row(sites, ladder)
     per = joined.select(*group, score, "pos", "wpos", "total_pos", "total_wpos", F.inline("__ladder"))
     inside = F.col(score) >= F.col("threshold")
     return per.groupBy(*group, "top_pct_land").agg(

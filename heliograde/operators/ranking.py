@@ -22,6 +22,14 @@ SAMPLE_PER_GROUP = 4096
 GLOBAL = "__all"
 
 
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (totals of an ungrouped aggregate) to every row.
+
+    One row is all that is ever broadcast here.
+    """
+    return df.join(F.broadcast(row))
+
+
 def clean_scores(df: DataFrame, score: str) -> DataFrame:
     """Rows whose score is present and a number."""
     return df.filter(F.col(score).isNotNull() & ~F.isnan(F.col(score)))

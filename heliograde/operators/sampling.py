@@ -147,7 +147,7 @@ def class_ratio(df: DataFrame, label: str, key: Column, ties: list[str], ratios:
     """
     n_pos = df.agg(F.sum((F.col(label) == 1).cast("int")).alias("__p"))
     top = max(ratios)
-    neg = df.filter(F.col(label) == 0).join(n_pos, F.lit(True))
+    neg = df.filter(F.col(label) == 0).transform(R.attach_row, n_pos)
     neg = R.hash_positions(neg, [], key, ties, seed, "__pos", upto=F.col("__p") * top)
     tagged = neg.select("*", F.explode(F.array(*[F.lit(r) for r in ratios])).alias("ratio")).filter(
         F.col("__pos") <= F.col("__p") * F.col("ratio")
@@ -160,7 +160,7 @@ def balanced_weight(df: DataFrame, label: str) -> DataFrame:
     """Class weight n / (2 n_class)."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("__nc"))
     total = per.agg(F.sum("__nc").alias("__n"))
-    return per.join(total, F.lit(True)).select(label, (F.col("__n") / (2.0 * F.col("__nc"))).alias("weight"))
+    return per.transform(R.attach_row, total).select(label, (F.col("__n") / (2.0 * F.col("__nc"))).alias("weight"))
 
 
 def country_mass_weight(df: DataFrame, country: str, label: str, lo: float = 0.05, hi: float = 20.0) -> DataFrame:
@@ -174,4 +174,4 @@ def country_mass_weight(df: DataFrame, country: str, label: str, lo: float = 0.0
     total = per.agg(F.greatest(F.sum("__p"), F.lit(1)).alias("__tp"), F.greatest(F.sum("__n"), F.lit(1)).alias("__tn"))
     share = (F.col("__p") / F.col("__tp")) / F.nullif(F.col("__n") / F.col("__tn"), F.lit(0.0))
     w = F.least(F.greatest(F.coalesce(share, F.lit(0.0)), F.lit(lo)), F.lit(hi))
-    return per.join(total, F.lit(True)).select(country, F.col("__p").alias("n_pos"), F.col("__n").alias("n_neg"), w.alias("neg_weight"))
+    return per.transform(R.attach_row, total).select(country, F.col("__p").alias("n_pos"), F.col("__n").alias("n_neg"), w.alias("neg_weight"))

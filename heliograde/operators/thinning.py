@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograde.functions.hashing import hash_order
 from heliograde.operators import spatial as G
+from heliograde.operators.compare import ordinal_rank
+from heliograde.operators.sampling import take_per_group
 from heliograde.session import durable
 
 
@@ -68,8 +70,7 @@ def spaced_sample(candidates: DataFrame, ident: str, need: DataFrame, group: str
     for i, separation in enumerate(ladder):
         pool = candidates.join(todo, group)
         got = spaced_points(pool, ident, separation, seeds, seed_id, [group], seed).withColumn("spacing_m", F.lit(float(separation)))
-        w = Window.partitionBy(group).orderBy(hash_order(F.col(ident), seed), ident)
-        got = durable(got.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= F.col("need")).drop("__rn"))
+        got = durable(take_per_group(got, [group], F.col(ident), [ident], "need", seed))
         have = got.groupBy(group).agg(F.count(F.lit(1)).alias("__have"))
         short = durable(todo.join(have, group, "left").filter(F.coalesce("__have", F.lit(0)) < F.col("need")).drop("__have"))
         last = i == len(ladder) - 1
@@ -115,8 +116,7 @@ def trim_densest(df: DataFrame, ident: str, group: str, keep: DataFrame, radii:
                 break
         if alive.isEmpty():
             break
-    w = Window.partitionBy(group).orderBy("dist_m", ident)
-    ordered = removed.join(quota, group).withColumn("step", F.row_number().over(w))
+    ordered = ordinal_rank(removed, [group], "dist_m", ident, "step").join(quota, group)
     return ordered.filter(F.col("step") <= F.col("__cut")).select(group, ident, "dist_m", "step")
 
 

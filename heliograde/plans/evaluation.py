@@ -99,7 +99,7 @@ FORWARD = f"""SELECT * EXCLUDE (rn) FROM (SELECT s.*, row_number() OVER (PARTITI
       ((l_orderkey % 2147483647) * 2654435761 + 0) % 4294967296, l_orderkey, l_partkey, l_suppkey, l_linenumber) AS rn
     FROM scores s WHERE label = 1 AND year >= {MAP_YEAR + 2} AND score IS NOT NULL AND NOT EXISTS (SELECT 1 FROM train t WHERE t.id = s.l_orderkey)) WHERE rn <= {SITE_CAP}
     UNION ALL SELECT * FROM scores WHERE label = 0"""
-TRAIN_IDS = "SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 = 0"
+TRAIN_IDS = "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'"
 
 
 @query("e6_forward_validation", f"""WITH train AS ({TRAIN_IDS}), picked AS ({FORWARD}), rep AS ({report_sql('picked', 'country')}) SELECT * FROM rep""", ("scores",))
@@ -107,7 +107,7 @@ def forward_validation(spark, sf):
     from heliograde.operators.sampling import cap_per_group
 
     s = T.scores(spark, sf)
-    train = T.read(spark, sf, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    train = T.read(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     sites = R.clean_scores(s, "score").filter((F.col("label") == 1) & (F.col("year") >= MAP_YEAR + 2)).join(train, "l_orderkey", "left_anti")
     picked = cap_per_group(sites, ["country"], F.col("l_orderkey"), KEYS, SITE_CAP).unionByName(s.filter("label = 0"))
     return E.country_report(picked, ["country"])
@@ -127,7 +127,7 @@ def three_set_roc(spark, sf):
 def pooled(spark, sf):
     s = T.scores(spark, sf)
     mean = E.auc(s, ["country"]).agg(F.round(F.avg("roc"), 6).alias("country_mean_roc"))
-    return E.auc(s, []).withColumnRenamed("roc", "pooled_roc").join(mean, F.lit(True))
+    return E.auc(s, []).withColumnRenamed("roc", "pooled_roc").transform(R.attach_row, mean)
 
 
 # --- bootstrap ---------------------------------------------------------------------------

@@ -91,7 +91,7 @@ def bins_2d(spark, sf):
 def disagreement(spark, sf):
     g = T.grid(spark, sf)
     n = g.agg(F.count(F.lit(1)).alias("__n"))
-    j = R.with_rank(R.with_rank(g, [], "value", "ra", (0.0, 1.0)), [], "value_b", "rb", (0.0, 1.0)).join(n, F.lit(True))
+    j = R.with_rank(R.with_rank(g, [], "value", "ra", (0.0, 1.0)), [], "value_b", "rb", (0.0, 1.0)).transform(R.attach_row, n)
     return j.select("ri", "ci", r6((F.col("ra") - F.col("rb")) / F.col("__n"), "difference"))
 
 
@@ -101,7 +101,7 @@ def vector_ops(spark, sf):
     p = T.pixels(spark, sf).select("px_id", F.col("emb").alias("x"))
     n = p.agg(F.count(F.lit(1)).alias("n"))
     other = p.select(F.col("px_id").alias("k"), F.col("x").alias("y"))
-    j = p.join(n, F.lit(True)).withColumn("k", (F.col("px_id") * 7 + 3) % F.col("n")).join(other, "k")
+    j = p.transform(R.attach_row, n).withColumn("k", (F.col("px_id") * 7 + 3) % F.col("n")).join(other, "k")
     return j.select("px_id", r6(V.l2_norm("x"), "norm"), r6(V.dot("x", "y"), "dot"), r6(V.cosine("x", "y"), "cosine"))
 
 
@@ -121,7 +121,7 @@ def resultant(spark, sf):
     at = lambda l: F.max(F.when(F.col("label") == l, F.col("m")))
     w = s.groupBy("i").agg(at(1).alias("mp"), at(0).alias("mn")).agg((F.sum(F.col("mp") * F.col("mn")) / (F.sqrt(F.sum(F.col("mp") * F.col("mp"))) * F.sqrt(F.sum(F.col("mn") * F.col("mn"))))).alias("c"))
     per = s.groupBy("label").agg(F.max("n").alias("n"), r6(F.sqrt(F.sum(F.col("m") * F.col("m"))), "resultant"))
-    return per.join(w, F.lit(True)).select("label", "n", "resultant", r6("c", "cos_means"))
+    return per.transform(R.attach_row, w).select("label", "n", "resultant", r6("c", "cos_means"))
 
 
 @query("a18_covariance", "WITH p AS (SELECT label, px_id, unnest(emb) AS x, generate_subscripts(emb, 1) - 1 AS i FROM pixels) SELECT a.label, a.i::INTEGER AS i, b.i::INTEGER AS j, count(*) AS n, round(covar_pop(a.x, b.x), 8) AS cov FROM p a JOIN p b USING (px_id) GROUP BY a.label, a.i, b.i", ("pixels",))

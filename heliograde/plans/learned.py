@@ -8,6 +8,7 @@ from heliograde.functions.hashing import uniform
 from heliograde.operators import evaluate as E
 from heliograde.operators import models as ML
 from heliograde.operators import moments as MO
+from heliograde.operators import ranking as R
 from heliograde.plans.registry import query
 from heliograde.session import durable
 from heliograde.sources import tables as T
@@ -141,7 +142,7 @@ def permutation(spark, sf):
     r2 = base.unionByName(perm).groupBy("feature", "rep").agg((1 - F.sum(e * e) / (F.var_pop(y) * F.count(F.lit(1)))).alias("r2"))
     r2 = durable(r2)
     full = r2.filter("feature = ''").select(F.col("r2").alias("full"))
-    return r2.filter("feature <> ''").join(full, F.lit(True)).groupBy("feature").agg(F.round(F.avg(F.col("full") - F.col("r2")), 4).alias("importance"))
+    return r2.filter("feature <> ''").transform(R.attach_row, full).groupBy("feature").agg(F.round(F.avg(F.col("full") - F.col("r2")), 4).alias("importance"))
 
 
 CLASSES = [10, 20, 30, 40, 50, 60, 70, 80, 90, 100]

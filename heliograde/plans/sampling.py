@@ -90,13 +90,13 @@ def balanced_classes(spark, sf):
     return S.balanced_classes(T.pool(spark, sf), "label", KEY, KEYS, 5000).select(*KEYS, "label")
 
 
-@query("sm6_class_ratios", f"""WITH p AS (SELECT country, label, {KEYLIST} FROM pool WHERE label = 0 OR l_orderkey % 5 = 0), n AS (SELECT count(*) AS n FROM p WHERE label = 1),
-    neg AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rn FROM p WHERE label = 0), x AS (SELECT unnest([2, 3, 5]) AS ratio),
+@query("sm6_class_ratios", f"""WITH p AS (SELECT country, label, {KEYLIST} FROM pool), n AS (SELECT count(*) AS n FROM p WHERE label = 1),
+    neg AS (SELECT *, row_number() OVER (ORDER BY {ORDER}) AS rn FROM p WHERE label = 0), x AS (SELECT unnest([1, 2, 5]) AS ratio),
     t AS (SELECT ratio, label FROM p, x WHERE label = 1 UNION ALL SELECT ratio, label FROM neg, x, n WHERE rn <= n * ratio)
     SELECT ratio, label, count(*) AS n FROM t GROUP BY ALL""", ("pool",))
 def class_ratios(spark, sf):
-    p = T.pool(spark, sf).filter("label = 0 OR l_orderkey % 5 = 0")
-    return S.class_ratio(p, "label", KEY, KEYS, [2, 3, 5]).groupBy("ratio", "label").agg(F.count(F.lit(1)).alias("n"))
+    p = T.pool(spark, sf)
+    return S.class_ratio(p, "label", KEY, KEYS, [1, 2, 5]).groupBy("ratio", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("w3_fill_to_target_area", f"""WITH t AS (SELECT country, sum(area) * 0.1 AS target FROM pool WHERE label = 1 GROUP BY country),
@@ -133,7 +133,7 @@ def mass_weight(spark, sf):
 
 
 # --- re-balancing: negatives per country against positive scenes per country ----------------
-COUNTS = """pos AS (SELECT n_name AS country, count(*) AS scenes FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey % 7 < 1 + n_nationkey % 4 GROUP BY n_name),
+COUNTS = """pos AS (SELECT n_name AS country, count(*) AS scenes FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE substring(o_orderpriority, 1, 1)::INTEGER <= 1 + n_nationkey % 4 GROUP BY n_name),
     neg AS (SELECT n_name AS country, count(*) AS now FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey <> 11 GROUP BY n_name),
     base AS (SELECT country, coalesce(now, 0) AS neg_now, coalesce(scenes, 0) AS pos_scenes FROM pos FULL JOIN neg USING (country)),
     tot AS (SELECT sum(neg_now) AS nt, sum(pos_scenes) AS pt FROM base),
@@ -143,7 +143,7 @@ COUNTS = """pos AS (SELECT n_name AS country, count(*) AS scenes FROM orders JOI
 def country_counts(spark, sf):
     o, c, n = (T.read(spark, sf, t) for t in ("orders", "customer", "nation"))
     cn = c.join(n, c.c_nationkey == n.n_nationkey)
-    pos = o.join(cn, o.o_custkey == cn.c_custkey).filter(F.col("o_orderkey") % 7 < 1 + F.col("n_nationkey") % 4).groupBy(F.col("n_name").alias("country")).agg(F.count(F.lit(1)).alias("pos_scenes"))
+    pos = o.join(cn, o.o_custkey == cn.c_custkey).filter(F.substring("o_orderpriority", 1, 1).cast("int") <= 1 + F.col("n_nationkey") % 4).groupBy(F.col("n_name").alias("country")).agg(F.count(F.lit(1)).alias("pos_scenes"))
     neg = cn.filter("n_nationkey <> 11").groupBy(F.col("n_name").alias("country")).agg(F.count(F.lit(1)).alias("neg_now"))
     return pos.join(neg, "country", "full").fillna(0, ["pos_scenes", "neg_now"])
 
