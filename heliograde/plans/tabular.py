@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import json
+import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heliograde.functions import scalars as X
@@ -13,6 +12,7 @@ from heliograde.operators import ranking as R
 from heliograde.operators import summaries as A
 from heliograde.plans.evaluation import METRIC, config_metrics, profile_sql
 from heliograde.plans.registry import query
+from heliograde.session import scratch_folder
 from heliograde.sources import files
 from heliograde.sources import tables as T
 from heliograde.streaming import incremental as I
@@ -30,12 +30,7 @@ def column_subset(spark, sf):
 @query("s2_yearly_files", "SELECT gen_year, count(*) AS n, round(sum(power), 2) AS power FROM generation GROUP BY gen_year", ("generation",))
 def yearly(spark, sf):
     """Write the facts as one CSV folder per year into the job's scratch space, read them back, year from the path."""
-    import tempfile
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    import uuid
-
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/gen"
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     T.generation(spark, sf).select("pv_id", "power", F.col("gen_year").alias("y")).write.partitionBy("y").option("header", "true").csv(path)
     back = spark.read.schema("pv_id bigint, power double").option("header", "true").csv(path)
     year = F.regexp_extract(F.col("_metadata.file_path"), r"y=(\d{4})", 1).cast("int")
@@ -79,11 +74,7 @@ def names(spark, sf):
 @query("s8_sorted_sink", "SELECT p_partkey, p_retailprice FROM part")
 def sorted_sink(spark, sf):
     """Sorted CSV written and read back: same rows."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/csv"
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     files.write_sorted_csv(T.read(spark, sf, "part").select("p_partkey", "p_retailprice"), path, [F.desc("p_retailprice"), "p_partkey"])
     return spark.read.csv(path, header=True, schema="p_partkey bigint, p_retailprice double")
 
@@ -97,11 +88,7 @@ def metric_rows(spark, sf):
 @query("s10_stage_events", "SELECT event_type AS stage, CASE WHEN value > 100 THEN 'slow' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1, 2")
 def stage_events(spark, sf):
     """Stage events written as JSON lines and rolled up by stage and status."""
-    import tempfile
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/log"
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     e = T.read(spark, sf, "events")
     I.append_stages(e.select(F.col("event_type").alias("stage"), F.when(F.col("value") > 100, "slow").otherwise("ok").alias("status"), "ts"), path)
     back = spark.read.schema("stage string, status string").json(path)

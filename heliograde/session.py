@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,15 +27,26 @@ def local_session(app: str = "heliograde", cores: str = "*", shuffle_partitions:
     return spark
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` where the cluster names one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    global _LOCAL_SCRATCH
+    if _LOCAL_SCRATCH is None:  # only where none is set, as in tests
+        _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _LOCAL_SCRATCH
+
+
+_LOCAL_SCRATCH: str | None = None
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder and cut its lineage.
+    """Write ``df`` as a table in the shared scratch folder and read it back.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir`` (shared, so the
-    result outlives any executor). Only where none is set, as in tests, is one made.
+    Cuts the lineage, outlives any executor, lets later readers prune columns, and gives the
+    optimizer the real size, so that joins with small results broadcast and large ones do not.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=True)
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
