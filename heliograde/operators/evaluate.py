@@ -142,25 +142,32 @@ def gains_curve(df: DataFrame, group: list[str], weight: Column, tops: list[int]
                 label: str = "label", domain=UNIT) -> DataFrame:
     """Share of sites and of their weight inside the best x % of land, x in ``tops``.
 
-    The threshold for x is the (100 - x) % quantile of land scores and counts inclusively, so
-    the mass below it is a conditional sum over the profile; x = 0 captures nothing.
+    The threshold for x is the (100 - x) % quantile of land scores and counts inclusively;
+    x = 0 captures nothing. Thresholds fall as x grows, so each score has a smallest x that
+    captures it: sites shrink to one row per such x before the curve is laid out.
     """
     p = score_profile(df, group, score, label, weight, domain)
-    at = {f"t{x}": (100 - x) / 100.0 for x in tops if x > 0}
-    land = p.filter(F.col("neg") > 0)
-    thresholds = _by(land, group, R.quantile_exprs(score, "neg", at))
-    pairs = F.array(*[
-        F.struct(F.lit(x).alias("top_pct_land"),
-                 (F.col(f"t{x}") if x > 0 else F.lit(float("inf"))).alias("threshold")) for x in tops
-    ])
-    ladder = thresholds.select(*group, pairs.alias("__ladder"))
+    wanted = F.array(*[F.lit(x) for x in tops if x > 0])
+    first, size, total = F.col("below_neg"), F.col("neg"), F.col("total_neg")
+    at = lambda x: (total - 1) * ((100 - x) / F.lit(100.0))
+    covers = lambda k: (first <= k) & (k < first + size)
+    touched = F.filter(wanted, lambda x: covers(F.floor(at(x))) | covers(F.ceil(at(x))))
+    hits = p.filter(F.col("neg") > 0).select("*", F.explode(touched).alias("x"))
+    pos = at(F.col("x"))
+    low, high = (F.max(F.when(covers(k), F.col(score))) for k in (F.floor(pos), F.ceil(pos)))
+    thresholds = hits.groupBy(*group, "x").agg((low + (high - low) * F.max(pos - F.floor(pos))).alias("t"))
+    ladder = thresholds.groupBy(*group).agg(F.collect_list(F.struct("x", "t")).alias("__ladder"))  # one entry per x
     sites = p.filter(F.col("pos") > 0)
     joined = sites.join(ladder, group) if group else R.attach_row(sites, ladder)
-    per = joined.select(*group, score, "pos", "wpos", "total_pos", "total_wpos", F.inline("__ladder"))
-    inside = F.col(score) >= F.col("threshold")
-    return per.groupBy(*group, "top_pct_land").agg(
-        F.round(100 * F.sum(F.when(inside, F.col("wpos")).otherwise(0.0)) / F.max("total_wpos"), 4).alias("pct_weight"),
-        F.round(100 * F.sum(F.when(inside, _d("pos")).otherwise(0.0)) / F.max(_d("total_pos")), 4).alias("pct_sites"),
+    enough = F.array_min(F.transform(F.filter("__ladder", lambda e: e["t"] <= F.col(score)), lambda e: e["x"]))
+    per = joined.groupBy(*group, enough.alias("__x0")).agg(
+        F.sum("wpos").alias("w"), F.sum(_d("pos")).alias("n"), F.max("total_wpos").alias("tw"), F.max(_d("total_pos")).alias("tn")
+    )
+    laid = per.select("*", F.explode(F.array(*[F.lit(x) for x in tops])).alias("top_pct_land"))
+    inside = F.coalesce(F.col("top_pct_land") >= F.col("__x0"), F.lit(False))
+    return laid.groupBy(*group, "top_pct_land").agg(
+        F.round(100 * F.sum(F.when(inside, F.col("w")).otherwise(0.0)) / F.max("tw"), 4).alias("pct_weight"),
+        F.round(100 * F.sum(F.when(inside, F.col("n")).otherwise(0.0)) / F.max("tn"), 4).alias("pct_sites"),
     )
 
 

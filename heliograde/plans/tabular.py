@@ -341,11 +341,13 @@ def anti_join(spark, sf):
     return T.sites(spark, sf).join(seen, "site_id", "left_anti").select("site_id", "country")
 
 
-@query("j3_training_ids", """WITH c AS (SELECT o_custkey AS cluster_id, list(o_orderkey ORDER BY o_orderkey) AS ids FROM orders GROUP BY o_custkey), t AS (SELECT cluster_id, unnest(ids) AS site_id FROM c JOIN customer ON c_custkey = cluster_id WHERE c_mktsegment <> 'BUILDING') SELECT DISTINCT site_id FROM t""")
+@query("j3_training_ids", """WITH t AS (SELECT o_orderkey AS a, o_custkey AS b FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment <> 'BUILDING') SELECT a AS site_id FROM t UNION SELECT b FROM t""")
 def training_ids(spark, sf):
-    c = T.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("cluster_id")).agg(F.collect_set("o_orderkey").alias("ids"))
-    train = T.read(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("cluster_id"))
-    return c.join(train, "cluster_id").select(F.explode("ids").alias("site_id")).distinct()
+    """Members of clusters on the training side, read from their stringified id lists."""
+    o = T.read(spark, sf, "orders").select(
+        "o_custkey", F.concat(F.lit("["), F.col("o_orderkey").cast("string"), F.lit(", "), F.col("o_custkey").cast("string"), F.lit("]")).alias("original_site_ids"))
+    train = T.read(spark, sf, "customer").filter("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
+    return o.join(train, "o_custkey").select(F.explode(X.parse_id_list("original_site_ids")).alias("site_id")).distinct()
 
 
 @query("j4_coordinate_key_join", """WITH d AS (SELECT round(lon, 5) AS k1, round(lat, 5) AS k2, arg_max(capacity_mw, det_id) AS capacity_mw FROM detectors GROUP BY ALL)
