@@ -27,8 +27,9 @@ SYMBOLS = "#*$%&|<>"
 
 MIN_WORDS = 10  # base rule: fewer words fail
 MAX_REPEAT_PERCENT = 20  # base rule: more words inside repeated 5-word windows fail
-CHAR_LIMIT, CHAR_LEAST = 0.30, 200  # distance limit and shortest histogram (bytes) of the class test
-WORD_LIMIT, WORD_LEAST = 0.42, 60  # the same for common words
+# A sample of the reference itself is the further off the shorter it is, as 1 / sqrt(words): limits are (a, b) of a + b / sqrt(words).
+CHAR_LIMIT, CHAR_LEAST = (0.17, 1.6), 200  # distance limit and shortest histogram (bytes) of the class test
+WORD_LIMIT, WORD_LEAST = (0.10, 2.4), 60  # the same for common words
 
 _CLASSES = 10
 
@@ -127,7 +128,7 @@ STATS = (
 )
 
 
-def judge(reference: dict[str, np.ndarray], char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT):
+def judge(reference: dict[str, np.ndarray], char_limit: tuple[float, float] = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT):
     """A column function (text, lang) -> STATS. ``reference``: language -> counts of all bins."""
 
     @F.arrow_udf(STATS)
@@ -152,7 +153,9 @@ def judge(reference: dict[str, np.ndarray], char_limit: float = CHAR_LIMIT, word
             chars = common = np.zeros(0)
         cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(5)]
         failed = np.array([r[5] for r in rows], dtype=bool)
-        kept = ~failed & ~(chars > char_limit) & ~(common > word_limit)  # nan compares false: not judged
+        root = np.sqrt(np.maximum(1, [r[0] for r in rows]))
+        over = [d > a + b / root for d, (a, b) in ((chars, char_limit), (common, word_limit))]
+        kept = ~failed & ~over[0] & ~over[1]  # nan compares false: not judged
         cols += [pa.array(failed), pa.array(kept), pa.array(chars, from_pandas=True), pa.array(common, from_pandas=True)]
         return pa.StructArray.from_arrays(cols, names=[x.split(":")[0] for x in STATS[7:-1].split(",")])
 

@@ -1,7 +1,7 @@
 """Toxicity: a word-presence classifier whose score must not change when identity terms are swapped.
 
-The words that tell toxic from other labelled texts are counted by Spark; the most telling ones and the identity terms are the
-features. Each labelled text that mentions an identity term is paired with its counterfactual, the same text with every term
+The words, and beginnings of words, that tell toxic from other labelled texts are counted by Spark; the most telling ones and the
+identity terms are the features. Beginnings carry what is learned over to inflected forms that no labelled text has. Each labelled text that mentions an identity term is paired with its counterfactual, the same text with every term
 replaced by the next one of its group. The fit minimises logistic loss plus a penalty on the squared score change of the pairs, so
 a group's mention alone moves no score.
 """
@@ -31,6 +31,7 @@ FEATURES = 2_000  # words with a weight, the most telling first
 LEAST_Z, LEAST_TEXTS = 3.5, 3  # of a feature: how sure its two rates differ, and texts it occurs in
 PENALTY = 4.0  # of the squared change of a counterfactual's score
 RIDGE = 2e-3
+STEMS = (4, 5, 6)  # letters of the beginnings that count as features of longer words
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -38,6 +39,11 @@ def words_of(text: str | None) -> set[str]:
     return set(WORD.findall((text or "").lower()))
 
 
+def terms_of(words: set[str]) -> set[str]:
+    """Words, and beginnings of longer words marked by a hyphen."""
+    return words.union(*({w[:k] + "-" for w in words if len(w) > k} for k in STEMS))
+
+
 def swapped(words: set[str], groups=IDENTITY_GROUPS) -> set[str] | None:
     """The words after every identity term has become the next one of its group; None without such terms."""
     turn = {t: g[(i + 1) % len(g)] for g in groups for i, t in enumerate(g)}
@@ -50,7 +56,7 @@ class Model:
     weights: dict[str, float]
 
     def score(self, text: str | None) -> float:
-        z = self.bias + sum(map(self.weights.__getitem__, words_of(text) & self.weights.keys()))
+        z = self.bias + sum(map(self.weights.__getitem__, sorted(terms_of(words_of(text)) & self.weights.keys())))
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
 
@@ -80,7 +86,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            seen[int(toxic == 1)].update(words_of(text))
+            seen[int(toxic == 1)].update(terms_of(words_of(text)))
             if len(seen[0]) + len(seen[1]) > 300_000:
                 yield flush()
     yield flush()
@@ -108,9 +114,9 @@ def _rows(words: list[str], groups):
             own, other = [], []
             for text in b.column(0).to_pylist():
                 have = words_of(text)
-                own.append([at[w] for w in have & at.keys()])
+                own.append([at[w] for w in terms_of(have) & at.keys()])
                 turned = swapped(have, groups)
-                other.append(None if turned is None else [at[w] for w in turned & at.keys()])
+                other.append(None if turned is None else [at[w] for w in terms_of(turned) & at.keys()])
             yield pa.RecordBatch.from_arrays([pa.array([int(x == 1) for x in b.column(1).to_pylist()], pa.int32()), pa.array(own, pa.list_(pa.int32())), pa.array(other, pa.list_(pa.int32()))], names=["toxic", "own", "other"])
 
     return run
