@@ -240,11 +240,13 @@ def _window_rows(window: int):
                 key, pos, n = (spans.field(i).to_numpy(zero_copy_only=False) for i in range(3))
                 n = n.astype(np.int64)
                 at = np.repeat(pos - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                here = at + window <= len(words)  # spans of all texts of an ident come together
+                at, key = at[here], np.repeat(key, n)[here]
                 power = np.full(len(words), _B, dtype=np.uint64)
                 power[0] = 1
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(words) * np.multiply.accumulate(power))])
                 win = _mix((total[at + window] - total[at]) * _inverse(at))
-                out.append((np.repeat((key >> 32).astype(np.int32), n), win.view(np.int64), np.repeat(k, len(at)), at.astype(np.int32)))
+                out.append(((key >> 32).astype(np.int32), win.view(np.int64), np.repeat(k, len(at)), at.astype(np.int32)))
                 size += len(at)
                 if size > 200_000 or k == rows - 1:
                     key, win, row, at = (np.concatenate([o[i] for o in out]) for i in range(4))
@@ -261,8 +263,9 @@ _INVERSES = np.ones(1, dtype=np.uint64)
 def _inverse(at: np.ndarray) -> np.ndarray:
     """B^-i modulo 2^64 for each i."""
     global _INVERSES
-    if int(at.max()) >= len(_INVERSES):
-        x = np.full(2 * (int(at.max()) + 1), pow(_B, -1, 1 << 64), dtype=np.uint64)
+    most = int(at.max(initial=0))
+    if most >= len(_INVERSES):
+        x = np.full(2 * (most + 1), pow(_B, -1, 1 << 64), dtype=np.uint64)
         x[0] = 1
         _INVERSES = np.multiply.accumulate(x)
     return _INVERSES[at]
@@ -309,16 +312,17 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     # the smallest document of each different text; slot tells texts of one ident apart
     slot = F.row_number().over(W.partitionBy("ident").orderBy("sha")).alias("slot")
     texts = durable(least.withColumnRenamed("least", "ident").select("ident", "sha", slot))
-    rows = parsed.join(texts, ["ident", "sha"]).select("ident", "slot", F.explode(F.arrays_zip("keys", "pos", "n")).alias("s")).select("ident", "slot", "s.*")
-    shared = rows.groupBy("keys").agg(F.min("ident").alias("a"), F.max("ident").alias("z")).filter("a < z").select("keys")
-    spans = rows.join(durable(shared), "keys").groupBy("ident", "slot").agg(F.collect_set(F.struct("keys", "pos", "n")).alias("spans"))
-    spans = spans.join(texts, ["ident", "slot"])
+    mark = F.xxhash64("sha").alias("mark")
+    rows = parsed.filter(F.col("ident").isNotNull()).select("ident", mark, F.explode(F.arrays_zip("keys", "pos", "n")).alias("s")).select("ident", "mark", "s.*")
+    shared = rows.groupBy("keys").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).filter("a < z").select("keys")  # in different texts
+    spans = rows.drop("mark").join(durable(shared), "keys").groupBy("ident").agg(F.collect_set(F.struct("keys", "pos", "n")).alias("spans"))
+    spans = durable(spans.join(texts, "ident"))
 
     @F.arrow_udf(T.BooleanType())
     def same(t: pa.Array, sha: pa.Array) -> pa.Array:
         return pa.array([hashlib.sha256(b" ".join((x.as_py() or "").encode().split())).hexdigest() == y.as_py() for x, y in zip(t, sha, strict=True)], pa.bool_())
 
-    found = durable(base.join(spans, "ident").filter(same("text", "sha")))
+    found = durable(base.join(spans, "ident").filter(same("text", "sha")).drop("sha"))
     windows = found.select("ident", "slot", "text", "spans").mapInArrow(_window_rows(window), f"key int, win bigint, ident {kind}, slot int, at int")
     source = windows.groupBy("key", "win").agg(F.min("ident").alias("a"), F.max("ident").alias("z")).filter("a < z").select("key", "win", "a")
     gone = windows.join(source, ["key", "win"]).filter("ident > a").groupBy("ident", "slot").agg(F.collect_set("at").alias("starts"))
