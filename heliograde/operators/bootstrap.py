@@ -1,50 +1,44 @@
 """Bootstrap intervals whose draws are integer hashes, so that every run repeats.
 
-``exact`` draws n of n with replacement, class by class: draw j of replicate b lands on row
-hash(b, j) mod n. ``poisson`` gives every row an independent Poisson(1) multiplicity per
-replicate, a pure column expression without any join, for tables where B * n draws are too
-many; the two agree for large n. Replicates are carried as rows, never as driver loops.
+``poisson_times`` gives every row an independent Poisson(1) multiplicity in each replicate: a column expression of (row key,
+replicate) without any join or shuffle of draws, and what drawing n of n with replacement tends to as n grows. ``draw_multiplicities``
+draws exactly n of n, for groups so small that the difference shows: draw j of replicate b lands on row hash(b, j) mod n.
+Replicates are carried as rows, never as driver loops.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograde.functions.hashing import hash_order, uniform
+from heliograde.functions.hashing import draw, poisson_limits
 from heliograde.operators import ranking as R
 
-# Fixed strides that keep the draws of different replicates apart.
-REP_STRIDE = 1000003
-ROW_STRIDE = 7919
+REPS = 2000
 
 
 def _group_sizes(df: DataFrame, group: list[str], label: str) -> DataFrame:
     return df.groupBy(*group, label).agg(F.count(F.lit(1)).alias("__size"))
 
 
-def draw_multiplicities(rows: DataFrame, group: list[str], label: str, index: str, reps: int, seed: int = 0) -> DataFrame:
+def draw_multiplicities(rows: DataFrame, group: list[str], label: str, index: str, reps: int = REPS, seed: int = 0) -> DataFrame:
     """(group, label, rep, index) -> times drawn. ``index`` numbers the rows of a class from 0."""
     sized = rows.select(*group, label, index).join(_group_sizes(rows, group, label), [*group, label])
     draws = sized.select(*group, label, "__size", index, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    mixed = F.col("rep").cast("bigint") * REP_STRIDE + F.col(index).cast("bigint") * ROW_STRIDE + F.col(label) * 17
-    # Only the row index is hashed to a row: several draws can meet on one row.
-    pick = F.pmod(F.shiftright(hash_order(mixed, seed), 3), F.col("__size"))
-    return draws.select(*group, label, "rep", pick.alias(index)).groupBy(*group, label, "rep", index).agg(
-        F.count(F.lit(1)).alias("times")
-    )
+    pick = F.pmod(draw(F.col(index) * 2 + F.col(label), "rep", seed), F.col("__size"))
+    return draws.select(*group, label, "rep", pick.alias(index)).groupBy(*group, label, "rep", index).agg(F.count(F.lit(1)).alias("times"))
+
+
+def poisson_times(key: Column | str, rep: Column | str, seed: int = 0) -> Column:
+    """Poisson(1) multiplicity of a row in a replicate."""
+    reached = lambda h: sum(((h >= x).cast("int") for x in poisson_limits()[1:]), (h >= poisson_limits()[0]).cast("int"))
+    return F.transform(F.array(draw(key, rep, seed)), reached)[0]  # the draw is computed once
 
 
-def poisson_times(key, rep, seed: int = 0):
-    """Poisson(1) multiplicity of a row in a replicate, by inverting the distribution at a hash draw."""
-    u = uniform(F.xxhash64(key, rep, F.lit(seed)).bitwiseAND(F.lit(2**31 - 1)), seed)
-    out, cdf = F.lit(0), 0.0
-    for k in range(0, 9):
-        cdf += math.exp(-1.0) / math.factorial(k)
-        out = F.when(u >= cdf, k + 1).otherwise(out)
-    return out
+def resampled(rows: DataFrame, key: Column | str, reps: int = REPS, seed: int = 0) -> DataFrame:
+    """Rows once for each replicate that takes them, with ``rep`` and ``times``."""
+    every = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    return every.withColumn("times", poisson_times(key, "rep", seed)).filter("times > 0")
 
 
 def replicate_auc(drawn: DataFrame, group: list[str], scores: list[str], label: str = "label", domain=(0.0, 1.0)) -> DataFrame:
@@ -79,7 +73,7 @@ def interval(reps: DataFrame, group: list[str], value: str = "auc") -> DataFrame
     return reps.groupBy(*group).agg(*aggs) if group else reps.agg(*aggs)
 
 
-def drawn_rows(rows: DataFrame, group: list[str], label: str, index: str, reps: int, seed: int = 0) -> DataFrame:
+def drawn_rows(rows: DataFrame, group: list[str], label: str, index: str, reps: int = REPS, seed: int = 0) -> DataFrame:
     """Rows repeated per replicate with their multiplicity."""
     times = draw_multiplicities(rows, group, label, index, reps, seed)
     return times.join(rows, [*group, label, index])

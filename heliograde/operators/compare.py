@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograde.functions.hashing import hash_order
+from heliograde.functions.hashing import draw
 from heliograde.operators import evaluate as E
 from heliograde.operators import ranking as R
-from heliograde.operators.bootstrap import REP_STRIDE, ROW_STRIDE
 
 
 def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
@@ -26,8 +25,7 @@ def bootstrap_over_groups(metrics: DataFrame, group: str, config: str, value: st
     """Share of resamples of the groups in which each config wins, plain and weighted."""
     ids = numbered(metrics, group, "ci")
     draws = ids.select("ci", "k", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    mixed = F.col("rep").cast("bigint") * REP_STRIDE + F.col("ci") * ROW_STRIDE
-    picks = draws.select("rep", F.pmod(F.shiftright(hash_order(mixed), 3), F.col("k")).alias("ci")).groupBy("rep", "ci").agg(F.count(F.lit(1)).alias("t"))
+    picks = draws.select("rep", F.pmod(draw("ci", "rep"), F.col("k")).alias("ci")).groupBy("rep", "ci").agg(F.count(F.lit(1)).alias("t"))
     rows = picks.join(ids.select(group, "ci"), "ci").join(metrics, group)
     means = rows.groupBy("rep", config).agg(
         (F.sum(F.col("t") * F.col(value)) / F.sum("t")).alias("macro"),

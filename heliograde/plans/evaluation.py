@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from heliograde.functions.hashing import draw_sql, hash_order_sql as H, hash_steps_sql, poisson_limits
 from heliograde.operators import bootstrap as B
 from heliograde.operators import evaluate as E
 from heliograde.operators import ranking as R
@@ -93,24 +94,19 @@ def top_k_recall(spark, sf):
     return p.groupBy("country").agg(*[F.round(E.top_share_expr(x / 100), 6).alias(f"recall{x}") for x in (80, 90, 95)])
 
 
-# Forward validation: sites two or more years after the map, not seen in training, capped, against land.
-MAP_YEAR, SITE_CAP = 2019, 400
-FORWARD = f"""SELECT * EXCLUDE (rn) FROM (SELECT s.*, row_number() OVER (PARTITION BY country ORDER BY
-      ((l_orderkey % 2147483647) * 2654435761 + 0) % 4294967296, l_orderkey, l_partkey, l_suppkey, l_linenumber) AS rn
-    FROM scores s WHERE label = 1 AND year >= {MAP_YEAR + 2} AND score IS NOT NULL AND NOT EXISTS (SELECT 1 FROM train t WHERE t.id = s.l_orderkey)) WHERE rn <= {SITE_CAP}
+# Forward validation: all sites two or more years after the map, not seen in training, against land.
+MAP_YEAR = 2019
+FORWARD = f"""SELECT s.* FROM scores s WHERE label = 1 AND year >= {MAP_YEAR + 2} AND score IS NOT NULL AND NOT EXISTS (SELECT 1 FROM train t WHERE t.id = s.l_orderkey)
     UNION ALL SELECT * FROM scores WHERE label = 0"""
 TRAIN_IDS = "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'"
 
 
 @query("e6_forward_validation", f"""WITH train AS ({TRAIN_IDS}), picked AS ({FORWARD}), rep AS ({report_sql('picked', 'country')}) SELECT * FROM rep""", ("scores",))
 def forward_validation(spark, sf):
-    from heliograde.operators.sampling import cap_per_group
-
     s = T.scores(spark, sf)
     train = T.read(spark, sf, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
     sites = R.clean_scores(s, "score").filter((F.col("label") == 1) & (F.col("year") >= MAP_YEAR + 2)).join(train, "l_orderkey", "left_anti")
-    picked = cap_per_group(sites, ["country"], F.col("l_orderkey"), KEYS, SITE_CAP).unionByName(s.filter("label = 0"))
-    return E.country_report(picked, ["country"])
+    return E.country_report(sites.unionByName(s.filter("label = 0")), ["country"])
 
 
 SETS = """sets AS (SELECT s.*, u.set FROM scores s, (VALUES ('inventory'), ('tzsam'), ('combined')) u(set)
@@ -131,16 +127,15 @@ def pooled(spark, sf):
 
 
 # --- bootstrap ---------------------------------------------------------------------------
-REPS = 20
-HO = lambda k, s=0: f"((({k}) % 2147483647) * 2654435761 + {s}) % 4294967296"
+REPS = 200  # of the registered queries; the operators' default is 2,000
 # One row per site/land point of the smaller point set: orders scored through their price.
 POINTS = """pts AS (SELECT 'C' || (o_custkey % 5)::VARCHAR AS country, (floor(o_totalprice)::BIGINT % 1000) / 1000.0::DOUBLE AS score,
     ((floor(o_totalprice)::BIGINT * 7 + o_custkey) % 1000) / 1000.0::DOUBLE AS score_b, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, o_orderkey,
-    row_number() OVER (PARTITION BY o_custkey % 5, o_orderstatus = 'F' ORDER BY {h}, o_orderkey) - 1 AS idx,
-    count(*) OVER (PARTITION BY o_custkey % 5, o_orderstatus = 'F') AS size FROM orders)""".format(h=HO("o_orderkey"))
-DRAWN = f"""draws AS (SELECT country, label, rep, ({HO(f'rep * {B.REP_STRIDE} + idx * {B.ROW_STRIDE} + label * 17')} >> 3) % size AS pick FROM pts, range({REPS}) r(rep)),
-    times AS (SELECT country, label, rep, pick, count(*) AS times FROM draws GROUP BY ALL),
-    rows_ AS (SELECT t.country, t.rep, t.times, t.label, p.score, p.score_b FROM times t JOIN pts p ON p.country = t.country AND p.label = t.label AND p.idx = t.pick)"""
+    {a} AS ha, row_number() OVER (PARTITION BY o_custkey % 5, o_orderstatus = 'F' ORDER BY {h}, o_orderkey) - 1 AS idx,
+    count(*) OVER (PARTITION BY o_custkey % 5, o_orderstatus = 'F') AS size FROM orders)""".format(h=H("o_orderkey"), a=H("o_orderkey", 1))
+REP_LIST = f"reps_ AS MATERIALIZED (SELECT rep, {H('rep', 2)} AS hr FROM range({REPS}) r(rep))"
+DRAWN = f"""{REP_LIST}, points_ AS MATERIALIZED (SELECT * FROM pts), h_ AS ({hash_steps_sql("SELECT country, label, rep, score, score_b, xor(ha, hr) AS h FROM points_, reps_", "h")}),
+    rows_ AS (SELECT country, label, rep, score, score_b, {' + '.join(f'(h >= {x})::INT' for x in poisson_limits())} AS times FROM h_)"""
 
 
 def rep_auc_sql(src: str, by: str, score: str) -> str:
@@ -165,23 +160,35 @@ CI = "count(*) AS reps, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantil
 
 @query("e9_bootstrap_ci", f"WITH {POINTS}, {DRAWN}, reps AS ({rep_auc_sql('rows_', 'country, rep', 'score')}) SELECT country, {CI} FROM reps GROUP BY country")
 def bootstrap_ci(spark, sf):
-    drawn = B.drawn_rows(boot_points(spark, sf), ["country"], "label", "idx", REPS)
+    drawn = B.resampled(boot_points(spark, sf), "o_orderkey", REPS)
     return B.interval(B.replicate_auc(drawn, ["country"], ["score"]), ["country"])
 
 
-@query("e9_bootstrap_ci_poisson")
-def bootstrap_poisson(spark, sf):
-    p = boot_points(spark, sf).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(REPS - 1))))
-    drawn = p.withColumn("times", B.poisson_times(F.col("o_orderkey"), F.col("rep"))).filter("times > 0")
+# Exactly n of n draws, for one country.
+EXACT = f"""{REP_LIST}, one AS MATERIALIZED (SELECT *, {H('idx * 2 + label', 1)} AS hi FROM pts WHERE country = 'C0'),
+    h_ AS ({hash_steps_sql("SELECT country, label, rep, size, xor(hi, hr) AS h FROM one, reps_", "h")}),
+    times AS (SELECT country, label, rep, h % size AS pick, count(*) AS times FROM h_ GROUP BY ALL),
+    rows_ AS (SELECT t.country, t.rep, t.times, t.label, p.score FROM times t JOIN one p ON p.label = t.label AND p.idx = t.pick)"""
+
+
+@query("e9_bootstrap_ci_exact", f"WITH {POINTS}, {EXACT}, reps AS ({rep_auc_sql('rows_', 'country, rep', 'score')}) SELECT country, {CI} FROM reps GROUP BY country")
+def bootstrap_exact(spark, sf):
+    drawn = B.drawn_rows(boot_points(spark, sf).filter("country = 'C0'"), ["country"], "label", "idx", REPS)
     return B.interval(B.replicate_auc(drawn, ["country"], ["score"]), ["country"])
 
 
+@query("e9_bootstrap_ci_poisson", f"WITH {POINTS}, {DRAWN}, reps AS ({rep_auc_sql('rows_', 'country, rep', 'score_b')}) SELECT country, {CI} FROM reps GROUP BY country")
+def bootstrap_poisson(spark, sf):
+    drawn = B.resampled(boot_points(spark, sf), "o_orderkey", REPS)
+    return B.interval(B.replicate_auc(drawn, ["country"], ["score_b"]), ["country"])
+
+
 @query("e10_paired_gap", f"""WITH {POINTS}, {DRAWN}, a AS ({rep_auc_sql('rows_', 'country, rep', 'score')}), b AS ({rep_auc_sql('rows_', 'country, rep', 'score_b')}),
     g AS (SELECT a.country, a.auc - b.auc AS gap FROM a JOIN b ON a.country = b.country AND a.rep = b.rep)
     SELECT country, round(avg(gap), 6) AS mean_gap, round(quantile_cont(gap, 0.025), 6) AS gap_lo, round(quantile_cont(gap, 0.975), 6) AS gap_hi,
     CASE WHEN quantile_cont(gap, 0.025) > 0 THEN 'yes' ELSE 'no' END AS significant FROM g GROUP BY country""")
 def paired_gap(spark, sf):
-    drawn = B.drawn_rows(boot_points(spark, sf), ["country"], "label", "idx", REPS)
+    drawn = B.resampled(boot_points(spark, sf), "o_orderkey", REPS)
     reps = B.replicate_auc(drawn, ["country"], ["score", "score_b"])
     gap = reps.groupBy("country", "rep").agg(
         (F.max(F.when(F.col("which") == "score", F.col("auc"))) - F.max(F.when(F.col("which") == "score_b", F.col("auc")))).alias("gap")
@@ -200,7 +207,7 @@ def paired_gap(spark, sf):
     round(quantile_cont(wa - wb, 0.975), 6) AS diff_hi, CASE WHEN quantile_cont(wa - wb, 0.025) > 0 OR quantile_cont(wa - wb, 0.975) < 0 THEN 'SIG' ELSE 'tied' END AS verdict FROM per""")
 def paired_pools(spark, sf):
     pts = boot_points(spark, sf)
-    reps = B.replicate_auc(B.drawn_rows(pts, ["country"], "label", "idx", REPS), ["country"], ["score", "score_b"])
+    reps = B.replicate_auc(B.resampled(pts, "o_orderkey", REPS), ["country"], ["score", "score_b"])
     n = pts.filter("label = 1").groupBy("country").agg(F.count(F.lit(1)).alias("n"))
     pick = lambda w: F.sum(F.when(F.col("which") == w, F.col("n") * F.col("auc"))) / F.sum(F.when(F.col("which") == w, F.col("n")))
     per = reps.join(n, "country").groupBy("rep").agg(pick("score").alias("wa"), pick("score_b").alias("wb")).withColumn("d", F.col("wa") - F.col("wb"))
@@ -212,6 +219,7 @@ def paired_pools(spark, sf):
 
 
 # --- group-level resampling over (country, config) metrics -------------------------------
+GROUP_REPS = 10_000
 METRIC = """m AS (SELECT 'C' || (l_suppkey % 13)::VARCHAR AS country, l_partkey % 4 AS config, round(avg(l_extendedprice) / 100000, 6) AS roc, count(*) AS n FROM lineitem GROUP BY ALL)"""
 
 
@@ -223,15 +231,15 @@ def config_metrics(spark, sf):
 
 
 @query("e13_bootstrap_over_groups", f"""WITH {METRIC}, c AS (SELECT country, row_number() OVER (ORDER BY country) - 1 AS ci, count(*) OVER () AS k FROM (SELECT DISTINCT country FROM m)),
-    d AS (SELECT rep, ({HO('rep * 1000003 + ci * 7919')} >> 3) % k AS pick FROM c, range(200) r(rep)),
+    d AS (SELECT rep, {draw_sql('ci', 'rep')} % k AS pick FROM c, range({GROUP_REPS}) r(rep)),
     t AS (SELECT rep, config, avg(roc) AS macro, sum(roc * n) / sum(n) AS weighted FROM d JOIN c ON c.ci = d.pick JOIN m ON m.country = c.country GROUP BY ALL),
     b AS (SELECT rep, arg_max(config, (round(macro, 9), -config)) AS bm, arg_max(config, (round(weighted, 9), -config)) AS bw FROM t GROUP BY rep)
-    SELECT config, round(count(*) FILTER (WHERE bm = config) / 200.0::DOUBLE, 6) AS p_best_macro, round(count(*) FILTER (WHERE bw = config) / 200.0::DOUBLE, 6) AS p_best_weighted
+    SELECT config, round(count(*) FILTER (WHERE bm = config) / {GROUP_REPS}.0::DOUBLE, 6) AS p_best_macro, round(count(*) FILTER (WHERE bw = config) / {GROUP_REPS}.0::DOUBLE, 6) AS p_best_weighted
     FROM b, (SELECT DISTINCT config FROM m) GROUP BY config""")
 def bootstrap_groups(spark, sf):
     from heliograde.operators.compare import bootstrap_over_groups
 
-    return bootstrap_over_groups(config_metrics(spark, sf), "country", "config", "roc", "n", 200)
+    return bootstrap_over_groups(config_metrics(spark, sf), "country", "config", "roc", "n", GROUP_REPS)
 
 
 @query("e14_leave_one_group_out", f"""WITH {METRIC}, t AS (SELECT d.country AS dropped, m.config, avg(roc) AS macro FROM m JOIN (SELECT DISTINCT country FROM m) d ON d.country <> m.country GROUP BY ALL)
@@ -259,7 +267,7 @@ def spearman(spark, sf):
 
 
 @query("e16_spearman_ordinal", f"""WITH o AS (SELECT o_custkey % 5 AS grp, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_totalprice, o_orderkey) AS ra,
-    row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY {HO('o_orderkey', 5)}, o_orderkey) AS rb FROM orders) SELECT grp, count(*) AS n, round(corr(ra, rb), 6) AS rho FROM o GROUP BY grp""")
+    row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY {H('o_orderkey', 5)}, o_orderkey) AS rb FROM orders) SELECT grp, count(*) AS n, round(corr(ra, rb), 6) AS rho FROM o GROUP BY grp""")
 def spearman_ordinal(spark, sf):
     """Ordinal ranks: ties in row order. Ties are broken by key, i.e. rank within the tie is added."""
     from heliograde.operators.compare import ordinal_rank

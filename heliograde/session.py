@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,25 +32,60 @@ def local_session(app: str = "heliograde", cores: str = "*", shuffle_partitions:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir`` where the cluster names one."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Where it is unset a local session gets a temporary folder of its own, removed when the process ends; on a cluster every executor
+    would write to its own disk and reads would miss files, so there it is an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     global _LOCAL_SCRATCH
-    if _LOCAL_SCRATCH is None:  # only where none is set, as in tests
+    if _LOCAL_SCRATCH is None:
         _LOCAL_SCRATCH = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        atexit.register(shutil.rmtree, _LOCAL_SCRATCH, ignore_errors=True)
     return _LOCAL_SCRATCH
 
 
 _LOCAL_SCRATCH: str | None = None
+_WRITTEN: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared scratch folder and read it back.
 
     Cuts the lineage, outlives any executor, lets later readers prune columns, and gives the
-    optimizer the real size, so that joins with small results broadcast and large ones do not.
+    optimizer the real size, so that joins with small results broadcast and large ones do not. ``release`` removes the table.
     """
     path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")  # the table is there: what was shuffled for it is of no more use
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, before)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes what ``durable`` wrote inside the block when the block ends; results built in it must have been written or collected."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        release(spark, before)
+
+
+def release(spark: SparkSession, keep: int = 0) -> None:
+    """Removes the tables that ``durable`` wrote after the first ``keep``; nothing that reads them may run afterwards."""
+    jvm = spark.sparkContext._jvm
+    while len(_WRITTEN) > keep:
+        at = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

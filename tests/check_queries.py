@@ -54,9 +54,9 @@ def compare(a: pd.DataFrame, b: pd.DataFrame) -> str:
 
 def main() -> None:
     import __spark_entry__ as entry
-    from heliograde.session import local_session
+    from heliograde.session import local_session, release
 
-    spark = local_session("check", "8")
+    spark = local_session("check", os.environ.get("CHECK_CPUS", "8"))
     con = connect()
     queries, oracles = entry.queries(), entry.oracle_sql()
     want = sys.argv[1:]
@@ -75,6 +75,7 @@ def main() -> None:
             failed.append(name)
         print(f"{name:36s} {t1 - t:6.1f}s duck {time.time() - t1:5.1f}s rows {len(got):6d} {res}", flush=True)
         spark.catalog.clearCache()
+        release(spark)
     print("FAILED", len(failed), failed)
 
 

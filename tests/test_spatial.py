@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from heliograde.functions.hashing import FOLD, MULTIPLIER, SPAN
+from heliograde.functions.hashing import hash_value
 from heliograde.operators import spatial as G
 from heliograde.operators import thinning as T
 
@@ -57,7 +57,7 @@ def test_nearest_other_with_copies(spark, sides):
 
 def test_spaced_points_equal_the_sequential_rule(spark, sides):
     L, R = sides
-    h = (L.id.values % FOLD * MULTIPLIER) % SPAN
+    h = [hash_value(int(i)) for i in L.id.values]
     E, seeds = xyz(L.lon.values, L.lat.values), xyz(R.lon.values[:5], R.lat.values[:5])
     acc = []
     for i in np.lexsort((L.id.values, h)):
