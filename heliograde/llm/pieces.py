@@ -75,6 +75,7 @@ class Pieces:
                 self.raw[i] = p.replace(BLANK, " ").encode()
             elif k == 2:
                 self.raw[i] = " ⁇ ".encode()
+        self.silent = {i for i, r in enumerate(self.raw) if not r}
 
     def _last_merge(self, piece: str) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``piece``, by playing all merges; None if they do not end in one token."""
@@ -229,12 +230,22 @@ class Pieces:
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD one by one."""
-        raw = b"".join(map(self.raw.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
+        if self.silent.isdisjoint(ids):
+            return self._text(ids, True)
+        runs: list[list[int]] = [[]]  # a control token decodes to nothing and ends a run of bytes
+        for i in ids:
+            runs.append([]) if i in self.silent else runs[-1].append(i)
+        runs = [r for r in runs if r]
+        return "".join(self._text(r, k == 0) for k, r in enumerate(runs))
+
+    def _text(self, ids: list[int], first: bool) -> str:
+        raw = b"".join(map(self.raw.__getitem__, ids))
         try:
             text = raw.decode()
         except UnicodeDecodeError:
             text = _lossy(raw)
-        return text[1:] if self.dummy_prefix and len(ids) and self.pieces[ids[0]].startswith(BLANK) else text
+        return text[1:] if first and self.dummy_prefix and ids and self.pieces[ids[0]].startswith(BLANK) else text
 
 
 def _lossy(raw: bytes) -> str:
