@@ -70,7 +70,21 @@ def durable(df: DataFrame) -> DataFrame:
     finally:
         conf.set(_CLEANUP, before)
     _WRITTEN.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Removes one table that ``durable`` returned; nothing that reads it may run afterwards."""
+    if table._scratch_path in _WRITTEN:
+        _WRITTEN.remove(table._scratch_path)
+        _delete(table.sparkSession, table._scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 @contextmanager
@@ -85,7 +99,5 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def release(spark: SparkSession, keep: int = 0) -> None:
     """Removes the tables that ``durable`` wrote after the first ``keep``; nothing that reads them may run afterwards."""
-    jvm = spark.sparkContext._jvm
     while len(_WRITTEN) > keep:
-        at = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, _WRITTEN.pop())
