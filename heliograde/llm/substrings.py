@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliograde.session import durable
+from heliograde.session import discard, durable
 
 WINDOW = 50
 FEW = 4  # symbols that the level of an anchor has at least, if any level has
@@ -128,53 +128,6 @@ def anchors(sym: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> tuple[n
         name[who], place[who] = _mix(sym[at] + np.uint64(level)), start[at]
         chosen[who[(hi - lo)[better] >= FEW]] = True
     return p, name, place
-    start = np.arange(n + 1)
-    live = np.arange(len(p))
-    lo, hi = p.copy(), p + window
-    # a window of one or two runs has no complete run inside: its anchor is the first run, as far as it lies in the window
-    run_at = np.flatnonzero(np.concatenate([[True], (sym[1:] != sym[:-1]) | first[1:n]]))
-    until = np.append(run_at, n)[np.searchsorted(run_at, p, "right")]
-    name[:] = _named(sym[p], np.minimum(until - p, window).astype(np.uint64), _EDGE)
-    place[:] = p
-    chosen = np.zeros(len(p), dtype=bool)  # has an anchor of a level with enough symbols
-    level = 0
-    while len(live):
-        level += 1
-        n = len(sym)
-        # runs
-        head = np.ones(n, dtype=bool)
-        head[1:] = (sym[1:] != sym[:-1]) | first[1:n]
-        at = np.flatnonzero(head)
-        run = np.cumsum(head) - 1
-        size = np.diff(np.append(at, n))
-        sym = sym[at]
-        long = size > 1
-        sym[long] = _named(sym[long], size[long].astype(np.uint64), _RUN)
-        start, first = np.append(start[at], start[n]), np.append(first[at], True)
-        left = np.append(run + 1, len(at))  # the first run after the one that an index lies in
-        right = np.concatenate([[0], run])  # by the exclusive end: the run that the last symbol lies in
-        # pairs
-        n = len(sym)
-        is_right = (_mix(sym + _mix(np.array([level], dtype=np.uint64))) >> np.uint64(17)) & np.uint64(1) == 1
-        second = np.zeros(n + 1, dtype=bool)
-        second[1:n] = ~is_right[:-1] & is_right[1:] & ~first[1:n]
-        keep = ~second[:n]
-        new = np.append(np.cumsum(keep) - 1, keep.sum())
-        pl = np.append(np.where(is_right, new[1:], new[:n]), new[n])  # a right one at the left end is dropped
-        pr = np.concatenate([[0], np.where(is_right, new[:n] + 1, new[:n])])  # a left one at the right end is dropped
-        joined = second[1:] & keep  # heads of pairs
-        at = np.flatnonzero(keep)
-        both = joined[at]
-        pair_of = at[both]
-        sym2 = sym[at]
-        sym2[both] = _named(sym[pair_of], sym[pair_of + 1], _M2)
-        sym, start, first = sym2, np.append(start[at], start[n]), np.append(first[at], True)
-        lo, hi = pl[left[lo]], pr[right[hi]]
-        inside = lo < hi
-        live, lo, hi = live[inside], lo[inside], hi[inside]
-        name[live] = _named(sym[lo], sym[hi - 1], np.uint64(level))
-        place[live] = start[lo]
-    return p, name, place
 
 
 def _lowest(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -307,7 +260,8 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     kind = docs.schema[ident].dataType.simpleString()
     base = docs.select(F.col(ident).alias("ident"), F.col(text).alias("text"))
     parsed = durable(base.mapInArrow(_parse(window), f"ident {kind}, n_words bigint, sha string, keys array<bigint>, pos array<int>, n array<int>"))
-    long = parsed.filter(F.col("ident").isNotNull() & (F.col("n_words") >= window)).select("ident", "sha")
+    heads = durable(parsed.select("ident", "sha", "n_words"))
+    long = heads.filter(F.col("ident").isNotNull() & (F.col("n_words") >= window)).select("ident", "sha")
     least = durable(long.groupBy("sha").agg(F.min("ident").alias("least")))
     # the smallest document of each different text; slot tells texts of one ident apart
     slot = F.row_number().over(W.partitionBy("ident").orderBy("sha")).alias("slot")
@@ -317,18 +271,21 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     shared = rows.groupBy("keys").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).filter("a < z").select("keys")  # in different texts
     spans = rows.drop("mark").join(durable(shared), "keys").groupBy("ident").agg(F.collect_set(F.struct("keys", "pos", "n")).alias("spans"))
     spans = durable(spans.join(texts, "ident"))
+    discard(parsed)  # large tables go as soon as the next one is written
 
     @F.arrow_udf(T.BooleanType())
     def same(t: pa.Array, sha: pa.Array) -> pa.Array:
         return pa.array([hashlib.sha256(b" ".join((x.as_py() or "").encode().split())).hexdigest() == y.as_py() for x, y in zip(t, sha, strict=True)], pa.bool_())
 
     found = durable(base.join(spans, "ident").filter(same("text", "sha")).drop("sha"))
+    discard(spans)
     windows = found.select("ident", "slot", "text", "spans").mapInArrow(_window_rows(window), f"key int, win bigint, ident {kind}, slot int, at int")
     source = windows.groupBy("key", "win").agg(F.min("ident").alias("a"), F.max("ident").alias("z")).filter("a < z").select("key", "win", "a")
-    gone = windows.join(source, ["key", "win"]).filter("ident > a").groupBy("ident", "slot").agg(F.collect_set("at").alias("starts"))
+    gone = durable(windows.join(source, ["key", "win"]).filter("ident > a").groupBy("ident", "slot").agg(F.collect_set("at").alias("starts")))
     cut = found.drop("spans").join(gone, ["ident", "slot"]).select("ident", "slot", "text", "starts").mapInArrow(_cut(window), f"ident {kind}, slot int, n_removed bigint, kept string")
     cut = durable(cut.join(texts, ["ident", "slot"]).drop("slot").dropDuplicates(["ident", "sha"]))
-    out = parsed.select("ident", "sha", "n_words").join(least, "sha", "left").join(cut, ["ident", "sha"], "left")
+    discard(found)
+    out = heads.join(least, "sha", "left").join(cut, ["ident", "sha"], "left")
     copy = F.coalesce((F.col("ident") > F.col("least")) & (F.col("n_words") >= window), F.lit(False))
     kept = F.when(copy, "").otherwise(F.col("kept"))
     sha = F.when(copy, _EMPTY_SHA).when(F.col("kept").isNotNull(), F.sha2(F.col("kept"), 256)).otherwise(F.col("sha"))
