@@ -8,7 +8,9 @@ At the highest level with at least ``FEW`` symbols left, the one whose name hash
 windows side by side mostly share one.
 
 1. Spark groups documents by their anchors: only windows whose anchor occurs in two different documents can repeat.
-2. Those windows get a hash of their words; grouped by (anchor, hash), each learns the smallest document it starts in.
+2. Those windows get a hash of their words; grouped by (anchor, hash), each learns the smallest document it starts in. They are shuffled
+   once for that. Only windows of anchors found at more than ``COMMON`` places, whose groups have no bound, are aggregated before the
+   shuffle and joined with the outcome.
 3. Words covered by a window that starts in a smaller document go.
 Documents with the same words as a smaller one are decided as a whole before step 1, so big groups of copies stay one document.
 """
@@ -24,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from heliograde.session import discard, durable
 
 WINDOW = 50
-FEW = 4  # symbols that the level of an anchor has at least, if any level has
+FEW = 2  # symbols that the level of an anchor has at least, if any level has
 BLOCK = 150_000  # words parsed at once; a longer document is a block of its own
 REMEMBERED = 500_000  # word hashes kept by a task
+COMMON = 10_000  # places of an anchor above which its windows are grouped map-side first and joined back
 
 _M1, _M2, _RUN, _EDGE = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 _B = 0x5851F42D4C957F2D  # odd base of the word hash of windows
@@ -148,7 +150,7 @@ def _lowest(rank: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 def _parse(window: int):
-    """(ident, text) -> (ident, n_words, sha, keys, pos, n): anchors of the windows, equal neighbours as one."""
+    """(ident, text, raw) -> (ident, raw, n_words, sha, keys, pos, n): anchors of the windows, equal neighbours as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -160,10 +162,10 @@ def _parse(window: int):
                 held.append((hashlib.sha256(b" ".join(words)).hexdigest(), word_hashes(words)))
                 size += len(words)
                 if size >= BLOCK or k == b.num_rows - 1:
-                    yield block(b.column(0).slice(at, len(held)), held)
+                    yield block(b.column(0).slice(at, len(held)), b.column(2).slice(at, len(held)), held)
                     held, at, size = [], k + 1, 0
 
-    def block(ident: pa.Array, held: list) -> pa.RecordBatch:
+    def block(ident: pa.Array, raw: pa.Array, held: list) -> pa.RecordBatch:
         sizes = np.array([len(h) for _, h in held], dtype=np.int64)
         sym = np.concatenate([h for _, h in held])
         p, name, place = anchors(sym, sizes, window) if len(sym) else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -175,8 +177,8 @@ def _parse(window: int):
         at = np.flatnonzero(new)
         ends = np.searchsorted(doc[at], np.arange(len(sizes) + 1)).astype(np.int32)
         lists = [name[at].view(np.int64), (p - begin[doc])[at].astype(np.int32), np.diff(np.append(at, len(p))).astype(np.int32)]
-        cols = [ident, pa.array(sizes), pa.array([s for s, _ in held], pa.string()), *(pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in lists)]
-        return pa.RecordBatch.from_arrays(cols, names=["ident", "n_words", "sha", "keys", "pos", "n"])
+        cols = [ident, raw, pa.array(sizes), pa.array([s for s, _ in held], pa.string()), *(pa.ListArray.from_arrays(pa.array(ends), pa.array(x)) for x in lists)]
+        return pa.RecordBatch.from_arrays(cols, names=["ident", "raw", "n_words", "sha", "keys", "pos", "n"])
 
     return run
 
@@ -258,34 +260,39 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     other. Repeated rows all come back; an empty table gives an empty result.
     """
     kind = docs.schema[ident].dataType.simpleString()
-    base = docs.select(F.col(ident).alias("ident"), F.col(text).alias("text"))
-    parsed = durable(base.mapInArrow(_parse(window), f"ident {kind}, n_words bigint, sha string, keys array<bigint>, pos array<int>, n array<int>"))
-    heads = durable(parsed.select("ident", "sha", "n_words"))
-    long = heads.filter(F.col("ident").isNotNull() & (F.col("n_words") >= window)).select("ident", "sha")
-    least = durable(long.groupBy("sha").agg(F.min("ident").alias("least")))
-    # the smallest document of each different text; slot tells texts of one ident apart
+    base = docs.select(F.col(ident).alias("ident"), F.col(text).alias("text"), F.xxhash64(text).alias("raw"))  # raw tells texts of one ident apart
+    parsed = durable(base.mapInArrow(_parse(window), f"ident {kind}, raw bigint, n_words bigint, sha string, keys array<bigint>, pos array<int>, n array<int>"))
+    heads = durable(parsed.select("ident", "raw", "sha", "n_words"))
+    long = heads.filter(F.col("ident").isNotNull() & (F.col("n_words") >= window))
+    least = durable(long.groupBy("sha").agg(F.min(F.struct("ident", "raw")).alias("first")).select("sha", F.col("first.ident").alias("least"), "first.raw"))
+    # the smallest document of each different text; slot numbers the texts of one ident
     slot = F.row_number().over(W.partitionBy("ident").orderBy("sha")).alias("slot")
-    texts = durable(least.withColumnRenamed("least", "ident").select("ident", "sha", slot))
+    texts = durable(least.withColumnRenamed("least", "ident").select("ident", "sha", "raw", slot))
+    least = least.drop("raw")
     mark = F.xxhash64("sha").alias("mark")
     rows = parsed.filter(F.col("ident").isNotNull()).select("ident", mark, F.explode(F.arrays_zip("keys", "pos", "n")).alias("s")).select("ident", "mark", "s.*")
-    shared = rows.groupBy("keys").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).filter("a < z").select("keys")  # in different texts
-    spans = rows.drop("mark").join(durable(shared), "keys").groupBy("ident").agg(F.collect_set(F.struct("keys", "pos", "n")).alias("spans"))
-    spans = durable(spans.join(texts, "ident"))
+    shared = rows.groupBy("keys").agg(F.min("mark").alias("a"), F.max("mark").alias("z"), F.count(F.lit(1)).alias("places")).filter("a < z")  # in different texts
+    shared = durable(shared.select("keys", (F.col("places") > COMMON).alias("common")))
+    span = F.struct("keys", "pos", "n")
+    spans = rows.drop("mark").join(shared, "keys").groupBy("ident").agg(F.collect_set(F.when(~F.col("common"), span)).alias("rare"), F.collect_set(F.when(F.col("common"), span)).alias("common"))
+    spans = durable(spans.join(texts.drop("sha"), "ident"))
     discard(parsed)  # large tables go as soon as the next one is written
-
-    @F.arrow_udf(T.BooleanType())
-    def same(t: pa.Array, sha: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(b" ".join((x.as_py() or "").encode().split())).hexdigest() == y.as_py() for x, y in zip(t, sha, strict=True)], pa.bool_())
-
-    found = durable(base.join(spans, "ident").filter(same("text", "sha")).drop("sha"))
+    found = durable(base.join(spans, ["ident", "raw"]).drop("raw"))
     discard(spans)
-    windows = found.select("ident", "slot", "text", "spans").mapInArrow(_window_rows(window), f"key int, win bigint, ident {kind}, slot int, at int")
-    source = windows.groupBy("key", "win").agg(F.min("ident").alias("a"), F.max("ident").alias("z")).filter("a < z").select("key", "win", "a")
-    gone = durable(windows.join(source, ["key", "win"]).filter("ident > a").groupBy("ident", "slot").agg(F.collect_set("at").alias("starts")))
-    cut = found.drop("spans").join(gone, ["ident", "slot"]).select("ident", "slot", "text", "starts").mapInArrow(_cut(window), f"ident {kind}, slot int, n_removed bigint, kept string")
-    cut = durable(cut.join(texts, ["ident", "slot"]).drop("slot").dropDuplicates(["ident", "sha"]))
+
+    def windows(spans: str) -> DataFrame:
+        own = found.filter(F.size(spans) > 0).select("ident", "slot", "text", spans)
+        return own.mapInArrow(_window_rows(window), f"key int, win bigint, ident {kind}, slot int, at int")
+
+    rare = windows("rare").withColumn("a", F.min("ident").over(W.partitionBy("key", "win")))
+    common = windows("common")
+    source = common.groupBy("key", "win").agg(F.min("ident").alias("a"), F.max("ident").alias("z")).filter("a < z").select("key", "win", "a")
+    later = rare.unionByName(common.join(source, ["key", "win"])).filter("ident > a")
+    gone = durable(later.groupBy("ident", "slot").agg(F.collect_set("at").alias("starts")))
+    cut = found.drop("rare", "common").join(gone, ["ident", "slot"]).select("ident", "slot", "text", "starts").mapInArrow(_cut(window), f"ident {kind}, slot int, n_removed bigint, kept string")
+    cut = durable(cut.join(texts.drop("raw"), ["ident", "slot"]).drop("slot").dropDuplicates(["ident", "sha"]))
     discard(found)
-    out = heads.join(least, "sha", "left").join(cut, ["ident", "sha"], "left")
+    out = heads.drop("raw").join(least, "sha", "left").join(cut, ["ident", "sha"], "left")
     copy = F.coalesce((F.col("ident") > F.col("least")) & (F.col("n_words") >= window), F.lit(False))
     kept = F.when(copy, "").otherwise(F.col("kept"))
     sha = F.when(copy, _EMPTY_SHA).when(F.col("kept").isNotNull(), F.sha2(F.col("kept"), 256)).otherwise(F.col("sha"))
