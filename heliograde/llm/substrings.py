@@ -8,9 +8,9 @@ At the highest level with at least ``FEW`` symbols left, the one whose name hash
 windows side by side mostly share one.
 
 1. Spark groups documents by their anchors: only windows whose anchor occurs in two different documents can repeat.
-2. Those windows get a hash of their words; grouped by (anchor, hash), each learns the smallest document it starts in. They are shuffled
-   once for that. Only windows of anchors found at more than ``COMMON`` places, whose groups have no bound, are aggregated before the
-   shuffle and joined with the outcome.
+2. Those windows get a hash of their words. Grouped by (anchor, hash), each learns the smallest document it starts in. A task first
+   compares its own: a window that starts in a smaller document of the same task is decided there and goes to no group, so a
+   group has at most one document of each block of windows, however common the passage is.
 3. Words covered by a window that starts in a smaller document go.
 Documents with the same words as a smaller one are decided as a whole before step 1, so big groups of copies stay one document.
 """
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,7 +34,7 @@ WINDOW = 50
 FEW = 2  # symbols that the level of an anchor has at least, if any level has
 BLOCK = 150_000  # words parsed at once; a longer document is a block of its own
 REMEMBERED = 500_000  # word hashes kept by a task
-COMMON = 10_000  # places of an anchor above which its windows are grouped map-side first and joined back
+TOGETHER = 200_000  # windows that a task compares before it sends them on
 
 _M1, _M2, _RUN, _EDGE = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 _B = 0x5851F42D4C957F2D  # odd base of the word hash of windows
@@ -184,11 +185,15 @@ def _parse(window: int):
 
 
 def _window_rows(window: int):
-    """(ident, slot, text, spans) -> (key, win, ident, slot, at): the words' hash of every window of the spans."""
+    """(ident, slot, text, spans) -> (key, win, ident, slot, at, decided): the words' hash of every window of the spans.
+
+    decided: a window with these words starts in a smaller ident of the same block; such rows have a key and hash of no meaning.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, size, rows = [], 0, b.num_rows
+            order = pc.rank(b.column(0), tiebreaker="dense").to_numpy()
             for k in range(rows):
                 words = b.column(2)[k].as_py().encode().split()
                 spans = b.column(3)[k].values
@@ -201,17 +206,33 @@ def _window_rows(window: int):
                 power[0] = 1
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word_hashes(words) * np.multiply.accumulate(power))])
                 win = _mix((total[at + window] - total[at]) * _inverse(at))
-                out.append(((key >> 32).astype(np.int32), win.view(np.int64), np.repeat(k, len(at)), at.astype(np.int32)))
+                out.append(((key >> 32).astype(np.int32), win, np.repeat(k, len(at)), at.astype(np.int32)))
                 size += len(at)
-                if size > 200_000 or k == rows - 1:
+                if size > TOGETHER or k == rows - 1:
                     key, win, row, at = (np.concatenate([o[i] for o in out]) for i in range(4))
+                    decided = _not_least(key, win, order[row])
+                    spread = _mix(np.arange(len(win), dtype=np.uint64) ^ win)
+                    key, win = np.where(decided, at, key), np.where(decided, spread, win)
                     take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(win), b.column(0).take(take), b.column(1).take(take), pa.array(at)], names=["key", "win", "ident", "slot", "at"])
+                    cols = [pa.array(key), pa.array(win.view(np.int64)), b.column(0).take(take), b.column(1).take(take), pa.array(at), pa.array(decided)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["key", "win", "ident", "slot", "at", "decided"])
                     out, size = [], 0
 
     return run
 
 
+def _not_least(key: np.ndarray, win: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Which rows have a row of equal key and win but smaller order beside them."""
+    by = np.lexsort((order, key, win))
+    key, win, order = key[by], win[by], order[by]
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = (win[1:] != win[:-1]) | (key[1:] != key[:-1])
+    out = np.zeros(len(by), dtype=bool)
+    if len(by):
+        out[by] = order > order[np.flatnonzero(new)][np.cumsum(new) - 1]
+    return out
+
+
 _INVERSES = np.ones(1, dtype=np.uint64)
 
 
@@ -271,25 +292,17 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     least = least.drop("raw")
     mark = F.xxhash64("sha").alias("mark")
     rows = parsed.filter(F.col("ident").isNotNull()).select("ident", mark, F.explode(F.arrays_zip("keys", "pos", "n")).alias("s")).select("ident", "mark", "s.*")
-    shared = rows.groupBy("keys").agg(F.min("mark").alias("a"), F.max("mark").alias("z"), F.count(F.lit(1)).alias("places")).filter("a < z")  # in different texts
-    shared = durable(shared.select("keys", (F.col("places") > COMMON).alias("common")))
-    span = F.struct("keys", "pos", "n")
-    spans = rows.drop("mark").join(shared, "keys").groupBy("ident").agg(F.collect_set(F.when(~F.col("common"), span)).alias("rare"), F.collect_set(F.when(F.col("common"), span)).alias("common"))
+    shared = rows.groupBy("keys").agg(F.min("mark").alias("a"), F.max("mark").alias("z")).filter("a < z").select("keys")  # in different texts
+    spans = rows.drop("mark").join(durable(shared), "keys").groupBy("ident").agg(F.collect_set(F.struct("keys", "pos", "n")).alias("spans"))
     spans = durable(spans.join(texts.drop("sha"), "ident"))
     discard(parsed)  # large tables go as soon as the next one is written
     found = durable(base.join(spans, ["ident", "raw"]).drop("raw"))
     discard(spans)
-
-    def windows(spans: str) -> DataFrame:
-        own = found.filter(F.size(spans) > 0).select("ident", "slot", "text", spans)
-        return own.mapInArrow(_window_rows(window), f"key int, win bigint, ident {kind}, slot int, at int")
-
-    rare = windows("rare").withColumn("a", F.min("ident").over(W.partitionBy("key", "win")))
-    common = windows("common")
-    source = common.groupBy("key", "win").agg(F.min("ident").alias("a"), F.max("ident").alias("z")).filter("a < z").select("key", "win", "a")
-    later = rare.unionByName(common.join(source, ["key", "win"])).filter("ident > a")
+    windows = found.select("ident", "slot", "text", "spans").mapInArrow(_window_rows(window), f"key int, win bigint, ident {kind}, slot int, at int, decided boolean")
+    least_here = F.min(F.when(~F.col("decided"), F.col("ident"))).over(W.partitionBy("key", "win"))
+    later = windows.withColumn("a", least_here).filter("decided OR ident > a")
     gone = durable(later.groupBy("ident", "slot").agg(F.collect_set("at").alias("starts")))
-    cut = found.drop("rare", "common").join(gone, ["ident", "slot"]).select("ident", "slot", "text", "starts").mapInArrow(_cut(window), f"ident {kind}, slot int, n_removed bigint, kept string")
+    cut = found.drop("spans").join(gone, ["ident", "slot"]).select("ident", "slot", "text", "starts").mapInArrow(_cut(window), f"ident {kind}, slot int, n_removed bigint, kept string")
     cut = durable(cut.join(texts.drop("raw"), ["ident", "slot"]).drop("slot").dropDuplicates(["ident", "sha"]))
     discard(found)
     out = heads.drop("raw").join(least, "sha", "left").join(cut, ["ident", "sha"], "left")

@@ -140,10 +140,17 @@ def removal(spark, rows, window):
     return sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str)
 
 
-@pytest.mark.parametrize("common", [0, 4, 10_000])  # all anchors, some or none are common
+@pytest.mark.parametrize("together", [20, 200_000])  # windows of equal words meet in a group, or in a task
 @pytest.mark.parametrize(("window", "words"), [(50, 5000), (5, 3), (8, 2), (50, 1), (3, 40)])
-def test_removal_equals_brute_force(spark, monkeypatch, window, words, common):
-    monkeypatch.setattr(substrings, "COMMON", common)
+def test_removal_equals_brute_force(spark, monkeypatch, window, words, together):
+    parts = substrings._window_rows
+    def patched(w):
+        inner = parts(w)
+        def run(batches):
+            substrings.TOGETHER = together  # in the Python worker
+            yield from inner(batches)
+        return run
+    monkeypatch.setattr(substrings, "_window_rows", patched)
     rng = random.Random(window * 1000 + words)
     word = lambda: f"w{rng.randrange(words)}"
     shared = [[word() for _ in range(rng.randrange(window, 3 * window))] for _ in range(4)]
