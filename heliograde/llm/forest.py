@@ -3,7 +3,7 @@
 Each tree gives every vector a long string of symbols. A symbol is the axis (and its sign) of a random rotation
 that the vector is closest to, so near vectors share symbols far more often than others. A tree is the sorted array of these strings. A
 query descends in all trees to the longest prefix that it shares with others, then ascends in all trees at once, a symbol
-at a time, until the vectors under its prefixes together reach the wanted number. All of them are compared exactly.
+at a time, until the vectors under its prefixes together reach the wanted number; at the root these are all vectors. All of them are compared exactly.
 
 A tree's array is cut at the first symbol, and a crowded part into chunks by a hash of the id, so each task sorts and searches a bounded
 piece; queries meet all pieces of their first symbol. Counts of pieces add up, so the ascent is the same however a part is cut.
@@ -145,11 +145,23 @@ def search(
     counts = own.select(*cell, "query", "code", "id").unionByName(asks.select(*cell, "query", "code", "id"))
     counts = counts.groupBy(*cell).applyInArrow(_count(symbols, base), "id bigint, level int, n bigint")
     want = max(least, int(share * total))
-    deep = counts.groupBy("id", "level").agg(F.sum("n").alias("n")).groupBy("id").agg(F.coalesce(F.max(F.when(F.col("n") >= want, F.col("level"))), F.lit(1)).alias("level"))
-    asks = asks.join(durable(deep), "id")
+    deep = counts.groupBy("id", "level").agg(F.sum("n").alias("n")).groupBy("id").agg(F.coalesce(F.max(F.when(F.col("n") >= want, F.col("level"))), F.lit(0)).alias("level"))
+    asks = asks.join(durable(deep.filter("level > 0")), "id")
     own = own.withColumn("level", F.lit(0))
     cols = [*cell, "query", "code", "id", "vec", "level"]
     found = own.select(*cols).unionByName(asks.select(*cols)).groupBy(*cell).applyInArrow(_search(symbols, base, kind, k), "query_id bigint, vec_id bigint, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = durable(found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score")))
+    # the root: queries that no symbol gives enough, or k candidates, meet all rows of one tree
+    enough = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    weak = durable(asked.filter("tree = 0").join(enough, "id", "left_anti"))
+    rows = weak.count()
+    if rows:
+        size = {"parts": -(-total // piece), "rows": -(-rows // QUERIES)}
+        own = items.filter("tree = 0").withColumns({c: F.lit(n).cast("bigint") for c, n in size.items()}).withColumn("query", F.lit(False))
+        asks = weak.withColumns({c: F.lit(n).cast("bigint") for c, n in size.items()}).withColumn("query", F.lit(True))
+        own, asks = own.withColumn("x", part("parts")).withColumn("y", every("rows")), asks.withColumn("x", every("parts")).withColumn("y", part("rows"))
+        all_ = own.withColumn("level", F.lit(0)).withColumn("head", F.lit(0)).select(*cols).unionByName(asks.withColumn("level", F.lit(0)).withColumn("head", F.lit(0)).select(*cols))
+        exact = all_.groupBy("x", "y").applyInArrow(_search(symbols, base, kind, k), "query_id bigint, vec_id bigint, score double")
+        found = found.unionByName(exact).groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
