@@ -1,6 +1,6 @@
 """License scans: phrases word by word, and an exact containment join of text blocks with license templates.
 
-A block is a stretch of one line; a template is a set of words. A block matches if it holds at least the threshold's share of
+A block is a stretch of words of the text, across line ends; a template is a set of words. Blocks overlap by the longest template at least. A block matches if it holds at least the threshold's share of
 the template's distinct words. Words of templates are put in one order for the whole corpus, rarest first. A template that
 matches a block shares one of its first (size - needed + 1) words with it (prefix filter), the block has at least as many words
 as are needed (length filter), and the words left after the first common one suffice (position filter). What
@@ -39,10 +39,10 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
 ]
 THRESHOLD = 0.9
-BLOCK, STEP = 64, 32  # words of a block of a long line, and between the starts of two blocks
+STEP = 32  # words between the starts of two blocks, or as many as the longest template has; a block is twice as long
 
-# Bytes of words are 0-9, a-z and all beyond ASCII; A-Z become a-z, line ends stay, everything else parts words.
-_FOLD = bytes(c if c >= 0x80 or chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz\n" else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
+# Bytes of words are 0-9, a-z and all beyond ASCII; A-Z become a-z, everything else parts words.
+_FOLD = bytes(c if c >= 0x80 or chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
 class Index:
@@ -59,6 +59,7 @@ class Index:
             for at, w in enumerate(own[: len(own) - need + 1]):
                 self.prefix.setdefault(w, []).append((len(self.templates), at))
             self.templates.append((label, frozenset(own), need))
+        self.step = max([STEP, *(len(t.split()) for _, t in templates)])
         self.first_words = frozenset(order[w] for w in self.prefix)
 
     def match(self, block: set[bytes], distinct: int) -> list[tuple[str, float]]:
@@ -94,9 +95,10 @@ def template_frequencies(docs: DataFrame, templates=TEMPLATES, text: str = "text
     return {r["word"]: r["n"] for r in rows}
 
 
-def _blocks(line: list[bytes]) -> Iterator[list[bytes]]:
-    for at in range(0, max(1, len(line) - STEP), STEP):
-        yield line[at : at + BLOCK]
+def _blocks(words: list[bytes], step: int) -> Iterator[list[bytes]]:
+    """Any ``step`` words in a row lie in one block."""
+    for at in range(0, max(1, len(words) - step), step):
+        yield words[at : at + 2 * step]
 
 
 RESULT = T.StructType(
@@ -107,8 +109,7 @@ RESULT = T.StructType(
 
 def scan(text: str | None, index: Index, phrases: dict[str, str]) -> tuple:
     """One row of RESULT for one text."""
-    folded = (text or "").encode().translate(_FOLD)
-    words = folded.split()
+    words = (text or "").encode().translate(_FOLD).split()
     joined = b" " + b" ".join(words) + b" "
     places, base = [], set()
     for phrase, label in phrases.items():
@@ -120,15 +121,13 @@ def scan(text: str | None, index: Index, phrases: dict[str, str]) -> tuple:
             at = joined.find(find, at + 1)
     labels, score = set(base), 1.0 if base else 0.0
     if not index.first_words.isdisjoint(words):
-        for line in folded.split(b"\n"):
-            own = line.split()
-            if index.first_words.isdisjoint(own):
+        for block in _blocks(words, index.step):
+            held = set(block)
+            if index.first_words.isdisjoint(held):
                 continue
-            for block in _blocks(own):
-                held = set(block)
-                for label, share in index.match(held, len(held)):
-                    labels.add(label)
-                    score = max(score, share)
+            for label, share in index.match(held, len(held)):
+                labels.add(label)
+                score = max(score, share)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
 
 
