@@ -33,9 +33,13 @@ def budgets(leaves: DataFrame, tree: list[str], weights: list[dict[str, float]],
     """(tree..., tokens, budget) of every leaf. ``leaves`` has (tree..., tokens); ``total`` is the budget as an expression over
     the column ``all_tokens``; ``weights[i]`` maps names of level i to weights ("*": any other; empty: all equal).
 
-    A leaf holds at most ``epochs`` times its tokens. Where the tree as a whole holds less than the total, every leaf is full.
+    A leaf holds at most ``epochs`` times its tokens. A leaf with a weight of 0 on its path holds nothing.
+    Where the leaves together hold less than the total, every one of them is full.
     """
-    cap = leaves.withColumn("cap", (F.col("tokens") * F.lit(epochs)).cast("double"))
+    usable = F.lit(True)
+    for level, name in enumerate(tree):
+        usable = usable & (_weight(level, weights, name) > 0)
+    cap = leaves.withColumn("cap", F.when(usable, (F.col("tokens") * F.lit(epochs)).cast("double")).otherwise(F.lit(0.0)))
     node = cap.agg(F.sum("tokens").alias("all_tokens"), F.sum("cap").alias("__c")).select(F.least(total.cast("double"), F.col("__c")).alias("budget"), F.lit(1).alias("one"))
     for level in range(len(tree)):
         names, parent = tree[: level + 1], tree[:level] or ["one"]
