@@ -13,15 +13,19 @@ from heliograde.sources import files
 from heliograde.sources import tables as T
 
 KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
-KEY = F.col("l_orderkey") * 8 + F.col("l_linenumber")
 HK = H("l_orderkey * 8 + l_linenumber")
 ORDER = f"{HK}, l_orderkey, l_partkey, l_suppkey, l_linenumber"
 KEYLIST = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
 
 
+def row_key():
+    """Key of a line item, for hash orders. Columns need a session, so none is made at import."""
+    return F.col("l_orderkey") * 8 + F.col("l_linenumber")
+
+
 @query("sm1_cap_per_chip", f"""SELECT {KEYLIST}, site FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY {ORDER}) AS rn FROM pool) WHERE rn <= 40""", ("pool",))
 def cap_per_chip(spark, sf):
-    return S.cap_per_group(T.pool(spark, sf), ["site"], KEY, KEYS, 40).select(*KEYS, "site")
+    return S.cap_per_group(T.pool(spark, sf), ["site"], row_key(), KEYS, 40).select(*KEYS, "site")
 
 
 def even_sql(src: str, by: str, member: str, count: str, budget: str) -> str:
@@ -60,7 +64,7 @@ BUDGET = 1500
       FROM sc JOIN lv2 USING (country, cell))
     SELECT {KEYLIST}, country, cell, site FROM (SELECT p.*, q2, row_number() OVER (PARTITION BY p.country, p.cell, p.site ORDER BY {ORDER}) AS rn FROM pool p JOIN sq USING (country, cell, site)) WHERE rn <= q2""", ("pool",))
 def spread_sample(spark, sf):
-    return S.spread_sample(T.pool(spark, sf), "country", "cell", "site", KEY, KEYS, BUDGET).select(*KEYS, "country", "cell", "site")
+    return S.spread_sample(T.pool(spark, sf), "country", "cell", "site", row_key(), KEYS, BUDGET).select(*KEYS, "country", "cell", "site")
 
 
 GSPLIT = f"""u AS (SELECT DISTINCT country, site FROM pool), k AS (SELECT country, site, count(*) OVER (PARTITION BY country) AS n,
@@ -82,12 +86,12 @@ def split_violations(spark, sf):
 @query("sm5_row_split", f"""SELECT {KEYLIST}, country, CASE WHEN n >= 5 AND rn <= floor(n * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM
     (SELECT *, count(*) OVER (PARTITION BY country) AS n, row_number() OVER (PARTITION BY country ORDER BY {ORDER}) AS rn FROM pool)""", ("pool",))
 def row_split(spark, sf):
-    return S.row_split(T.pool(spark, sf), "country", KEY, KEYS).select(*KEYS, "country", "split")
+    return S.row_split(T.pool(spark, sf), "country", row_key(), KEYS).select(*KEYS, "country", "split")
 
 
 @query("sm6_balanced_classes", f"SELECT {KEYLIST}, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {ORDER}) AS rn FROM pool) WHERE rn <= 5000", ("pool",))
 def balanced_classes(spark, sf):
-    return S.balanced_classes(T.pool(spark, sf), "label", KEY, KEYS, 5000).select(*KEYS, "label")
+    return S.balanced_classes(T.pool(spark, sf), "label", row_key(), KEYS, 5000).select(*KEYS, "label")
 
 
 @query("sm6_class_ratios", f"""WITH p AS (SELECT country, label, {KEYLIST} FROM pool), n AS (SELECT count(*) AS n FROM p WHERE label = 1),
@@ -96,7 +100,7 @@ def balanced_classes(spark, sf):
     SELECT ratio, label, count(*) AS n FROM t GROUP BY ALL""", ("pool",))
 def class_ratios(spark, sf):
     p = T.pool(spark, sf)
-    return S.class_ratio(p, "label", KEY, KEYS, [1, 2, 5]).groupBy("ratio", "label").agg(F.count(F.lit(1)).alias("n"))
+    return S.class_ratio(p, "label", row_key(), KEYS, [1, 2, 5]).groupBy("ratio", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("w3_fill_to_target_area", f"""WITH t AS (SELECT country, sum(area) * 0.1 AS target FROM pool WHERE label = 1 GROUP BY country),
@@ -105,14 +109,14 @@ def class_ratios(spark, sf):
 def fill_to_target(spark, sf):
     p = T.pool(spark, sf)
     t = p.filter("label = 1").groupBy("country").agg((F.sum("area") * 0.1).alias("target"))
-    out = S.fill_to_target(p.filter("label = 0").join(t, "country"), ["country"], KEY, KEYS, "area", "target")
+    out = S.fill_to_target(p.filter("label = 0").join(t, "country"), ["country"], row_key(), KEYS, "area", "target")
     return out.select(*KEYS, "country", F.round("cum_amount", 4).alias("cum_amount"))
 
 
 @query("w4_first_n_and_overflow", f"""SELECT country, CASE WHEN rn <= 1000 THEN 'kept' ELSE 'overflow' END AS part, count(*) AS n, min(l_orderkey) AS first_key, max(l_orderkey) AS last_key FROM
     (SELECT *, row_number() OVER (PARTITION BY country ORDER BY {ORDER}) AS rn FROM pool) GROUP BY 1, 2""", ("pool",))
 def first_n(spark, sf):
-    return S.split_first(T.pool(spark, sf), ["country"], KEY, KEYS, 1000).groupBy("country", "part").agg(
+    return S.split_first(T.pool(spark, sf), ["country"], row_key(), KEYS, 1000).groupBy("country", "part").agg(
         F.count(F.lit(1)).alias("n"), F.min("l_orderkey").alias("first_key"), F.max("l_orderkey").alias("last_key")
     )
 
