@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograde.llm import forest, hosts, html, licenses, mixing, pieces, quality, simhash, substrings, toxicity
+from heliograde.llm import alignment, bytepairs, forest, hosts, html, licenses, mixing, pieces, quality, resampling, simhash, substrings, toxicity
+from heliograde.session import durable
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -112,6 +113,49 @@ def op10_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return hosts.judge_urls(pages, outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
+@query()
+def op11_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    return bytepairs.digests(bytepairs.encode_decode(docs, "byte_bpe_multi_50k.tiktoken"))
+
+
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents), b AS (SELECT {WORDS} AS w FROM benchmark),
+runs AS (SELECT r, 0 AS side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d
+  UNION ALL SELECT NULL, 1, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) FROM b),
+tab AS MATERIALIZED (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+x AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM runs)),
+bytes AS (SELECT f, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS y FROM x),
+crc AS (SELECT f, xor(list_reduce(list_concat([4294967295::BIGINT], y), lambda c, z: xor(c >> 8, t[(xor(c, z) & 255) + 1])), 4294967295) % 10000 AS bucket FROM bytes, tab),
+n AS (SELECT bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM runs JOIN crc USING (f) GROUP BY bucket),
+tot AS (SELECT sum(s)::DOUBLE AS s_all, sum(t)::DOUBLE AS t_all FROM n),
+g AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM n, tot),
+per AS (SELECT r, count(*) AS n, sum(gain)::BIGINT AS gain FROM runs JOIN crc USING (f) JOIN g USING (bucket) WHERE side = 0 GROUP BY r),
+sc AS (SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce(floor(gain::DOUBLE / n), 0)::BIGINT AS weight,
+  ('0x' || substr(sha256('7:' || coalesce(d.doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN per USING (r)),
+e AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM sc),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id, weight DESC, n_features DESC) AS place, count(*) FILTER (WHERE n_words >= 20) OVER () AS able FROM e)
+SELECT doc_id, n_words::BIGINT AS n_words, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place END AS "rank" FROM k
+"""
+)
+def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    docs, target = _table(spark, sf, "documents").select("doc_id", "text"), _table(spark, sf, "benchmark").select("text")
+    return resampling.resample(docs, target)
+
+
+@query()
+def op13_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    blocks = alignment.aligned_blocks(docs, "byte_bpe_50k.json", MODEL)
+    hashed = F.transform("texts", lambda t: t.withField("groups_sha256", F.when(t["groups"] == "", "").otherwise(F.sha2(t["groups"], 256))).dropFields("groups"))
+    out = alignment.with_link_counts(durable(blocks.withColumn("texts", hashed)))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps", "n_shared")
+
+
 @query()
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
