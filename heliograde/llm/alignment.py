@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from heliograde.llm import bytepairs, pieces
 from heliograde.session import durable
 
-BLOCK_CHARS = 2_000_000  # characters of the texts that are aligned together
+BLOCK_CHARS = 1_000_000  # characters of the texts that are aligned together
+REMEMBERED = 250_000  # words that a task keeps for each of the two vocabularies
 
 
 @dataclass
@@ -87,6 +88,7 @@ class Aligner:
     def __init__(self, byte_model: str, piece_model: str):
         self.a = bytepairs.load(pieces.model_path(byte_model))
         self.b = pieces.load(pieces.model_path(piece_model))
+        self.a.remembered = REMEMBERED
         self.a_raw = self.a.raw
         self.b_raw = [p.replace(pieces.BLANK, " ").encode() for p in self.b.pieces]
         for byte, i in enumerate(self.b.byte_ids):
@@ -97,6 +99,9 @@ class Aligner:
 
     def block(self, texts: list[str]) -> _Block:
         """All texts aligned as one sequence of bytes. A text whose tokens do not spell it has none."""
+        if len(self.b.words) > REMEMBERED:
+            self.b.words.clear()
+            self.b.stable.clear()
         a = [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in self.a.encode_block([" " + t if t else "" for t in texts])]
         b = [self.b.encode(t).astype(np.int64) for t in texts]
         for k, t in enumerate(texts):

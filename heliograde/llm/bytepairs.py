@@ -110,6 +110,7 @@ class BytePairs:
                 first[a, b] = self._rank(int(self.byte_ids[a]), int(self.byte_ids[b]))
         self.first = first
         self.known: dict[str, bytes] = {}
+        self.remembered = REMEMBERED
 
     def _rank(self, left: int, right: int) -> int:
         key = left << self.bits | right
@@ -248,7 +249,7 @@ class BytePairs:
         """Packed ids (little-endian unsigned 32-bit integers) of each text, as one block."""
         split = [words_of(t) for t in texts]
         known = self.known
-        if len(known) > REMEMBERED:
+        if len(known) > self.remembered:
             known.clear()
         new = list(set().union(*split).difference(known))
         if new:
