@@ -5,12 +5,17 @@ the template's distinct words. Words of templates are put in one order for the w
 matches a block shares one of its first (size - needed + 1) words with it (prefix filter), the block has at least as many words
 as are needed (length filter), and the words left after the first common one suffice (position filter). What
 passes is counted exactly. Templates are few and fixed, so their index goes to every task; blocks never meet each other.
+
+Licenses of one family differ by a word, so containment alone names several. Two templates of different labels are rivals where the words of
+one make up the needed share of the other. Against a rival, a template needs all the words that the rival lacks; and where
+the block has all the words that only the rival has, the template must stand whole between them, in a stretch a quarter longer than
+itself at most. Numbers of a template, which are versions, must be there in any case.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,16 +64,46 @@ class Index:
             for at, w in enumerate(own[: len(own) - need + 1]):
                 self.prefix.setdefault(w, []).append((len(self.templates), at))
             self.templates.append((label, frozenset(own), need))
+        self.numbers = [frozenset(w for w in own if order[w].isdigit()) for _, own, _ in self.templates]
+        self.rivals = [self._rivals(k) for k in range(len(self.templates))]
         self.step = max([STEP, *(len(t.split()) for _, t in templates)])
         self.first_words = frozenset(order[w] for w in self.prefix)
 
-    def match(self, block: set[bytes], distinct: int) -> list[tuple[str, float]]:
-        """(label, containment) of every template that the block (its words, and how many they are) matches."""
+    def _rivals(self, k: int) -> list[tuple[frozenset[int], frozenset[int]]]:
+        """For each rival of a template: the words that the rival lacks and the template must therefore show, and the words that only the rival has."""
+        label, own, need = self.templates[k]
+        out = []
+        for other, words, other_need in self.templates:
+            both = len(own & words)
+            if other != label and both >= min(need, other_need):
+                out.append((own - words if both >= need else frozenset(), words - own))
+        return out
+
+    def _stands(self, k: int, block: list[bytes], own: set[int]) -> bool:
+        """Whether a template whose words the block holds is meant, and not a rival."""
+        _, words, _ = self.templates[k]
+        if not self.numbers[k] <= own:
+            return False
+        for lacking, only in self.rivals[k]:
+            if not lacking <= own:
+                return False
+            if only and only <= own:
+                near: deque[int | None] = deque(maxlen=len(words) + len(words) // 4)
+                for w in map(self.order.get, block):
+                    near.clear() if w in only else near.append(w)
+                    if w in words and words <= set(near):
+                        break
+                else:
+                    return False
+        return True
+
+    def _contained(self, block: set[bytes], distinct: int) -> list[tuple[int, float]]:
+        """(template, containment) of every template whose needed share a block with so many distinct words holds."""
         own = sorted(self.order[w] for w in block if w in self.order)
         out, seen = [], set()
         for at, w in enumerate(own):
             for k, place in self.prefix.get(w, ()):
-                label, words, need = self.templates[k]
+                _, words, need = self.templates[k]
                 if k in seen or distinct < need:
                     continue
                 seen.add(k)  # the first common word decides the position filter
@@ -76,9 +111,20 @@ class Index:
                     continue
                 both = len(words.intersection(own))
                 if both >= need:
-                    out.append((label, both / len(words)))
+                    out.append((k, both / len(words)))
         return out
 
+    def match(self, block: set[bytes], distinct: int) -> list[tuple[str, float]]:
+        """(label, containment) of every template that the block (its words, and how many they are) holds, rivals or not."""
+        return [(self.templates[k][0], share) for k, share in self._contained(block, distinct)]
+
+    def meant(self, block: list[bytes]) -> list[tuple[str, float]]:
+        """(label, containment) of every template that a block of words in order holds and that no rival explains."""
+        held = set(block)
+        found = self._contained(held, len(held))
+        own = {self.order[w] for w in held if w in self.order} if found else set()
+        return [(self.templates[k][0], share) for k, share in found if self._stands(k, block, own)]
+
 
 def template_frequencies(docs: DataFrame, templates=TEMPLATES, text: str = "text") -> dict[str, int]:
     """How often each template word occurs in all documents. The result has one row for each such word, whatever the corpus."""
@@ -114,18 +160,18 @@ def scan(text: str | None, index: Index, phrases: dict[str, str]) -> tuple:
     places, base = [], set()
     for phrase, label in phrases.items():
         find = b" " + phrase.encode() + b" "
-        at = joined.find(find)
+        at, word, last = joined.find(find), 0, 0
         while at >= 0:
-            places.append(joined.count(b" ", 0, at))
+            word, last = word + joined.count(b" ", last, at), at
+            places.append(word)
             base.add(label)
             at = joined.find(find, at + 1)
     labels, score = set(base), 1.0 if base else 0.0
     if not index.first_words.isdisjoint(words):
         for block in _blocks(words, index.step):
-            held = set(block)
-            if index.first_words.isdisjoint(held):
+            if index.first_words.isdisjoint(block):
                 continue
-            for label, share in index.match(held, len(held)):
+            for label, share in index.meant(block):
                 labels.add(label)
                 score = max(score, share)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score

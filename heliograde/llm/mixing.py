@@ -36,40 +36,42 @@ def budgets(leaves: DataFrame, tree: list[str], weights: list[dict[str, float]],
     A leaf holds at most ``epochs`` times its tokens. A leaf with a weight of 0 on its path holds nothing.
     Where the leaves together hold less than the total, every one of them is full.
     """
+    # levels may have any name, so all columns of the work have names of their own
+    keys = [f"__n{i}" for i in range(len(tree))]
     usable = F.lit(True)
     for level, name in enumerate(tree):
         usable = usable & (_weight(level, weights, name) > 0)
-    cap = leaves.withColumn("cap", F.when(usable, (F.col("tokens") * F.lit(epochs)).cast("double")).otherwise(F.lit(0.0)))
-    node = cap.agg(F.sum("tokens").alias("all_tokens"), F.sum("cap").alias("__c")).select(F.least(total.cast("double"), F.col("__c")).alias("budget"), F.lit(1).alias("one"))
+    cap = F.when(usable, (F.col("tokens") * F.lit(epochs)).cast("double")).otherwise(F.lit(0.0))
+    cap = leaves.select(*[F.col(c).alias(k) for c, k in zip(tree, keys, strict=True)], F.col("tokens").alias("__tokens"), cap.alias("__cap"))
+    node = cap.agg(F.sum("__tokens").alias("all_tokens"), F.sum("__cap").alias("__c")).select(F.least(total.cast("double"), F.col("__c")).alias("__budget"), F.lit(1).alias("__one"))
     for level in range(len(tree)):
-        names, parent = tree[: level + 1], tree[:level] or ["one"]
-        own = cap.groupBy(*names).agg(F.sum("cap").alias("c")).withColumn("one", F.lit(1))
-        own = own.withColumn("w", _weight(level, weights, tree[level])).join(node, parent)
+        names, parent = keys[: level + 1], keys[:level] or ["__one"]
+        own = cap.groupBy(*names).agg(F.sum("__cap").alias("__c")).withColumn("__one", F.lit(1))
+        own = own.withColumn("__w", _weight(level, weights, keys[level])).join(node, parent)
         # children in the order in which rising water fills them: those before one are full when it is
-        ratio = F.when(F.col("w") > 0, F.col("c") / F.col("w")).otherwise(F.lit(float("inf")))
+        ratio = F.when(F.col("__w") > 0, F.col("__c") / F.col("__w")).otherwise(F.lit(float("inf")))
         order = W.partitionBy(*parent).orderBy(ratio, *names)
-        before = order.rowsBetween(W.unboundedPreceding, -1)
-        after = order.rowsBetween(0, W.unboundedFollowing)
-        filled = F.coalesce(F.sum("c").over(before), F.lit(0.0))
-        rest_w = F.sum("w").over(after)
-        own = own.withColumn("share", F.when(rest_w > 0, (F.col("budget") - filled) / rest_w).otherwise(F.lit(0.0))).withColumn("full", F.col("w") * F.col("share") >= F.col("c"))
+        filled = F.coalesce(F.sum("__c").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+        rest_w = F.sum("__w").over(order.rowsBetween(0, W.unboundedFollowing))
+        own = own.withColumn("__share", F.when(rest_w > 0, (F.col("__budget") - filled) / rest_w).otherwise(F.lit(0.0))).withColumn("__full", F.col("__w") * F.col("__share") >= F.col("__c"))
         # the water level is the share of the first child that is not full
-        level_at = F.min(F.when(~F.col("full"), F.struct(ratio.alias("r"), *[F.col(n) for n in names], F.col("share").alias("s")))).over(W.partitionBy(*parent))
-        own = own.withColumn("s", level_at["s"])
-        node = own.select(*names, F.when(F.col("full"), F.col("c")).otherwise(F.col("w") * F.col("s")).alias("budget"))
-    return cap.join(node, tree).select(*tree, "tokens", F.floor("budget").cast("bigint").alias("budget"))
+        first = F.min(F.when(~F.col("__full"), F.struct(ratio.alias("__r"), *[F.col(n) for n in names], F.col("__share").alias("__s")))).over(W.partitionBy(*parent))
+        own = own.withColumn("__s", first["__s"])
+        node = own.select(*names, F.when(F.col("__full"), F.col("__c")).otherwise(F.col("__w") * F.col("__s")).alias("__budget"))
+    named = [F.col(k).alias(c) for c, k in zip(tree, keys, strict=True)]
+    return cap.join(node, keys).select(*named, F.col("__tokens").alias("tokens"), F.floor("__budget").cast("bigint").alias("budget"))
 
 
 def mix(
     docs: DataFrame, tree: list[str], weights: list[dict[str, float]], total: Column, epochs: int = 1, seed: str = "0", ident: str = "doc_id", tokens: str = "n_tokens", digits: int = SLICE_DIGITS
 ) -> DataFrame:
-    """``docs`` with a column ``copies``: how many epochs take the row (0: left out). All rows and columns stay.
+    """``docs`` with a column ``copies``: how many epochs take the row (0: left out). All rows stay, and all columns but one that is called ``copies`` before.
 
     ``tree`` names columns of ``docs``; null names form a group of their own. Rows of a leaf are ordered by the md5 of (seed, epoch, ident), rows of
     equal order are taken together or not at all. A null ident counts as an empty one. An empty table gives an empty result.
     """
     keys = [f"__k{i}" for i in range(len(tree))]
-    rows = docs.select("*", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(k) for c, k in zip(tree, keys, strict=True)))
+    rows = docs.drop("copies").select("*", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(k) for c, k in zip(tree, keys, strict=True)))
     leaf = budgets(rows.groupBy(*keys).agg(F.sum(tokens).alias("tokens")), keys, weights, total, epochs)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("bigint")
     leaf = leaf.select(*keys, whole.alias("__whole"), (F.col("budget") - whole * F.col("tokens")).alias("__rest"))
@@ -84,4 +86,4 @@ def mix(
     inside = F.sum(tokens).over(W.partitionBy(*keys, "__slice").orderBy("__rank"))
     cut = cut.withColumn("__in", F.col("__before") + inside <= F.col("__rest"))
     out = rows.filter("__in OR __out").unionByName(cut)
-    return out.withColumn("copies", F.col("__whole") + F.col("__in").cast("bigint")).select(*docs.columns, "copies")
+    return out.withColumn("copies", F.col("__whole") + F.col("__in").cast("bigint")).select(*[c for c in docs.columns if c != "copies"], "copies")

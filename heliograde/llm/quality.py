@@ -100,11 +100,12 @@ def language_references(docs: DataFrame, lang: str = "lang", text: str = "text")
 
 def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance of count rows; nan where a row is empty."""
+    none = (p.sum(axis=1) == 0) | (q.sum(axis=1) == 0)
     with np.errstate(divide="ignore", invalid="ignore"):
         p, q = p / p.sum(axis=1, keepdims=True), q / q.sum(axis=1, keepdims=True)
         m = (p + q) / 2
         kl = lambda a: np.where(a > 0, a * np.log2(a / m), 0.0).sum(axis=1)
-        return np.sqrt(np.maximum(0.0, (kl(p) + kl(q)) / 2))
+        return np.where(none, np.nan, np.sqrt(np.maximum(0.0, (kl(p) + kl(q)) / 2)))
 
 
 def repeated_words(words: list[bytes], window: int = 5) -> int:

@@ -281,5 +281,5 @@ def test_mixing_edges(spark):
 
 def test_nothing_but_results(spark):
     """All queries of the subpackage are there, one for each operator."""
-    assert {re.match(r"op(\d+)_", q)[1] for q in queries.QUERIES if q != "pipeline"} == {str(k) for k in range(1, 11)}
+    assert {re.match(r"op(\d+)_", q)[1] for q in queries.QUERIES if q != "pipeline"} == {str(k) for k in range(1, 14)}
     assert pd.Series(queries.QUERIES).index.is_unique
