@@ -273,10 +273,10 @@ def _cut(window: int):
 
 
 def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(ident, n_words, n_removed, kept, kept_sha256) for every row; kept is null where nothing was removed.
+    """(ident, n_words, n_removed, kept, kept_sha256, words_sha256) for every row; kept is null where nothing was removed.
 
     A word goes if a window of ``window`` words that covers it also starts in a row of smaller ident, judged on the input.
-    kept has the other words joined by one blank, kept_sha256 the digest of all that stay. Null and empty texts have no words. A
+    kept has the other words joined by one blank, kept_sha256 the digest of all that stay, words_sha256 that of all words before. Null and empty texts have no words. A
     row of null ident neither loses words nor makes others lose them. Rows of equal ident never take words from each
     other. Repeated rows all come back; an empty table gives an empty result.
     """
@@ -310,4 +310,4 @@ def remove_repeats(docs: DataFrame, ident: str = "doc_id", text: str = "text", w
     kept = F.when(copy, "").otherwise(F.col("kept"))
     sha = F.when(copy, _EMPTY_SHA).when(F.col("kept").isNotNull(), F.sha2(F.col("kept"), 256)).otherwise(F.col("sha"))
     removed = F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("bigint")))
-    return out.select(F.col("ident").alias(ident), "n_words", removed.alias("n_removed"), kept.alias("kept"), sha.alias("kept_sha256"))
+    return out.select(F.col("ident").alias(ident), "n_words", removed.alias("n_removed"), kept.alias("kept"), sha.alias("kept_sha256"), F.col("sha").alias("words_sha256"))
