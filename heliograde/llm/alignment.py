@@ -11,8 +11,9 @@ stands in every text is one row for each block; counts come back to the block an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from heliograde.llm import bytepairs, pieces
 from heliograde.session import durable
 
 BLOCK_CHARS = 1_000_000  # characters of the texts that are aligned together
-REMEMBERED = 250_000  # words that a task keeps for each of the two vocabularies
+REMEMBERED = 400_000  # words of A that a task keeps
 
 
 @dataclass
@@ -49,10 +50,13 @@ class Sparse:
     def times(self, other: Sparse) -> Sparse:
         """Gustavson's product of 0-1 matrices: row r is the sum of the rows of ``other`` that row r names. Entries of a row are in column order."""
         sizes = np.diff(other.starts)[self.columns]
-        offsets = np.cumsum(sizes) - sizes
-        take = np.arange(int(sizes.sum())) - np.repeat(offsets - other.starts[self.columns], sizes)
-        rows, columns = np.repeat(self.rows, sizes), other.columns[take]
-        key = rows * max(other.width, 1) + columns
+        shift = np.cumsum(sizes) - sizes - other.starts[self.columns]
+        take = np.arange(int(sizes.sum()))
+        take -= np.repeat(shift, sizes)
+        key = np.repeat(self.rows, sizes)
+        key *= max(other.width, 1)
+        key += other.columns[take]
+        del take, shift, sizes
         if len(key) > 1 and not (key[1:] >= key[:-1]).all():
             key = np.sort(key)
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
@@ -82,31 +86,34 @@ def shared_group_links(a_ends: np.ndarray, b_ends: np.ndarray, cuts: np.ndarray)
     return token_groups(a_ends, cuts).times(token_groups(b_ends, cuts).transposed())
 
 
+@lru_cache(maxsize=4)
+def _pieces(path: str):
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=path)
+
+
 class Aligner:
     """The two vocabularies, with the bytes of every token."""
 
     def __init__(self, byte_model: str, piece_model: str):
         self.a = bytepairs.load(pieces.model_path(byte_model))
-        self.b = pieces.load(pieces.model_path(piece_model))
+        self.b = _pieces(pieces.model_path(piece_model))
         self.a.remembered = REMEMBERED
         self.a_raw = self.a.raw
-        self.b_raw = [p.replace(pieces.BLANK, " ").encode() for p in self.b.pieces]
-        for byte, i in enumerate(self.b.byte_ids):
-            self.b_raw[i] = bytes([byte])
+        names = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
+        self.b_raw = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace(pieces.BLANK, " ").encode() for i, p in enumerate(names)]
         self.a_size, self.b_size = (np.array(list(map(len, raw)), dtype=np.int64) for raw in (self.a_raw, self.b_raw))
         # how a group is written: ids of A with commas, a bar, ids of B with commas, a semicolon
         self.names = pa.array([f"{i}{end}" for n, ends in ((len(self.a_raw), ",|"), (len(self.b_raw), ",;")) for end in ends for i in range(n)], pa.string())
 
     def block(self, texts: list[str]) -> _Block:
         """All texts aligned as one sequence of bytes. A text whose tokens do not spell it has none."""
-        if len(self.b.words) > REMEMBERED:
-            self.b.words.clear()
-            self.b.stable.clear()
         a = [np.frombuffer(x, dtype="<u4").astype(np.int64) for x in self.a.encode_block([" " + t if t else "" for t in texts])]
-        b = [self.b.encode(t).astype(np.int64) for t in texts]
+        b = [np.array(x, dtype=np.int64) for x in self.b.encode(texts, num_threads=1)]
         for k, t in enumerate(texts):
-            spelt = (" " + t).encode() if t else b""
-            if b"".join(map(self.a_raw.__getitem__, a[k].tolist())) != spelt or b"".join(map(self.b_raw.__getitem__, b[k].tolist())) != spelt:
+            # bytes of A spell every text; pieces of B spell blanks where the text has the letter that stands for them
+            if pieces.BLANK in t or self.b_size[b[k]].sum() != self.a_size[a[k]].sum():
                 a[k], b[k] = a[k][:0], b[k][:0]
         none = np.zeros(0, dtype=np.int64)
         return _Block(self, np.concatenate([none, *a]), np.concatenate([none, *b]), np.array(list(map(len, a)), dtype=np.int64), np.array(list(map(len, b)), dtype=np.int64))
@@ -132,7 +139,7 @@ class _Block:
         ends = np.cumsum(self.n_a)
         return np.where(ends > 0, self.a_ends[np.maximum(ends, 1) - 1] if self.n else 0, 0)
 
-    def written(self) -> list[str]:
+    def written(self) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` for each text: the ids of every group in order."""
         n_a, n_b = len(self.by.a_raw), len(self.by.b_raw)
         ga, gb = token_groups(self.a_ends, self.cuts).columns, token_groups(self.b_ends, self.cuts).columns
@@ -143,7 +150,7 @@ class _Block:
         offsets = np.frombuffer(text.buffers()[1], dtype=np.int32, count=len(text) + 1) if len(text) else np.zeros(1, dtype=np.int32)
         data = text.buffers()[2]
         ends = offsets[np.cumsum(self.n_a + self.n_b)].tolist()
-        return [data.slice(x, y - x - 1).to_pybytes().decode() if y > x else "" for x, y in zip([0, *ends[:-1]], ends, strict=True)]
+        return [data.slice(x, y - x - 1).to_pybytes() if y > x else b"" for x, y in zip([0, *ends[:-1]], ends, strict=True)]
 
     def shared(self) -> np.ndarray:
         """Number of shared-group links of each text, from the column sums of both incidences; none of them is made."""
@@ -157,7 +164,7 @@ class _Block:
 TEXT = "n_a long, n_b long, n_groups long, n_links long, n_overlaps long, n_shared long, groups string"
 
 
-def aligned_blocks(docs: DataFrame, byte_model: str, piece_model: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def aligned_blocks(docs: DataFrame, byte_model: str, piece_model: str, ident: str = "doc_id", text: str = "text", write: Callable[[bytes], str] = bytes.decode) -> DataFrame:
     """One row for each block of texts: (block, pairs, times, links, texts).
 
     ``pairs`` are the distinct id pairs (A id << 32 | B id) whose tokens end together in the block, ``times`` how often; ``links`` has for every link,
@@ -165,6 +172,7 @@ def aligned_blocks(docs: DataFrame, byte_model: str, piece_model: str, ident: st
     n_overlaps, n_shared, groups): numbers of tokens, groups, links that end together, links that share bytes, links that share a
     group, and the groups as ``a1,a2|b1;a3|b2,b3`` (ids in order).
 
+    ``write`` turns the groups as written into what is returned, a digest for instance, inside the task.
     A reads a space and the text, B the text. Null and empty texts, and those that the bytes of the tokens of A or B do not spell, have zeros and
     an empty string. Repeated rows are aligned one by one; an empty table gives an empty result. Other columns are not
     read. The numbers of blocks hold for one run, so store the result before using it twice.
@@ -179,7 +187,7 @@ def aligned_blocks(docs: DataFrame, byte_model: str, piece_model: str, ident: st
         for part, texts in bytepairs.blocks(batches, 1, BLOCK_CHARS):
             b = by.block(texts)
             pairs, links, times = np.unique(b.a[b.link_a] << 32 | b.b[b.link_b], return_inverse=True, return_counts=True)
-            columns = [part.column(0), *map(pa.array, (b.n_a, b.n_b, b.n_groups, b.n_links, b.n_overlaps, b.shared(), b.written()))]
+            columns = [part.column(0), *map(pa.array, (b.n_a, b.n_b, b.n_groups, b.n_links, b.n_overlaps, b.shared(), list(map(write, b.written()))))]
             rows = pa.StructArray.from_arrays(columns, names=["ident", *(x.split()[0] for x in TEXT.split(", "))])
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x) if isinstance(x, np.ndarray) else x)
             yield pa.RecordBatch.from_arrays(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,9 +152,8 @@ def op12_importance_resampling(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op13_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents").select("doc_id", "text")
-    blocks = alignment.aligned_blocks(docs, "byte_bpe_50k.json", MODEL)
-    hashed = F.transform("texts", lambda t: t.withField("groups_sha256", F.when(t["groups"] == "", "").otherwise(F.sha2(t["groups"], 256))).dropFields("groups"))
-    out = alignment.with_link_counts(durable(blocks.withColumn("texts", hashed)))
+    blocks = alignment.aligned_blocks(docs, "byte_bpe_50k.json", MODEL, write=lambda groups: hashlib.sha256(groups).hexdigest() if groups else "")
+    out = alignment.with_link_counts(durable(blocks)).withColumnRenamed("groups", "groups_sha256")
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps", "n_shared")
 
 
