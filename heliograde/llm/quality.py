@@ -98,6 +98,9 @@ def language_references(docs: DataFrame, lang: str = "lang", text: str = "text")
     )
 
 
+ROWS = 500  # rows of a batch that are judged at once
+
+
 def _distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon distance of count rows; nan where a row is empty."""
     none = (p.sum(axis=1) == 0) | (q.sum(axis=1) == 0)
@@ -134,6 +137,10 @@ def judge(reference: dict[str, np.ndarray], char_limit: tuple[float, float] = CH
 
     @F.arrow_udf(STATS)
     def stats(text: pa.Array, lang: pa.Array) -> pa.Array:
+        parts = [some(text.slice(at, ROWS), lang.slice(at, ROWS)) for at in range(0, max(1, len(text)), ROWS)]
+        return pa.concat_arrays(parts)
+
+    def some(text: pa.Array, lang: pa.Array) -> pa.Array:
         rows, near, far, langs = [], [], [], []
         for t, own in zip(text.to_pylist(), lang.to_pylist(), strict=True):
             t = t or ""
