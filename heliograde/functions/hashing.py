@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -52,6 +54,30 @@ def hash_order(key: Column | str, seed: int = 0) -> Column:
     return F.aggregate(F.array(*steps), start, step)
 
 
+def hash_array(keys: np.ndarray, seed: int = 0) -> np.ndarray:
+    """``hash_order`` of an array of 64-bit integers, as unsigned 32-bit ones: only the low 31 bits of a product are kept."""
+    a, b = _seed_parts(seed)
+    k = keys.astype(np.int64)
+    x = ((k ^ (k >> 31)) & MASK).astype(np.uint32) ^ np.uint32(a)
+    for n, m, s in ((16, FIRST, b), (15, SECOND, 0), (16, FIRST, 0)):
+        x ^= x >> np.uint32(n)
+        x *= np.uint32(m)
+        x &= np.uint32(MASK)
+        x ^= np.uint32(s)
+    return x ^ (x >> np.uint32(15))
+
+
+def draw_batches(a: Column | str, b: Column | str, seed: int = 0) -> Column:
+    """``draw`` of a pair in Arrow batches: for very many rows, where a fold per row is slow."""
+
+    @F.arrow_udf("bigint")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        left, right = (hash_array(v.cast(pa.int64()).to_numpy(zero_copy_only=False), seed + k) for k, v in ((1, x), (2, y)))
+        return pa.array(hash_array(left ^ right, seed).astype(np.int64))
+
+    return run(a, b)
+
+
 def hash_order_sql(key: str, seed: int = 0) -> str:
     """The same order as SQL text."""
     a, b = _seed_parts(seed)

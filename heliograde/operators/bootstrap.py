@@ -1,17 +1,21 @@
 """Bootstrap intervals whose draws are integer hashes, so that every run repeats.
 
-``poisson_times`` gives every row an independent Poisson(1) multiplicity in each replicate: a column expression of (row key,
-replicate) without any join or shuffle of draws, and what drawing n of n with replacement tends to as n grows. ``draw_multiplicities``
-draws exactly n of n, for groups so small that the difference shows: draw j of replicate b lands on row hash(b, j) mod n.
-Replicates are carried as rows, never as driver loops.
+``replicate_auc`` gives every row an independent Poisson(1) multiplicity in each replicate, a hash of (row key, replicate), which is what
+drawing n of n with replacement tends to as n grows; replicates are arrays of sums, so no row is repeated for them.
+``draw_multiplicities`` draws exactly n of n, for groups so small that the difference shows: draw j of replicate b lands
+on row hash(b, j) mod n.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograde.functions.hashing import draw, poisson_limits
+from heliograde.functions.hashing import draw, draw_batches, hash_array, poisson_limits
 from heliograde.operators import ranking as R
 
 REPS = 2000
@@ -25,7 +29,7 @@ def draw_multiplicities(rows: DataFrame, group: list[str], label: str, index: st
     """(group, label, rep, index) -> times drawn. ``index`` numbers the rows of a class from 0."""
     sized = rows.select(*group, label, index).join(_group_sizes(rows, group, label), [*group, label])
     draws = sized.select(*group, label, "__size", index, F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    pick = F.pmod(draw(F.col(index) * 2 + F.col(label), "rep", seed), F.col("__size"))
+    pick = F.pmod(draw_batches(F.col(index) * 2 + F.col(label), F.col("rep"), seed), F.col("__size"))
     return draws.select(*group, label, "rep", pick.alias(index)).groupBy(*group, label, "rep", index).agg(F.count(F.lit(1)).alias("times"))
 
 
@@ -36,30 +40,118 @@ def poisson_times(key: Column | str, rep: Column | str, seed: int = 0) -> Column
 
 
 def resampled(rows: DataFrame, key: Column | str, reps: int = REPS, seed: int = 0) -> DataFrame:
-    """Rows once for each replicate that takes them, with ``rep`` and ``times``."""
+    """Rows once for each replicate that takes them, with ``rep`` and ``times``: for statistics that ``replicate_auc`` does not give."""
     every = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     return every.withColumn("times", poisson_times(key, "rep", seed)).filter("times > 0")
 
 
-def replicate_auc(drawn: DataFrame, group: list[str], scores: list[str], label: str = "label", domain=(0.0, 1.0)) -> DataFrame:
-    """ROC area of every replicate for each score column; the same draws serve all scores.
-
-    ``drawn`` has one row per (row, rep) with ``times``. Scores are stacked as (which, score).
+CELLS = 64  # value-ordered parts of a group and score
+ROWS = 256  # rows whose draws are made at once
+
+
+def _draws(keys: np.ndarray, marks: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) multiplicity of every row (by key) in every replicate (by the hash of its number): what ``poisson_times`` gives."""
+    h = hash_array(hash_array(keys, seed + 1)[:, None] ^ marks[None, :], seed)
+    return np.searchsorted(np.array(poisson_limits(), dtype=np.uint32), h.ravel(), side="right").reshape(h.shape)
+
+
+def _accumulate(n_keys: int, reps: int, seed: int):
+    """Rows sorted by (keys..., score) -> for each keys (keys..., pos, neg, won): per replicate the drawn positives and negatives, and twice the
+    pairs that positives win inside. The state is a few arrays of one number a replicate, however many rows a cell has."""
+    marks = hash_array(np.arange(reps), seed + 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, names, sums = None, None, None
+
+        def close(value_pos, value_neg):  # one value is complete
+            pos, neg, won = sums
+            won += value_pos * (2 * neg + value_neg)
+            pos += value_pos
+            neg += value_neg
+
+        def out():
+            close(*open_)
+            cols = [pa.array([v], t) for v, t in zip(cell, names, strict=True)]
+            lists = [pa.ListArray.from_arrays(pa.array([0, reps], pa.int32()), pa.array(x)) for x in sums]
+            return pa.RecordBatch.from_arrays([*cols, *lists], names=[*(f"k{i}" for i in range(n_keys)), "pos", "neg", "won"])
+
+        open_, last = None, None
+        for b in batches:
+            names = [b.column(i).type for i in range(n_keys)]
+            keys = list(zip(*(b.column(i).to_pylist() for i in range(n_keys)), strict=True))
+            score, label, key = (b.column(n_keys + i).to_numpy(zero_copy_only=False) for i in range(3))
+            new_cell = np.array([True, *(x != y for x, y in zip(keys[1:], keys, strict=False))])[: b.num_rows]
+            runs = np.flatnonzero(new_cell | np.append(True, score[1:] != score[:-1])[: b.num_rows])
+            at = 0
+            while at < b.num_rows:
+                end = min(b.num_rows, at + ROWS)
+                times = _draws(key[at:end], marks, seed)
+                starts = np.unique(np.append(at, runs[(runs > at) & (runs < end)]))
+                pos = np.add.reduceat(times * (label[at:end] == 1)[:, None], starts - at, axis=0)
+                neg = np.add.reduceat(times * (label[at:end] == 0)[:, None], starts - at, axis=0)
+                for i, s in enumerate(starts.tolist()):
+                    if keys[s] != cell:
+                        if cell is not None:
+                            yield out()
+                        cell, sums = keys[s], tuple(np.zeros(reps, dtype=np.int64) for _ in range(3))
+                        open_, last = (pos[i], neg[i]), score[s]
+                    elif score[s] == last:
+                        open_ = (open_[0] + pos[i], open_[1] + neg[i])
+                    else:
+                        close(*open_)
+                        open_, last = (pos[i], neg[i]), score[s]
+                at = end
+        if cell is not None:
+            yield out()
+
+    return run
+
+
+def replicate_auc(
+    rows: DataFrame, group: list[str], scores: list[str], key: str, label: str = "label", reps: int = REPS, seed: int = 0, domain=(0.0, 1.0), cells: int = CELLS
+) -> DataFrame:
+    """(group..., which, rep, auc): ROC area of every Poisson replicate for each score column; the same draws serve all scores.
+
+    ``key`` is an integer that tells rows apart. Nothing is repeated per replicate: rows go by (group, score column, cell of the score range),
+    sorted by score, past accumulators of one number for each replicate, and the cells of a group are put together from their
+    sums. A cell is read as a stream, so neither a hot group nor a pile of equal scores is held in memory.
     """
-    stacked = drawn.select(
-        *group, "rep", label, "times",
-        F.inline(F.array(*[F.struct(F.lit(s).alias("which"), F.col(s).alias("score")) for s in scores])),
+    stacked = rows.select(
+        *group, F.inline(F.array(*[F.struct(F.lit(s).alias("which"), F.col(s).cast("double").alias("score")) for s in scores])), F.col(label).cast("int").alias("label"), F.col(key).cast("bigint").alias("key")
     )
-    keys = [*group, "which", "rep"]
+    lo, hi = domain
+    slot = F.floor((F.col("score") - F.lit(float(lo))) / F.lit(float(hi - lo)) * F.lit(cells))
+    celled = R.clean_scores(stacked, "score").withColumn("cell", F.greatest(F.least(slot, F.lit(cells - 1)), F.lit(0)).cast("int"))
+    keys = [*group, "which", "cell"]
+    laid = celled.select(*keys, "score", "label", "key").repartition(*keys).sortWithinPartitions(*keys, "score")
+    kinds = dict(laid.dtypes)
+    schema = ", ".join(f"k{i} {kinds[k]}" for i, k in enumerate(keys)) + ", pos array<long>, neg array<long>, won array<long>"
+    sums = laid.mapInArrow(_accumulate(len(keys), reps, seed), schema).toDF(*keys, "pos", "neg", "won")
+    by = [*group, "which"]
+
+    def join_cells(table: pa.Table) -> pa.Table:
+        """The cells of one group, ``cells`` of them at most, in order of their scores."""
+        table = table.sort_by("cell")
+        pos, neg, won = (np.array(table[c].combine_chunks().values.to_numpy()).reshape(table.num_rows, reps) for c in ("pos", "neg", "won"))
+        below = np.cumsum(neg, axis=0) - neg
+        both = pos.sum(axis=0) * neg.sum(axis=0, dtype=np.float64)
+        area = np.divide((won + 2 * pos * below).sum(axis=0), 2 * both, out=np.full(reps, np.nan), where=both > 0)
+        cols = [pa.array([table[c][0].as_py()] * reps, table[c].type) for c in by]
+        return pa.table([*cols, pa.array(np.arange(reps, dtype=np.int32)), pa.array(area, from_pandas=True)], names=[*by, "rep", "auc"])
+
+    return sums.groupBy(*by).applyInArrow(join_cells, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", rep int, auc double")
+
+
+def drawn_auc(drawn: DataFrame, group: list[str], score: str, label: str = "label", domain=(0.0, 1.0)) -> DataFrame:
+    """(group..., rep, auc) of rows that are there once for each replicate that takes them, with ``times``."""
+    keys = [*group, "rep"]
     pos = F.when(F.col(label) == 1, F.col("times")).otherwise(0)
     neg = F.when(F.col(label) == 0, F.col("times")).otherwise(0)
-    dist = R.value_counts(R.clean_scores(stacked, "score"), keys, "score", {"pos": pos, "neg": neg})
-    p = R.running_sums(dist, keys, "score", ["pos", "neg"], domain)
+    dist = R.value_counts(R.clean_scores(drawn, score), keys, score, {"pos": pos, "neg": neg})
+    p = R.running_sums(dist, keys, score, ["pos", "neg"], domain)
     d = lambda c: F.col(c).cast("double")
     won = F.sum(d("pos") * (d("below_neg") + d("neg") / 2))
-    return p.groupBy(*keys).agg(
-        (won / F.nullif(F.max(d("total_pos")) * F.max(d("total_neg")), F.lit(0.0))).alias("auc")
-    )
+    return p.groupBy(*keys).agg((won / F.nullif(F.max(d("total_pos")) * F.max(d("total_neg")), F.lit(0.0))).alias("auc"))
 
 
 def interval(reps: DataFrame, group: list[str], value: str = "auc") -> DataFrame:

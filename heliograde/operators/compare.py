@@ -41,15 +41,24 @@ def bootstrap_over_groups(metrics: DataFrame, group: str, config: str, value: st
 
 
 def leave_one_group_out(metrics: DataFrame, group: str, config: str, value: str) -> DataFrame:
-    """Best config with each group left out: totals minus the group's own row, no pairing of groups."""
-    total = metrics.groupBy(config).agg(F.sum(value).alias("__s"), F.count(F.lit(1)).alias("__n"))
-    every = total.agg(F.collect_list(F.struct(config, "__s", "__n")).alias("__all"))  # one entry per config
-    own = metrics.select(F.col(group).alias("dropped"), config, F.col(value).alias("__v"))
-    # A group without this config drops nothing from its total, hence every config for every group.
-    groups = metrics.select(F.col(group).alias("dropped")).distinct()
-    frame = R.attach_row(groups, every).select("dropped", F.inline("__all")).join(own, ["dropped", config], "left")
-    left = frame.withColumn("macro", (F.col("__s") - F.coalesce("__v", F.lit(0.0))) / F.nullif(F.col("__n") - F.col("__v").isNotNull().cast("int"), F.lit(0)))
-    return left.groupBy("dropped").agg(_best(F.col("macro"), config).alias("best_config"), F.round(F.max("macro"), 6).alias("best_macro"))
+    """Best config with each group left out: totals minus the group's own row, no pairing of groups. Values count in whole millionths, so
+    that sums are the same in any order of rows.
+
+    A group without some config drops nothing from its total; the best of those configs is one of the whole table's best, so configs
+    are ranked once and each group looks only at its own rows and at the first config that it does not have.
+    """
+    own = metrics.select(F.col(group).alias("dropped"), F.col(config).alias("config"), F.round(F.col(value) * 1e6).cast("bigint").alias("__v"))
+    total = own.groupBy("config").agg(F.sum("__v").alias("__s"), F.count("__v").alias("__n"))
+    mean = lambda s, n: s.cast("double") / F.nullif(n, F.lit(0)) / 1e6
+    order = Window.orderBy(F.desc(F.round("__m", 9)), "config")  # one row for each config
+    ranked = total.withColumn("__m", mean(F.col("__s"), F.col("__n"))).withColumn("__rank", F.row_number().over(order))
+    both = own.join(ranked, "config")
+    less = both.select("dropped", "config", mean(F.col("__s") - F.coalesce("__v", F.lit(0)), F.col("__n") - F.col("__v").isNotNull().cast("int")).alias("macro"))
+    placed = both.withColumn("__at", F.row_number().over(Window.partitionBy("dropped").orderBy("__rank")))
+    gap = placed.groupBy("dropped").agg(F.coalesce(F.min(F.when(F.col("__at") < F.col("__rank"), F.col("__at"))), F.count(F.lit(1)).cast("int") + 1).alias("__rank"))
+    lacking = gap.join(ranked, "__rank").select("dropped", "config", F.col("__m").alias("macro"))
+    left = less.unionByName(lacking)
+    return left.groupBy("dropped").agg(_best(F.col("macro"), "config").alias("best_config"), F.round(F.max("macro"), 6).alias("best_macro"))
 
 
 def mean_rank(metrics: DataFrame, group: str, config: str, value: str) -> DataFrame:

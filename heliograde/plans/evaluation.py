@@ -127,13 +127,14 @@ def pooled(spark, sf):
 
 
 # --- bootstrap ---------------------------------------------------------------------------
-REPS = 200  # of the registered queries; the operators' default is 2,000
+REPS = B.REPS
 # One row per site/land point of the smaller point set: orders scored through their price.
 POINTS = """pts AS (SELECT 'C' || (o_custkey % 5)::VARCHAR AS country, (floor(o_totalprice)::BIGINT % 1000) / 1000.0::DOUBLE AS score,
     ((floor(o_totalprice)::BIGINT * 7 + o_custkey) % 1000) / 1000.0::DOUBLE AS score_b, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, o_orderkey,
     {a} AS ha, row_number() OVER (PARTITION BY o_custkey % 5, o_orderstatus = 'F' ORDER BY {h}, o_orderkey) - 1 AS idx,
     count(*) OVER (PARTITION BY o_custkey % 5, o_orderstatus = 'F') AS size FROM orders)""".format(h=H("o_orderkey"), a=H("o_orderkey", 1))
-REP_LIST = f"reps_ AS MATERIALIZED (SELECT rep, {H('rep', 2)} AS hr FROM range({REPS}) r(rep))"
+EXACT_REPS = 200  # of the exact form, which carries every draw as a row
+REP_LIST, EXACT_LIST = (f"reps_ AS MATERIALIZED (SELECT rep, {H('rep', 2)} AS hr FROM range({n}) r(rep))" for n in (REPS, EXACT_REPS))
 DRAWN = f"""{REP_LIST}, points_ AS MATERIALIZED (SELECT * FROM pts), h_ AS ({hash_steps_sql("SELECT country, label, rep, score, score_b, xor(ha, hr) AS h FROM points_, reps_", "h")}),
     rows_ AS (SELECT country, label, rep, score, score_b, {' + '.join(f'(h >= {x})::INT' for x in poisson_limits())} AS times FROM h_)"""
 
@@ -147,11 +148,16 @@ def rep_auc_sql(src: str, by: str, score: str) -> str:
 
 def boot_points(spark, sf):
     o = T.read(spark, sf, "orders")
-    p = o.select(
+    return o.select(
         F.concat(F.lit("C"), (F.col("o_custkey") % 5).cast("string")).alias("country"), (F.floor("o_totalprice") % 1000 / 1000.0).alias("score"),
         ((F.floor("o_totalprice") * 7 + F.col("o_custkey")) % 1000 / 1000.0).alias("score_b"),
         F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"), "o_orderkey",
     )
+
+
+def numbered_points(spark, sf):
+    """The points with their number inside (country, label), from 0."""
+    p = boot_points(spark, sf)
     return R.hash_positions(p, ["country", "label"], F.col("o_orderkey"), ["o_orderkey"], 0, "__p").withColumn("idx", F.col("__p") - 1).drop("__p")
 
 
@@ -160,27 +166,25 @@ CI = "count(*) AS reps, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantil
 
 @query("e9_bootstrap_ci", f"WITH {POINTS}, {DRAWN}, reps AS ({rep_auc_sql('rows_', 'country, rep', 'score')}) SELECT country, {CI} FROM reps GROUP BY country")
 def bootstrap_ci(spark, sf):
-    drawn = B.resampled(boot_points(spark, sf), "o_orderkey", REPS)
-    return B.interval(B.replicate_auc(drawn, ["country"], ["score"]), ["country"])
+    return B.interval(B.replicate_auc(boot_points(spark, sf), ["country"], ["score"], "o_orderkey"), ["country"])
 
 
-# Exactly n of n draws, for one country.
-EXACT = f"""{REP_LIST}, one AS MATERIALIZED (SELECT *, {H('idx * 2 + label', 1)} AS hi FROM pts WHERE country = 'C0'),
+# Exactly n of n draws.
+EXACT = f"""{EXACT_LIST}, one AS MATERIALIZED (SELECT *, {H('idx * 2 + label', 1)} AS hi FROM pts),
     h_ AS ({hash_steps_sql("SELECT country, label, rep, size, xor(hi, hr) AS h FROM one, reps_", "h")}),
     times AS (SELECT country, label, rep, h % size AS pick, count(*) AS times FROM h_ GROUP BY ALL),
-    rows_ AS (SELECT t.country, t.rep, t.times, t.label, p.score FROM times t JOIN one p ON p.label = t.label AND p.idx = t.pick)"""
+    rows_ AS (SELECT t.country, t.rep, t.times, t.label, p.score FROM times t JOIN one p ON p.country = t.country AND p.label = t.label AND p.idx = t.pick)"""
 
 
 @query("e9_bootstrap_ci_exact", f"WITH {POINTS}, {EXACT}, reps AS ({rep_auc_sql('rows_', 'country, rep', 'score')}) SELECT country, {CI} FROM reps GROUP BY country")
 def bootstrap_exact(spark, sf):
-    drawn = B.drawn_rows(boot_points(spark, sf).filter("country = 'C0'"), ["country"], "label", "idx", REPS)
-    return B.interval(B.replicate_auc(drawn, ["country"], ["score"]), ["country"])
+    pts = numbered_points(spark, sf)
+    return B.interval(B.drawn_auc(B.drawn_rows(pts, ["country"], "label", "idx", EXACT_REPS), ["country"], "score"), ["country"])
 
 
 @query("e9_bootstrap_ci_poisson", f"WITH {POINTS}, {DRAWN}, reps AS ({rep_auc_sql('rows_', 'country, rep', 'score_b')}) SELECT country, {CI} FROM reps GROUP BY country")
 def bootstrap_poisson(spark, sf):
-    drawn = B.resampled(boot_points(spark, sf), "o_orderkey", REPS)
-    return B.interval(B.replicate_auc(drawn, ["country"], ["score_b"]), ["country"])
+    return B.interval(B.replicate_auc(boot_points(spark, sf), ["country"], ["score_b"], "o_orderkey"), ["country"])
 
 
 @query("e10_paired_gap", f"""WITH {POINTS}, {DRAWN}, a AS ({rep_auc_sql('rows_', 'country, rep', 'score')}), b AS ({rep_auc_sql('rows_', 'country, rep', 'score_b')}),
@@ -188,8 +192,7 @@ def bootstrap_poisson(spark, sf):
     SELECT country, round(avg(gap), 6) AS mean_gap, round(quantile_cont(gap, 0.025), 6) AS gap_lo, round(quantile_cont(gap, 0.975), 6) AS gap_hi,
     CASE WHEN quantile_cont(gap, 0.025) > 0 THEN 'yes' ELSE 'no' END AS significant FROM g GROUP BY country""")
 def paired_gap(spark, sf):
-    drawn = B.resampled(boot_points(spark, sf), "o_orderkey", REPS)
-    reps = B.replicate_auc(drawn, ["country"], ["score", "score_b"])
+    reps = B.replicate_auc(boot_points(spark, sf), ["country"], ["score", "score_b"], "o_orderkey")
     gap = reps.groupBy("country", "rep").agg(
         (F.max(F.when(F.col("which") == "score", F.col("auc"))) - F.max(F.when(F.col("which") == "score_b", F.col("auc")))).alias("gap")
     )
@@ -207,7 +210,7 @@ def paired_gap(spark, sf):
     round(quantile_cont(wa - wb, 0.975), 6) AS diff_hi, CASE WHEN quantile_cont(wa - wb, 0.025) > 0 OR quantile_cont(wa - wb, 0.975) < 0 THEN 'SIG' ELSE 'tied' END AS verdict FROM per""")
 def paired_pools(spark, sf):
     pts = boot_points(spark, sf)
-    reps = B.replicate_auc(B.resampled(pts, "o_orderkey", REPS), ["country"], ["score", "score_b"])
+    reps = B.replicate_auc(pts, ["country"], ["score", "score_b"], "o_orderkey")
     n = pts.filter("label = 1").groupBy("country").agg(F.count(F.lit(1)).alias("n"))
     pick = lambda w: F.sum(F.when(F.col("which") == w, F.col("n") * F.col("auc"))) / F.sum(F.when(F.col("which") == w, F.col("n")))
     per = reps.join(n, "country").groupBy("rep").agg(pick("score").alias("wa"), pick("score_b").alias("wb")).withColumn("d", F.col("wa") - F.col("wb"))
@@ -220,13 +223,13 @@ def paired_pools(spark, sf):
 
 # --- group-level resampling over (country, config) metrics -------------------------------
 GROUP_REPS = 10_000
-METRIC = """m AS (SELECT 'C' || (l_suppkey % 13)::VARCHAR AS country, l_partkey % 4 AS config, round(avg(l_extendedprice) / 100000, 6) AS roc, count(*) AS n FROM lineitem GROUP BY ALL)"""
+METRIC = """m AS (SELECT 'C' || (l_suppkey % 13)::VARCHAR AS country, l_partkey % 4 AS config, round(sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / count(*) / 1e7::DOUBLE, 6) AS roc, count(*) AS n FROM lineitem GROUP BY ALL)"""  # sums of whole cents do not depend on the order of rows
 
 
 def config_metrics(spark, sf):
     l = T.read(spark, sf, "lineitem")
     return l.groupBy(F.concat(F.lit("C"), (F.col("l_suppkey") % 13).cast("string")).alias("country"), (F.col("l_partkey") % 4).alias("config")).agg(
-        F.round(F.avg("l_extendedprice") / 100000, 6).alias("roc"), F.count(F.lit(1)).alias("n")
+        F.round(F.sum(F.round(F.col("l_extendedprice") * 100).cast("bigint")).cast("double") / F.count(F.lit(1)) / 1e7, 6).alias("roc"), F.count(F.lit(1)).alias("n")
     )
 
 
@@ -242,7 +245,7 @@ def bootstrap_groups(spark, sf):
     return bootstrap_over_groups(config_metrics(spark, sf), "country", "config", "roc", "n", GROUP_REPS)
 
 
-@query("e14_leave_one_group_out", f"""WITH {METRIC}, t AS (SELECT d.country AS dropped, m.config, avg(roc) AS macro FROM m JOIN (SELECT DISTINCT country FROM m) d ON d.country <> m.country GROUP BY ALL)
+@query("e14_leave_one_group_out", f"""WITH {METRIC}, t AS (SELECT d.country AS dropped, m.config, sum(round(roc * 1e6)::BIGINT)::DOUBLE / count(*) / 1e6::DOUBLE AS macro FROM m JOIN (SELECT DISTINCT country FROM m) d ON d.country <> m.country GROUP BY ALL)
     SELECT dropped, arg_max(config, (round(macro, 9), -config)) AS best_config, round(max(macro), 6) AS best_macro FROM t GROUP BY dropped""")
 def leave_one_out(spark, sf):
     from heliograde.operators.compare import leave_one_group_out

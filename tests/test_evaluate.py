@@ -130,7 +130,7 @@ def test_bootstrap_draws_are_n_of_n(spark, data):
     per = times.groupby(["label", "rep"]).times.sum().unstack()
     for lab, n in d.label.value_counts().items():
         assert (per.loc[lab] == n).all()
-    reps = B.replicate_auc(B.drawn_rows(rows, ["g"], "label", "idx", 5), ["g"], ["score"]).toPandas()
+    reps = B.drawn_auc(B.drawn_rows(rows, ["g"], "label", "idx", 5), ["g"], "score").toPandas()
     point = brute_auc(d.score[d.label == 1].values, d.score[d.label == 0].values)
     assert (abs(reps.auc - point) < 0.1).all() and reps.auc.nunique() == 5
 
@@ -138,3 +138,28 @@ def test_bootstrap_draws_are_n_of_n(spark, data):
 def test_poisson_multiplicities(spark):
     t = spark.range(20000).select(B.poisson_times(F.col("id"), F.lit(3)).alias("t")).toPandas().t
     assert abs(t.mean() - 1) < 0.03 and abs(t.var() - 1) < 0.06
+
+
+def test_replicate_accumulators_equal_resampled_rows(spark):
+    """Sums of replicates give the areas of the rows drawn one by one; scores missing, equal, outside the range, groups of one class."""
+    rng = np.random.default_rng(4)
+    rows = [(int(k), f"g{k % 3}", float(np.round(rng.random() * 1.2 - 0.1, 2)) if k % 11 else None, float(rng.random()), int(rng.random() < 0.4) if k % 3 else 1) for k in range(900)]
+    df = spark.createDataFrame(rows, "k long, g string, score double, score_b double, label int").repartition(5)
+    got = B.replicate_auc(df, ["g"], ["score", "score_b"], "k", reps=20, seed=3, cells=7).toPandas()
+    drawn = B.resampled(df, "k", 20, 3).toPandas()
+    assert len(got) == 3 * 2 * 20
+    for r in got.itertuples():
+        d = drawn[(drawn.g == r.g) & (drawn.rep == r.rep)].dropna(subset=[r.which])
+        pos, neg = d[d.label == 1], d[d.label == 0]
+        won = sum(t * (neg.times[neg[r.which] < v].sum() + neg.times[neg[r.which] == v].sum() / 2) for v, t in zip(pos[r.which], pos.times, strict=True))
+        want = won / (pos.times.sum() * neg.times.sum()) if len(pos) and len(neg) else None
+        assert (want is None and np.isnan(r.auc)) or abs(r.auc - want) < 1e-12
+    assert B.replicate_auc(df.limit(0), ["g"], ["score"], "k", reps=5).count() == 0
+
+
+def test_hashes_in_batches_are_the_same(spark):
+    from heliograde.functions import hashing as H
+
+    df = spark.range(-50, 3000).withColumn("rep", F.col("id") % 7)
+    both = df.select("id", H.draw_batches("id", "rep", 9).alias("d"), H.hash_order("id", 5).alias("h"), H.draw("id", "rep", 9).alias("d2")).toPandas()
+    assert (both.d == both.d2).all() and (H.hash_array(both.id.to_numpy(), 5) == both.h).all()
