@@ -24,7 +24,11 @@ r6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alia
 # --- scans --------------------------------------------------------------------------------
 @query("s1_column_subset_scan", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey")
 def column_subset(spark, sf):
-    return T.read(spark, sf, "orders").select("o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    """Orders as CSV in the job's scratch space; one of its columns is parsed."""
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    orders = T.read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    files.write_rows_csv(orders, path)
+    return files.read_csv(spark, path, orders.schema, ["o_custkey"]).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s2_yearly_files", "SELECT gen_year, count(*) AS n, round(sum(power), 2) AS power FROM generation GROUP BY gen_year", ("generation",))
@@ -32,9 +36,8 @@ def yearly(spark, sf):
     """Write the facts as one CSV folder per year into the job's scratch space, read them back, year from the path."""
     path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     T.generation(spark, sf).select("pv_id", "power", F.col("gen_year").alias("y")).write.partitionBy("y").option("header", "true").csv(path)
-    back = spark.read.schema("pv_id bigint, power double").option("header", "true").csv(path)
-    year = F.regexp_extract(F.col("_metadata.file_path"), r"y=(\d{4})", 1).cast("int")
-    return back.select("power", year.alias("gen_year")).groupBy("gen_year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("power"), 2).alias("power"))
+    back = files.read_yearly(spark, f"{path}/*", "pv_id bigint, power double", ["power"])
+    return back.groupBy("gen_year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("power"), 2).alias("power"))
 
 
 @query("s3_pushed_predicate", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '2000-01-01'")
@@ -54,10 +57,15 @@ def attributes(spark, sf):
     return T.sites(spark, sf).select("country", "year").groupBy("country").agg(F.count(F.lit(1)).alias("n"), F.min("year").alias("first_year"), F.max("year").alias("last_year"))
 
 
-@query("s6_json_rollup", "SELECT event_type, count(*) AS n, sum((json_extract(props, '$.k'))::BIGINT)::BIGINT AS k_sum, max((json_extract(props, '$.k'))::BIGINT) AS k_max FROM events GROUP BY event_type")
+@query("s6_json_rollup", "SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'click') AS clicks, sum((json_extract(props, '$.k'))::BIGINT)::BIGINT AS k_sum, max((json_extract(props, '$.k'))::BIGINT) AS k_max FROM events GROUP BY user_id")
 def json_rollup(spark, sf):
-    e = T.read(spark, sf, "events").select("event_type", F.from_json("props", "k bigint").getField("k").alias("k"))
-    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k_sum"), F.max("k").alias("k_max"))
+    """JSON reports of a user with an array of at most 100 entries, written to the job's scratch space, read back and rolled up to a row a user."""
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
+    e = T.read(spark, sf, "events").select("user_id", F.floor(F.col("event_id") / 100).alias("part"), F.struct("event_type", F.from_json("props", "k bigint").getField("k").alias("k")).alias("e"))
+    e.groupBy("user_id", "part").agg(F.collect_list("e").alias("entries")).drop("part").write.json(path)
+    reports = files.read_json_reports(spark, path, "user_id bigint, entries array<struct<event_type: string, k: bigint>>", lines=True)
+    clicks = F.count(F.when(F.col("event_type") == "click", 1))
+    return files.roll_up(reports, "user_id", "entries", [F.count("event_type").alias("n"), clicks.alias("clicks"), F.sum("k").alias("k_sum"), F.max("k").alias("k_max")])
 
 
 NAME_RX = r"^(POS|NEG)_([A-Z]{3})_(\d+)_(\d{4})(?:_(\d+))?\.tif$"

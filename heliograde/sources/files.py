@@ -18,16 +18,18 @@ GENERATION_SCHEMA = T.StructType([
 ])
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: list[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, columns: list[str] | None = None) -> DataFrame:
     """CSV with header; only ``columns`` are parsed when given."""
     df = spark.read.csv(path, header=True, schema=schema)
     return df.select(*[f"`{c}`" for c in columns]) if columns else df
 
 
-def read_yearly(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
-    """Files whose names end in a year, read together with that year as ``gen_year``."""
-    df = spark.read.csv(pattern, header=True, schema=schema)
-    return df.withColumn("gen_year", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})\.csv$", 1).cast("int"))
+def read_yearly(spark: SparkSession, pattern: str, schema: T.StructType | str, columns: list[str] | None = None) -> DataFrame:
+    """Files whose names, or whose folders' names, end in a year, read together with that year as ``gen_year`` (null without one)."""
+    df = read_csv(spark, pattern, schema, None)
+    year = F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4})(?:\.csv)?(?:/part-[^/]*)?$", 1)
+    kept = [f"`{c}`" for c in columns] if columns else ["*"]
+    return df.select(*kept, F.nullif(year, F.lit("")).cast("int").alias("gen_year"))
 
 
 def read_names(names: DataFrame, column: str) -> DataFrame:
@@ -37,8 +39,24 @@ def read_names(names: DataFrame, column: str) -> DataFrame:
     )
 
 
-def read_json_reports(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+BAD = "_corrupt_record"
+
+
+def read_json_reports(spark: SparkSession, path: str, schema: T.StructType | str, lines: bool = False) -> DataFrame:
+    """One row for each JSON document: one document a file, or one a line. A document that cannot be read has nulls and its text in ``_corrupt_record``."""
+    df = spark.read.option("columnNameOfCorruptRecord", BAD).option("multiLine", str(not lines).lower())
+    kind = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return df.schema(f"{kind}, {BAD} string").json(path)
+
+
+def roll_up(reports: DataFrame, ident: str, entries: str, aggs: list) -> DataFrame:
+    """One row for each report: its id and aggregates over its array of structs; a report with a missing or empty array has one row of nulls."""
+    return reports.select(ident, F.inline_outer(entries)).groupBy(ident).agg(*aggs)
+
+
+def write_rows_csv(df: DataFrame, path: str) -> None:
+    """CSV with header, a file for each task."""
+    df.write.option("header", "true").csv(path)
 
 
 def write_sorted_csv(df: DataFrame, path: str, order: list) -> None:
