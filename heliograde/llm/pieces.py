@@ -66,6 +66,7 @@ class Pieces:
         self.neighbours = {ab for p in order for ab in zip(p, p[1:], strict=False)}
         self.stable: dict[int, bool] = {}  # by left << 20 | right
         self.words: dict[str, bytes] = {}
+        self.remembered = REMEMBERED
         self.lone = array("i", [self.runs[BLANK]]).tobytes()
         self.raw = [b""] * len(pieces)  # what a token decodes to; control tokens to nothing
         for i, (p, k) in enumerate(zip(pieces, kinds, strict=True)):
@@ -130,7 +131,7 @@ class Pieces:
             pair = other << 20 | r
             ok = stable.get(pair)
             if ok is None:
-                if len(stable) > REMEMBERED:
+                if len(stable) > self.remembered:
                     stable.clear()
                 ok = stable[pair] = self._pair_is_stable(other, r)
             if ok:
@@ -213,7 +214,7 @@ class Pieces:
                 continue
             ids = words.get(p)
             if ids is None:
-                if len(words) > REMEMBERED:
+                if len(words) > self.remembered:
                     words.clear()
                 ids = self._word(p)
                 if len(p) <= 64:
@@ -279,16 +280,17 @@ def load(path: str) -> Pieces:
     return Pieces([p.piece for p in model.pieces], [p.score for p in model.pieces], [p.type for p in model.pieces], norm.add_dummy_prefix)
 
 
-def encode_decode(docs: DataFrame, model: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, model: str, ident: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """(ident, ids array<int>, decoded string) for every row of ``docs``; ``model`` is a path or a file of the public set by name.
 
     Null and empty texts have no ids and decode to the empty string. Repeated rows and ids are encoded one by one; an
-    empty table gives an empty result. Columns other than the two named are not read.
+    empty table gives an empty result. Columns other than the two named are not read. ``remembered`` bounds the words that a task keeps.
     """
     kind = docs.schema[ident].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path(model))
+        pieces.remembered = remembered
         for b in batches:
             ids, texts, at = [], [], 0
             size = 0
