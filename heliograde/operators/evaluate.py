@@ -34,6 +34,13 @@ def score_profile(
     return R.running_sums(dist, group, score, list(sums), domain)
 
 
+def count_profile(df: DataFrame, group: list[str], score: str = "score", pos: str = "pos", neg: str = "neg",
+                  domain: tuple[float, float] | None = UNIT) -> DataFrame:
+    """``score_profile`` of rows that stand for ``pos`` sites and ``neg`` land points with one score."""
+    dist = R.value_counts(R.clean_scores(df, score), group, score, {"pos": F.col(pos), "neg": F.col(neg)})
+    return R.running_sums(dist, group, score, ["pos", "neg"], domain)
+
+
 def _d(name: str) -> Column:
     return F.col(name).cast("double")
 
@@ -79,7 +86,11 @@ def _by(profile: DataFrame, group: list[str], exprs: list[Column]) -> DataFrame:
 def country_report(df: DataFrame, group: list[str], score: str = "score", label: str = "label", ties: str = "strict",
                    domain=UNIT) -> DataFrame:
     """The headline table: ROC, PR and its chance level, site percentiles, top 20/10/5 % shares."""
-    p = score_profile(df, group, score, label, domain=domain)
+    return report(score_profile(df, group, score, label, domain=domain), group, ties)
+
+
+def report(p: DataFrame, group: list[str], ties: str = "strict") -> DataFrame:
+    """The headline table of a profile."""
     n_pos, n_neg = F.max("total_pos"), F.max("total_neg")
     return _by(p, group, [
         n_pos.alias("n_sites"),

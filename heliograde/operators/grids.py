@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograde.functions.vectors import unit
+from heliograde.session import durable
 
 
 def to_cells(df: DataFrame, step: float, minx: float, maxy: float) -> DataFrame:
@@ -79,6 +80,24 @@ def mean_vector(df: DataFrame, keys: list[str], vec: str, renormalise: bool = Fa
     return out.withColumn(vec, unit(vec)) if renormalise else out
 
 
+def pyramid(cells: DataFrame, factors: list[int], sums: list[str], vec: str, dims: int) -> dict[int, DataFrame]:
+    """Block sums of a raster at several factors: the ``sums`` columns and the components of ``vec`` over factor x factor cells.
+
+    Each level is built from the coarsest finer one that divides it, so the raster is read only for the factors that no
+    other one divides; levels that others build on are written once. A block is one row whatever ``dims`` is, summed on the map side first.
+    """
+    order = sorted(set(factors) | {1})
+    parent = {f: max(g for g in order if g < f and f % g == 0) for f in order[1:]}
+    out = {1: cells.select("ri", "ci", *sums, vec)}
+    for f in order[1:]:
+        k = f // parent[f]
+        block = lambda c: F.floor(F.col(c) / k).cast("bigint").alias(c)  # noqa: B023, E731
+        level = out[parent[f]].groupBy(block("ri"), block("ci")).agg(
+            *[F.sum(s).alias(s) for s in sums], F.array(*[F.sum(F.col(vec)[i].cast("double")) for i in range(dims)]).alias(vec))
+        out[f] = durable(level) if f in parent.values() else level
+    return {f: out[f] for f in factors}
+
+
 def smooth_bins(df: DataFrame, value: str, step: float, sigma: float, radius: int, floor: float = 0.05) -> DataFrame:
     """Mean per lon/lat bin, then Gaussian smoothing of value and mask together.
 

@@ -82,23 +82,25 @@ def _bounds() -> tuple[Column, Column]:
     return F.sqrt(low), F.sqrt(high)
 
 
-def _nodes(points: DataFrame, group: list[str], shift: int) -> DataFrame:
-    """Cells at one level: how many positions and their tight bounds. A plain aggregation."""
+def _nodes(points: DataFrame, group: list[str], shift: int, foreign: bool = False) -> DataFrame:
+    """Cells at one level: how many positions and their tight bounds, and the range of tags. A plain aggregation."""
     return points.groupBy(*group, _key(shift).alias("cell")).agg(
         F.count(F.lit(1)).alias("cnt"),
         F.min(_key(shift + 3)).alias("parent"),
         *[F.min(c).alias(f"lo_{c}") for c in "xyz"],
         *[F.max(c).alias(f"hi_{c}") for c in "xyz"],
+        *([F.min("tag").alias("lo_tag"), F.max("tag").alias("hi_tag")] if foreign else []),
     )
 
 
 def _descend(left: DataFrame, points: DataFrame, group: list[str], search: list[str], top: float, ring: list[int],
-             radius: float, need: int = 1) -> DataFrame:
+             radius: float, need: int = 1, foreign: bool = False) -> DataFrame:
     """Candidate points for every search key, coarse cells first.
 
     ``left`` has x, y, z and the ``search`` columns that identify one search; ``points`` has
     x, y, z and ``near_id``. ``search`` may contain ``home``, the top-level cell of the
-    candidate, to get an answer per neighbouring cell instead of one overall.
+    candidate, to get an answer per neighbouring cell instead of one overall. With ``foreign`` only points of another ``tag``
+    count (both sides have one, ``search`` names it); cells that hold the own tag alone are left at once.
     """
     depth = max(0, math.floor(math.log(top / FINEST_CELL, 8)))
     fine = top / 8**depth
@@ -107,14 +109,16 @@ def _descend(left: DataFrame, points: DataFrame, group: list[str], search: list[
     own = [c for c in search if c != "home"]
     front = probe.select(*own, "x", "y", "z", F.explode(F.array(*[_key(3 * depth) + F.lit(o) for o in ring])).alias("home"))
     front = front.withColumn("cell", F.col("home"))
-    stats = ["cnt"] + [f"{b}_{c}" for b in ("lo", "hi") for c in "xyz"]
+    stats = ["cnt"] + [f"{b}_{c}" for b in ("lo", "hi") for c in "xyz"] + (["lo_tag", "hi_tag"] if foreign else [])
     low, high = _bounds()
     for level in range(depth, -1, -1):
-        nodes = _nodes(pts, group, 3 * level)
+        nodes = _nodes(pts, group, 3 * level, foreign)
         if level == depth:
             front = front.join(nodes.drop("parent"), [*group, "cell"])
         else:
             front = front.drop(*stats).withColumnRenamed("cell", "parent").join(nodes, [*group, "parent"]).drop("parent")
+        if foreign:
+            front = front.filter((F.col("lo_tag") != F.col("tag")) | (F.col("hi_tag") != F.col("tag")))
         front = front.withColumn("__lb", low).filter(F.col("__lb") <= radius + SLACK).withColumn("__ub", high)
         w = Window.partitionBy(*search)
         if need == 1:
@@ -125,8 +129,10 @@ def _descend(left: DataFrame, points: DataFrame, group: list[str], search: list[
             front = front.withColumn("__limit", F.min(F.when(F.col("__run") >= need, F.col("__ub"))).over(w)).drop("__run")
         front = front.filter(F.col("__lb") <= F.coalesce(F.col("__limit"), F.lit(float("inf"))) + SLACK)
         front = front.drop("__lb", "__ub", "__limit")
-    hits = pts.select(*group, _key(0).alias("cell"), "near_id", *[F.col(c).alias(f"p{c}") for c in "xyz"])
+    hits = pts.select(*group, _key(0).alias("cell"), "near_id", *([F.col("tag").alias("ptag")] if foreign else []), *[F.col(c).alias(f"p{c}") for c in "xyz"])
     found = front.select(*search, *[g for g in group if g not in search], "x", "y", "z", "cell").join(hits, [*group, "cell"])
+    if foreign:
+        found = found.filter(F.col("ptag") != F.col("tag"))
     d = chord((F.col("x"), F.col("y"), F.col("z")), (F.col("px"), F.col("py"), F.col("pz")))
     return found.withColumn("dist_m", F.round(d, 3)).filter(F.col("dist_m") <= radius)
 
@@ -168,17 +174,22 @@ def nearest(left: DataFrame, right: DataFrame, right_id: str, left_id: str, radi
     return done
 
 
-def nearest_other(df: DataFrame, ident: str, radius: float, group: list[str] | None = None) -> DataFrame:
-    """For every row the nearest other row of its group within ``radius``: ``near_id``, ``dist_m``."""
+def nearest_other(df: DataFrame, ident: str, radius: float, group: list[str] | None = None, among: DataFrame | None = None) -> DataFrame:
+    """For every row the nearest other row of its group within ``radius``: ``near_id``, ``dist_m``.
+
+    ``among`` are the rows searched, where they are more than ``df``.
+    """
     group = group or []
     search = [*group, "lon", "lat"]
     w = Window.partitionBy(*search).orderBy(ident)
     here = (
-        df.select(*search, ident).withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= 2)
+        (df if among is None else among).select(*search, ident).withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= 2)
         .groupBy(*search).agg(F.min(ident).alias("near_id"), F.count(F.lit(1)).alias("__m"), F.max(ident).alias("__second"))
     )
     here = here.select(*search, "near_id", "__m", "__second", *ecef("lon", "lat"))
     alone = here.filter(F.col("__m") == 1).select(*search, "x", "y", "z")
+    if among is not None:
+        alone = alone.join(df.select(*search).distinct(), search, "left_semi")
     found = _descend(alone, here.drop("__m", "__second"), group, search, radius, _ring(1), radius, need=2)
     apart = found.filter((F.col("px") != F.col("x")) | (F.col("py") != F.col("y")) | (F.col("pz") != F.col("z")))
     best = apart.groupBy(*search).agg(F.min(F.struct("dist_m", "near_id")).alias("b")).select(*search, "b.near_id", "b.dist_m")
@@ -190,6 +201,32 @@ def nearest_other(df: DataFrame, ident: str, radius: float, group: list[str] | N
     ).filter(F.col("dist_m").isNotNull()).drop("__first", "__second")
 
 
+def foreign_pairs(spots: DataFrame, radius: float) -> DataFrame:
+    """(own_id, tag, near_id, ptag, dist_m): for every spot the close ones of another tag, its nearest among them.
+
+    ``spots`` has near_id, tag, x, y, z, one row per position.
+    """
+    left = spots.select(F.col("near_id").alias("own_id"), "tag", "x", "y", "z")
+    found = _descend(left, spots.select("near_id", "tag", "x", "y", "z"), [], ["own_id", "tag"], radius, _ring(1), radius, foreign=True)
+    return found.select("own_id", "tag", "near_id", "ptag", "dist_m")
+
+
+def nearest_other_any(df: DataFrame, ident: str, group: list[str] | None = None, radii: tuple[float, ...] = RADII) -> tuple[DataFrame, DataFrame]:
+    """For every row the nearest other row of its group at any distance, and the rows without one.
+
+    Widening rings: a row answered inside a radius is final. The last default radius is wider than the earth, so the rows
+    left are those without a company in their group or without a position.
+    """
+    rest, done = df, None
+    for radius in radii:
+        hit = durable(nearest_other(rest, ident, radius, group, df))
+        done = hit if done is None else done.unionByName(hit)
+        rest = durable(rest.join(hit.select(ident), ident, "left_anti"))
+        if rest.isEmpty():
+            break
+    return done, rest
+
+
 def clear_of(left: DataFrame, right: DataFrame, left_id: str, right_id: str, distance: float) -> DataFrame:
     """``left`` rows with no ``right`` row closer than ``distance``."""
     near = nearest_within(left, right, right_id, distance).filter(F.col("dist_m") < distance)

@@ -89,7 +89,8 @@ def trim_densest(df: DataFrame, ident: str, group: str, keep: DataFrame, radii:
     and again. Two rows that are each other's nearest lose their lower id whatever happens
     elsewhere, so all such pairs go in one round; removal distances only grow, so ordering
     all removals by (distance, id) gives the sequential order and the first n - keep of
-    each group are the answer.
+    each group are the answer. The default radii span the earth; a group that cannot be brought down to what it may keep (less
+    than one row, or radii too short) is an error, never a short answer.
     """
     size = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     quota = durable(size.join(keep, group).select(group, F.greatest(F.col("__n") - F.col("keep"), F.lit(0)).alias("__cut")).filter("__cut > 0"))
@@ -116,28 +117,35 @@ def trim_densest(df: DataFrame, ident: str, group: str, keep: DataFrame, radii:
                 break
         if alive.isEmpty():
             break
+    went = removed.groupBy(group).agg(F.count(F.lit(1)).alias("__r")) if removed is not None else quota.select(group, F.lit(0).alias("__r"))
+    short = quota.join(went, group, "left").filter(F.coalesce("__r", F.lit(0)) < F.col("__cut"))
+    if not short.isEmpty():
+        raise ValueError(f"some groups cannot be trimmed to what they may keep, such as {short.first()[group]!r}")
+    if removed is None:
+        return df.limit(0).select(group, ident, F.lit(0.0).alias("dist_m"), F.lit(0).alias("step"))
     ordered = ordinal_rank(removed, [group], "dist_m", ident, "step").join(quota, group)
     return ordered.filter(F.col("step") <= F.col("__cut")).select(group, ident, "dist_m", "step")
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(node, label): label is the smallest node reachable. ``edges`` has (a, b), any direction.
 
     Each round takes the smallest label next door and then the label of that label, which
-    halves long chains. Nodes must have bounded degree (cells do).
+    halves long chains. With ``by`` several graphs on the same nodes are solved together.
     """
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = durable(nodes.select("node", F.col("node").alias("label")))
+    by = by or []
+    both = durable(edges.select(*by, "a", "b").unionByName(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = durable(nodes.select(*by, "node", F.col("node").alias("label")))
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("__l"))
-        step = labels.join(near, "node", "left").select(
-            "node", F.col("label").alias("__old"), F.least("label", F.coalesce("__l", "label")).alias("label")
+        near = both.join(labels.withColumnRenamed("node", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("node")).agg(F.min("label").alias("__l"))
+        step = labels.join(near, [*by, "node"], "left").select(
+            *by, "node", F.col("label").alias("__old"), F.least("label", F.coalesce("__l", "label")).alias("label")
         )
         step = durable(step)
-        up = step.select(F.col("node").alias("label"), F.col("label").alias("__up"))
-        jumped = durable(step.join(up, "label").select("node", "__old", F.col("__up").alias("label")))
+        up = step.select(*by, F.col("node").alias("label"), F.col("label").alias("__up"))
+        jumped = durable(step.join(up, [*by, "label"]).select(*by, "node", "__old", F.col("__up").alias("label")))
         changed = not jumped.filter(F.col("__old") != F.col("label")).isEmpty()
-        labels = jumped.select("node", "label")
+        labels = jumped.select(*by, "node", "label")
         if not changed:
             return labels
 
@@ -164,3 +172,41 @@ def chain_clusters(df: DataFrame, ident: str, separation: float) -> DataFrame:
     ).select(ident, "label")
     smallest = member.groupBy("label").agg(F.min(ident).alias("cluster_id"))
     return member.join(smallest, "label").select(ident, "cluster_id")
+
+
+def spanning_forest(df: DataFrame, ident: str, reach: float) -> DataFrame:
+    """(a, b, dist_m): the minimum spanning forest over distinct positions with steps of at most ``reach`` metres.
+
+    Rounds in which every tree picks its shortest step to another tree, ties by the two ids, so that picks of one round never
+    close a ring; trees at least halve in number. Cells that hold one tree alone are not entered, so the inside of a tree
+    costs a look at the cells around it. A tree without a step in reach is done and leaves the search. Positions are named
+    by their smallest id.
+    """
+    spots = durable(G.positions(df, [], ident).select("near_id", F.col("near_id").alias("tag"), "x", "y", "z"))
+    forest = None
+    while True:
+        pairs = G.foreign_pairs(spots, reach)
+        step = F.struct("dist_m", F.least("own_id", "near_id").alias("a"), F.greatest("own_id", "near_id").alias("b"), "ptag")
+        picked = durable(pairs.groupBy("tag").agg(F.min(step).alias("s")).select("tag", "s.*"))
+        edges = picked.select("a", "b", "dist_m").distinct()
+        forest = edges if forest is None else forest.unionByName(edges)
+        if picked.isEmpty():
+            return forest
+        trees = connected_components(picked.select(F.col("tag").alias("node")), picked.select(F.col("tag").alias("a"), F.col("ptag").alias("b")))
+        spots = durable(spots.join(trees.select(F.col("node").alias("tag"), "label"), "tag").select("near_id", F.col("label").alias("tag"), "x", "y", "z"))
+
+
+def separation_sweep(df: DataFrame, ident: str, separations: list[float]) -> DataFrame:
+    """(separation, clusters, largest): clusters of ``chain_clusters`` and rows of the largest, for every separation.
+
+    Two rows share a cluster at a separation exactly if the forest joins them by steps no longer, so one forest up to the
+    largest separation serves all; each separation is then a graph of at most one edge a position.
+    """
+    forest = durable(spanning_forest(df, ident, max(separations)))
+    rows = durable(df.groupBy("lon", "lat").agg(F.min(ident).alias("node"), F.count(F.lit(1)).alias("__m")).filter("lon IS NOT NULL AND lat IS NOT NULL").select("node", "__m"))
+    every = F.explode(F.array(*[F.lit(float(s)) for s in separations])).alias("separation")
+    edges = forest.select("*", every).filter(F.col("dist_m") <= F.col("separation"))
+    nodes = rows.select("node", "__m", every)
+    label = connected_components(nodes, edges, ["separation"])
+    size = label.join(rows, "node").groupBy("separation", "label").agg(F.sum("__m").alias("__m"))
+    return size.groupBy("separation").agg(F.count(F.lit(1)).alias("clusters"), F.max("__m").alias("largest"))

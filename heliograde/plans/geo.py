@@ -123,9 +123,10 @@ def contamination(spark, sf):
 
 
 @query("j15_closest_neighbour", f"""WITH {xyz('detectors', 'det_id, country', 'a')}, b AS (SELECT * FROM a), nn AS (SELECT a.det_id, a.country, min(({DIST}, b.det_id)) AS m FROM a JOIN b ON a.country = b.country AND a.det_id <> b.det_id GROUP BY ALL)
-    SELECT det_id, m[2] AS near_id, m[1] AS dist_m FROM nn WHERE m[1] <= 40000""", ("detectors",))
+    SELECT det_id, m[2] AS near_id, m[1] AS dist_m FROM nn""", ("detectors",))
 def closest_neighbour(spark, sf):
-    return G.nearest_other(T.detectors(spark, sf).select("det_id", "country", "lon", "lat"), "det_id", 40000.0, ["country"]).select("det_id", "near_id", "dist_m")
+    found, _ = G.nearest_other_any(T.detectors(spark, sf).select("det_id", "country", "lon", "lat"), "det_id", ["country"])
+    return found.select("det_id", "near_id", "dist_m")
 
 
 # --- generated points ------------------------------------------------------------------------
@@ -171,7 +172,7 @@ def compass(spark, sf):
 def spaced(spark, sf):
     """Sequential acceptance has no SQL form; tests compare it with the loop."""
     d = T.detectors(spark, sf).select("det_id", "country", "lon", "lat")
-    need = d.select("country").distinct().withColumn("need", F.lit(25))
+    need = d.groupBy("country").agg(F.ceil(F.count(F.lit(1)) / 2).cast("int").alias("need"))
     return TH.spaced_sample(d, "det_id", need, "country", [12000.0, 9000.0, 6000.0], T.dense_sites(spark, sf), "dense_id")
 
 
@@ -180,7 +181,7 @@ def trim(spark, sf):
     """Repeated removal has no SQL form; tests compare it with the loop."""
     d = T.detectors(spark, sf).select("det_id", "country", "lon", "lat")
     keep = d.groupBy("country").agg(F.floor(F.count(F.lit(1)) * 0.95).alias("keep"))
-    return TH.trim_densest(d, "det_id", "country", keep, (40000.0, 320000.0))
+    return TH.trim_densest(d, "det_id", "country", keep)
 
 
 CC = f"""WITH RECURSIVE scattered AS ({T.SQL['scattered']}), {xyz('scattered', 'site_id', 'a')}, b AS (SELECT * FROM a), e AS (SELECT a.site_id AS u, b.site_id AS v FROM a, b WHERE {DIST} <= 3000),
@@ -199,15 +200,18 @@ def envelopes(spark, sf):
     return C.cluster_envelopes(d.join(TH.chain_clusters(d, "site_id", 3000.0), "site_id"), "cluster_id", 1500.0)
 
 
-@query("sm15_separation_sweep")
+SWEEP = f"""WITH RECURSIVE scattered AS ({T.SQL['scattered']}), {xyz('scattered', 'site_id', 'a')}, b AS (SELECT * FROM a), near AS (SELECT a.site_id AS u, b.site_id AS v, {DIST} AS d FROM a, b WHERE a.site_id <> b.site_id),
+    sep AS (SELECT unnest(range(1, 21)) AS s), e AS (SELECT s, u, v FROM near JOIN sep ON d <= s * 1000),
+    cc(s, u, l) USING KEY (s, u) AS (SELECT s, site_id, site_id FROM a, sep UNION
+      SELECT r.s, r.u, min(w.l) FROM cc w JOIN e ON e.s = w.s AND e.v = w.u JOIN recurring.cc r ON r.s = e.s AND r.u = e.u WHERE w.l < r.l GROUP BY r.s, r.u)
+    SELECT s::INTEGER AS separation_km, count(*) AS clusters, max(n)::BIGINT AS largest FROM (SELECT s, l, count(*) AS n FROM cc GROUP BY s, l) GROUP BY s"""
+
+
+@query("sm15_separation_sweep", SWEEP)
 def sweep(spark, sf):
-    """Cluster counts for a ladder of separations."""
-    d, out = T.scattered(spark, sf), None
-    for km in (1, 2, 4):
-        c = TH.chain_clusters(d, "site_id", km * 1000.0).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-        row = c.agg(F.lit(km).alias("separation_km"), F.count(F.lit(1)).alias("clusters"), F.max("n").alias("largest"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """Clusters for separations of 1 to 20 km, read off one spanning forest."""
+    got = TH.separation_sweep(T.scattered(spark, sf), "site_id", [km * 1000.0 for km in range(1, 21)])
+    return got.select((F.col("separation") / 1000).cast("int").alias("separation_km"), "clusters", "largest")
 
 
 @query("sm16_land_grid", f"""WITH {BOX}, g AS (SELECT floor(minx / 0.05)::BIGINT AS x0, floor(maxx / 0.05)::BIGINT AS x1, floor(miny / 0.05)::BIGINT AS y0, floor(maxy / 0.05)::BIGINT AS y1 FROM bx),

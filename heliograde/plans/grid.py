@@ -12,7 +12,7 @@ from heliograde.operators import grids as GR
 from heliograde.operators import mcda as M
 from heliograde.operators import moments as MO
 from heliograde.operators import ranking as R
-from heliograde.plans.evaluation import auc_sql
+from heliograde.plans.evaluation import auc_sql, report_sql
 from heliograde.plans.registry import query
 from heliograde.plans.tabular import SUIT
 from heliograde.sources import tables as T
@@ -140,51 +140,49 @@ def norms(spark, sf):
     return s.join(R.quantiles(n, ["label"], "nm", {"median": 0.5}).withColumn("median", F.round("median", 6)), "label")
 
 
-# Blocks of pixels: position from the id, ten columns wide.
-ABL = """px AS (SELECT px_id // 10 AS ri, px_id % 10 AS ci, label, emb FROM pixels), proto AS (SELECT i, avg(x) AS m FROM (SELECT unnest(emb) AS x, generate_subscripts(emb, 1) AS i FROM pixels WHERE label = 1) GROUP BY i),
-    pv AS (SELECT list(m ORDER BY i) AS m FROM proto), sc AS (SELECT px.*, list_cosine_similarity(emb, m) AS s FROM px, pv)"""
+# Blocks of pixels: position from the id, 40 cells of 10 m wide. The fixed model is the closeness to the mean site vector.
+FACTORS = [1, 3, 5, 10, 20, 50, 100, 200]
+ABL = """px AS (SELECT px_id, px_id // 40 AS ri, px_id % 40 AS ci, label, emb FROM pixels), u AS (SELECT px_id, ri, ci, unnest(emb) AS x, generate_subscripts(emb, 1) AS i FROM px),
+    proto AS (SELECT i, avg(x) AS m FROM u JOIN px USING (px_id) WHERE label = 1 GROUP BY i), sc AS (SELECT px_id, 1 / (1 + sqrt(sum((x - m) * (x - m)))) AS s FROM u JOIN proto USING (i) GROUP BY px_id)"""
 
 
 def _ablation_sql() -> str:
-    parts = []
-    for k in (1, 2):
-        parts.append(f"""SELECT {k} AS factor, 'score_mean' AS method, round(avg(s), 9) AS s, max(label) AS label FROM sc GROUP BY ri // {k}, ci // {k}""")
-        for m in ("mean_vector", "unit_mean"):
-            parts.append(f"""SELECT {k}, '{m}', round(sum(v * p.m) / (sqrt(sum(v * v)) * sqrt(sum(p.m * p.m))), 9), max(label) FROM (SELECT ri // {k} AS ri, ci // {k} AS ci, i, avg(x) AS v, max(label) AS label FROM (SELECT ri, ci, label, unnest(emb) AS x, generate_subscripts(emb, 1) AS i FROM px) GROUP BY ALL) b JOIN proto p USING (i) GROUP BY ri, ci""")
-    return f"WITH {ABL}, lo AS ({' UNION ALL '.join(parts)}) {auc_sql('lo', 'factor, method', 's')}"
+    parts = ["SELECT '10 native' AS curve, label, round(s, 9) AS score FROM px JOIN sc USING (px_id)"]
+    for k in FACTORS[1:]:
+        block = f"ri // {k} AS br, ci // {k} AS bc"
+        mean = f"(SELECT br, bc, i, avg(x) AS v FROM (SELECT {block}, i, x FROM u) GROUP BY ALL)"
+        forms = f"""SELECT br, bc, sqrt(sum((v - m) * (v - m))) AS raw, sqrt(sum((v / len - m) * (v / len - m))) AS ren
+            FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY br, bc)) AS len FROM {mean}) JOIN proto USING (i) GROUP BY br, bc"""
+        cells = f"SELECT b.*, avg_s FROM ({forms}) b JOIN (SELECT {block}, avg(s) AS avg_s FROM px JOIN sc USING (px_id) GROUP BY ALL) USING (br, bc)"
+        for name, s in (("mean_vector", "1 / (1 + raw)"), ("unit_mean", "1 / (1 + ren)"), ("score_mean", "avg_s")):
+            parts.append(f"SELECT '{10 * k} {name}', label, round({s}, 9) FROM (SELECT {block}, label FROM px) JOIN ({cells}) USING (br, bc)")
+    return f"""WITH {ABL}, pts AS ({' UNION ALL '.join(parts)})
+      SELECT split_part(curve, ' ', 1)::INTEGER AS resolution_m, split_part(curve, ' ', 2) AS method, * EXCLUDE (curve) FROM ({report_sql('pts', 'curve')})"""
 
 
 @query("r4_resolution_ablation", _ablation_sql(), ("pixels",))
 def ablation(spark, sf):
-    """Coarsening before or after scoring: mean vector, its unit form, and mean of scores."""
-    p = T.pixels(spark, sf).select(F.floor(F.col("px_id") / 10).cast("bigint").alias("ri"), (F.col("px_id") % 10).alias("ci"), "label", "emb")
+    """Every pixel scored from its coarse cell at eight resolutions: mean vector, its unit form, and mean of scores.
+
+    With S the vector sum of a block, n its pixels and m the mean site vector, |S/n - m|² and |S/|S| - m|² follow from S·S and S·m.
+    """
+    p = T.pixels(spark, sf).select(F.floor(F.col("px_id") / 40).cast("bigint").alias("ri"), (F.col("px_id") % 40).alias("ci"), "label", "emb")
     proto = GR.mean_vector(p.filter("label = 1").withColumn("g", F.lit(1)), ["g"], "emb").first()["emb"]  # 64 numbers
-    pv, out = V.literal_vector(proto), None
-    for k in (1, 2):
-        b = p.withColumn("br", F.floor(F.col("ri") / k)).withColumn("bc", F.floor(F.col("ci") / k))
-        lab = b.groupBy("br", "bc").agg(F.max("label").alias("label"), F.avg(V.cosine("emb", pv)).alias("score_mean"))
-        mean = GR.mean_vector(b, ["br", "bc"], "emb")
-        j = lab.join(mean, ["br", "bc"])
-        rows = F.array(*[F.struct(F.lit(n).alias("method"), F.round(s, 9).alias("s")) for n, s in (("score_mean", F.col("score_mean")), ("mean_vector", V.cosine("emb", pv)), ("unit_mean", V.cosine(V.unit("emb"), pv)))])
-        long = j.select(F.lit(k).alias("factor"), "label", F.inline(rows))
+    pv, mm = V.literal_vector(proto), float(sum(x * x for x in proto))
+    close = lambda square: 1 / (1 + F.sqrt(F.greatest(square, F.lit(0.0))))
+    q, d, n = F.col("q"), F.col("d"), F.col("n")
+    dots = lambda t: t.withColumn("q", V.dot("emb", "emb")).withColumn("d", V.dot("emb", pv))
+    pos = F.when(F.col("label") == 1, 1).otherwise(0)
+    cells = dots(p).select("ri", "ci", F.lit(1).alias("n"), pos.alias("pos"), (1 - pos).alias("neg"), close(q - 2 * d + mm).alias("s"), "emb")
+    out = None
+    for k, level in GR.pyramid(cells, FACTORS, ["n", "pos", "neg", "s"], "emb", len(proto)).items():
+        forms = {"native": F.col("s")} if k == 1 else {
+            "mean_vector": close(q / (n * n) - 2 * d / n + mm), "unit_mean": close(1 - 2 * d / F.sqrt(q) + mm), "score_mean": F.col("s") / n}
+        rows = F.array(*[F.struct(F.lit(m).alias("method"), F.round(s, 9).alias("score")) for m, s in forms.items()])
+        long = dots(level).select(F.lit(10 * k).alias("resolution_m"), "pos", "neg", F.inline(rows))
         out = long if out is None else out.unionByName(long)
-    return E.auc(out, ["factor", "method"], "s", domain=(-1.0, 1.0))
-
-
-@query("m1_prototype_cosine", "WITH proto AS (SELECT list(m ORDER BY i) AS m FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(emb) AS x, generate_subscripts(emb, 1) AS i FROM pixels WHERE label = 1) GROUP BY i)) SELECT px_id, round(list_cosine_similarity(emb, m), 6) AS score FROM pixels, proto", ("pixels",))
-def prototype(spark, sf):
-    p = T.pixels(spark, sf)
-    mean = MO.component_sums(p.filter("label = 1"), ["label"], "emb").orderBy("i").collect()  # 64 rows
-    import numpy as np
-
-    return p.select("px_id", r6(MO.prototype_score("emb", np.array([r["s"] / r["n"] for r in mean])), "score"))
-
-
-@query("m4_contrast_direction", "WITH mv AS (SELECT i, avg(x) FILTER (WHERE label = 1) - avg(x) FILTER (WHERE label = 0) AS w FROM (SELECT label, unnest(emb) AS x, generate_subscripts(emb, 1) AS i FROM pixels) GROUP BY i), pv AS (SELECT list(w ORDER BY i) AS w, sqrt(sum(w * w)) AS nw FROM mv) SELECT px_id, round(list_dot_product(emb, w) / nw, 6) AS score FROM pixels, pv", ("pixels",))
-def contrast(spark, sf):
-    p = T.pixels(spark, sf)
-    m = MO.fit_moments(p, "label", "emb")
-    return p.select("px_id", r6(MO.contrast_score("emb", m[1]["mean"], m[0]["mean"]), "score"))
+    group = ["resolution_m", "method"]
+    return E.report(E.count_profile(out, group), group)
 
 
 # --- MCDA ----------------------------------------------------------------------------------------

@@ -89,8 +89,13 @@ def sorted_sink(spark, sf):
 
 @query("s9_metric_rows", """SELECT experiment, scope::VARCHAR AS scope, round(avg(value), 5) AS value, count(*) AS n_pos FROM results_log GROUP BY ALL""", ("results_log",))
 def metric_rows(spark, sf):
+    """Two batches appended to a log, the second one twice as a retry does, and read back."""
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     m = T.results_log(spark, sf).groupBy("experiment", "scope").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n_pos"))
-    return I.result_rows(m).select("experiment", "scope", "value", "n_pos")
+    I.append_batch(m.filter("scope < 25"), path, "low")
+    for _ in range(2):
+        I.append_batch(m.filter("scope >= 25"), path, "high")
+    return I.read_results(spark, path).select("experiment", "scope", "value", "n_pos")
 
 
 @query("s10_stage_events", "SELECT event_type AS stage, CASE WHEN value > 100 THEN 'slow' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1, 2")
@@ -106,10 +111,14 @@ def stage_events(spark, sf):
 @query("s11_replace_by_key", """WITH cur AS (SELECT experiment, scope, max(event_id) AS v FROM results_log WHERE value <= 100 GROUP BY ALL), new AS (SELECT experiment, scope, -min(event_id) AS v FROM results_log WHERE value > 100 GROUP BY ALL)
     SELECT * FROM cur WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.experiment = cur.experiment AND new.scope = cur.scope) UNION ALL SELECT * FROM new""", ("results_log",))
 def replace(spark, sf):
+    """A stored table, its rows replaced by key on disk and read back."""
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     log = T.results_log(spark, sf)
     cur = log.filter("value <= 100").groupBy("experiment", "scope").agg(F.max("event_id").alias("v"))
     new = log.filter("value > 100").groupBy("experiment", "scope").agg((-F.min("event_id")).alias("v"))
-    return I.replace_by_key(cur, new, ["experiment", "scope"])
+    for rows in (cur, new):
+        I.replace_stored(spark, path, rows, ["experiment", "scope"], "experiment")
+    return spark.read.schema(new.schema).parquet(path)
 
 
 @query("s12_resume", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')")

@@ -140,9 +140,9 @@ def chip_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    """A raster as a table, 100 columns wide, as many rows as the orders fill; a few cells missing."""
+    """A raster as a table, 100 columns wide, as many rows as the orders fill."""
     k = F.col("o_orderkey")
-    return read(spark, sf, "orders").filter("o_totalprice >= 5000").select(
+    return read(spark, sf, "orders").select(
         F.floor(k / 100).cast("bigint").alias("ri"), (k % 100).alias("ci"), (F.floor("o_totalprice") % 1000 / 1000.0).alias("value"),
         ((F.floor("o_totalprice") * 3) % 1000 / 1000.0).alias("value_b"),
     )
@@ -197,7 +197,7 @@ SQL = {
         (CASE WHEN p_partkey % 4 = 3 THEN 'NEG_' ELSE 'POS_' END) || upper(substring(p_name, 1, 3)) || '_' || (p_partkey // 3)::VARCHAR || '_'
         || (2017 + p_size % 6)::VARCHAR || '_' || p_size::VARCHAR || '.tif' END AS chip FROM part""",
     "grid": """SELECT o_orderkey // 100 AS ri, o_orderkey % 100 AS ci, (floor(o_totalprice)::BIGINT % 1000) / 1000.0::DOUBLE AS value,
-        ((floor(o_totalprice)::BIGINT * 3) % 1000) / 1000.0::DOUBLE AS value_b FROM orders WHERE o_totalprice >= 5000""",
+        ((floor(o_totalprice)::BIGINT * 3) % 1000) / 1000.0::DOUBLE AS value_b FROM orders""",
     "results_log": """SELECT event_type AS experiment, user_id % 50 AS scope, event_id % 7 AS config, event_id % 3 AS pool, value, ts, event_id, props FROM events""",
 }
 

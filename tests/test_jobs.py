@@ -86,6 +86,43 @@ def test_results_log_and_resume(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "stages")).first()["stage"] == "train"
 
 
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    p = str(tmp_path / "log")
+    rows = spark.createDataFrame([("a", "x", 0.1234567, "/w/m/1"), ("b", "y", None, "m/2"), (None, "z", 1.0, None)], "experiment string, scope string, value double, model_path string")
+    rows = rows.withColumn("model_path", I.relative_path(F.col("model_path"), "/w"))
+    for batch in ("one", "two", "two"):
+        I.append_batch(rows, p, batch)
+    got = I.read_results(spark, p)
+    assert got.count() == 6 and {r[0] for r in got.select("batch").collect()} == {"one", "two"}
+    assert {(r["experiment"], r["value"], r["model_path"]) for r in got.collect()} == {("a", 0.12346, "m/1"), ("b", None, "m/2"), (None, 1.0, None)}
+    I.append_batch(rows.limit(0), p, "none")
+    assert I.read_results(spark, p).count() == 6
+
+
+def test_stored_rows_are_replaced_by_key(spark, tmp_path):
+    p, shape = str(tmp_path / "t"), "experiment string, scope string, v long"
+    table = lambda *rows: spark.createDataFrame(list(rows), shape)
+    I.replace_stored(spark, p, table(("a", "x", 1), ("a", None, 2), ("b", "x", 3), (None, "x", 4)), ["experiment", "scope"], "experiment")
+    new = table(("a", None, 20), ("a", "y", 21), (None, "x", 40))
+    for _ in range(2):
+        I.replace_stored(spark, p, new, ["experiment", "scope"], "experiment")
+    got = {tuple(r) for r in spark.read.schema(shape).parquet(p).select("experiment", "scope", "v").collect()}
+    assert got == {("a", "x", 1), ("a", None, 20), ("a", "y", 21), ("b", "x", 3), (None, "x", 40)}
+    with pytest.raises(ValueError):
+        I.replace_stored(spark, p, new, ["scope"], "experiment")
+
+
+def test_pyramid_equals_block_sums(spark):
+    rng = np.random.default_rng(3)
+    cells = pd.DataFrame([(r, c) for r in range(23) for c in range(17)], columns=["ri", "ci"])
+    x = rng.random((len(cells), 3))
+    df = spark.createDataFrame(cells.assign(n=1, emb=list(x)))
+    for f, level in GR.pyramid(df, [1, 3, 5, 10, 20], ["n"], "emb", 3).items():
+        got = level.toPandas().set_index(["ri", "ci"]).sort_index()
+        want = pd.DataFrame(x).groupby([cells.ri // f, cells.ci // f]).sum()
+        assert len(got) == len(want) and got.n.sum() == len(cells) and np.allclose(np.stack(got.emb), want.values)
+
+
 def test_latest_non_null_takes_columns_from_different_rows(spark):
     df = spark.createDataFrame([(1, 1, 5.0, 1.0), (1, 2, None, 2.0)], "k int, t int, a double, b double")
     assert tuple(I.latest_non_null(df, "k", "t", ["a", "b"]).first()) == (1, 5.0, 2.0)

@@ -113,3 +113,43 @@ def test_box_pairs_of_very_different_sizes(spark):
     got = G.box_pairs(spark.createDataFrame(a), spark.createDataFrame(b)).select("a", "b").toPandas()
     want = {(i.a, j.b) for i in a.itertuples() for j in b.itertuples() if i.minx <= j.maxx and j.minx <= i.maxx and i.miny <= j.maxy and j.miny <= i.maxy}
     assert len(got) == len(want) and set(map(tuple, got.values)) == want
+
+
+def test_nearest_other_at_any_distance(spark, sides):
+    L, _ = sides
+    far = pd.DataFrame({"id": [900, 901], "lon": [-100.0, 170.0], "lat": [-30.0, 60.0]})
+    P = pd.concat([L, far], ignore_index=True).assign(g=0)
+    P.loc[len(P)] = [950, 20.0, 20.0, 1]  # alone in its group
+    P = P.astype({"id": "int64", "g": "int64"})
+    D = dist(P[P.g == 0], P[P.g == 0])
+    np.fill_diagonal(D, np.inf)
+    found, rest = G.nearest_other_any(spark.createDataFrame(P), "id", ["g"])
+    got = found.toPandas().set_index("id").sort_index()
+    ids = P[P.g == 0].id.values
+    assert list(got.index) == list(ids) and (got.dist_m.values == D.min(1)).all() and (got.near_id.values == ids[D.argmin(1)]).all()
+    assert [r["id"] for r in rest.collect()] == [950]
+
+
+def test_trim_that_cannot_meet_its_quota_is_an_error(spark):
+    P = spark.createDataFrame(pd.DataFrame({"id": [0, 1, 2], "g": 0, "lon": [0.0, 90.0, -90.0], "lat": [0.0, 10.0, 20.0]}))
+    keep = lambda n: spark.createDataFrame([(0, n)], "g int, keep int")
+    assert T.trim_densest(P, "id", "g", keep(1)).count() == 2
+    with pytest.raises(ValueError):
+        T.trim_densest(P, "id", "g", keep(0))
+    with pytest.raises(ValueError):
+        T.trim_densest(P, "id", "g", keep(1), (5000.0,))
+
+
+def test_separation_sweep_equals_single_runs(spark, sides):
+    L, _ = sides
+    D = dist(L, L)
+    got = T.separation_sweep(spark.createDataFrame(L), "id", [2000.0, 6000.0, 15000.0]).toPandas().set_index("separation")
+    for s in got.index:
+        lab = np.arange(len(L))
+        while True:
+            new = np.array([lab[D[i] <= s].min() for i in range(len(L))])
+            if (new == lab).all():
+                break
+            lab = new
+        n = np.bincount(lab)
+        assert (got.clusters[s], got.largest[s]) == ((n > 0).sum(), n.max())
