@@ -70,10 +70,10 @@ def normalise(points: DataFrame, country: str, criteria: list[str], ranges: Data
 
 
 def config_weights(ranges: DataFrame, country: str, vectors: dict[str, dict[str, float]], modes: tuple[str, ...], order: list[str]) -> DataFrame:
-    """One row per country with an array of (config, land mode, weights in criterion ``order``).
+    """One row per (country, config, land mode) with a column ``w_<criterion>`` for each of ``order``.
 
     Weights cover the criteria the country has and sum to one; land joins with the mean of the
-    full vector where the mode asks for it. The table is as long as there are countries.
+    full vector where the mode asks for it. The table is as long as there are countries, times configs.
     """
     have = ranges.groupBy(country).agg(F.collect_set("criterion").alias("__have"))
     rows = []
@@ -82,58 +82,54 @@ def config_weights(ranges: DataFrame, country: str, vectors: dict[str, dict[str,
             full = dict(vector)
             if mode == "weighted" and "land" not in vector:
                 full["land"] = sum(vector.values()) / len(vector)
-            raw = F.array(*[
+            raw = [
                 F.lit(full.get(c, 0.0)) if c == "land" or c not in full else F.when(F.array_contains("__have", c), full[c]).otherwise(0.0) for c in order
-            ])
-            rows.append(F.struct(F.lit(name).alias("config"), F.lit(mode).alias("land"), raw.alias("raw")))
-    total = lambda r: F.nullif(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
-    return have.select(country, F.inline(F.array(*rows))).select(
-        country, "config", "land", F.transform("raw", lambda x: x / total(F.col("raw"))).alias("w")
-    ).groupBy(country).agg(F.collect_list(F.struct("config", "land", "w")).alias("__configs"))
+            ]
+            rows.append(F.struct(F.lit(name).alias("config"), F.lit(mode).alias("land"), *[r.alias(f"r_{c}") for r, c in zip(raw, order)]))
+    total = F.nullif(sum((F.col(f"r_{c}") for c in order), F.lit(0.0)), F.lit(0.0))
+    return have.select(country, F.inline(F.array(*rows))).select(country, "config", "land", *[(F.col(f"r_{c}") / total).alias(f"w_{c}") for c in order])
 
 
-def _terms(x: Column, w: Column, f) -> Column:
+def _terms(order: list[str], f) -> Column:
     """Sum of f(weight, value) over criteria; a weight of zero never blanks the row."""
-    parts = F.zip_with(x, w, lambda v, k: F.when(k == 0, 0.0).otherwise(f(k, v)))
-    return F.aggregate(parts, F.lit(0.0), lambda a, t: a + t)
+    w = lambda c: F.col(f"w_{c}")
+    return sum((F.when(w(c) == 0, 0.0).otherwise(f(w(c), F.col(f"n_{c}"))) for c in order), F.lit(0.0))
 
 
-def weighted_sum(x: Column, w: Column) -> Column:
-    return _terms(x, w, lambda k, v: k * v)
+def weighted_sum(order: list[str]) -> Column:
+    return _terms(order, lambda k, v: k * v)
 
 
-def topsis(x: Column, w: Column) -> Column:
+def topsis(order: list[str]) -> Column:
     """Closeness to the ideal point 1 against the anti-ideal 0, every point on its own."""
-    plus = F.sqrt(_terms(x, w, lambda k, v: (k * v - k) * (k * v - k)))
-    minus = F.sqrt(_terms(x, w, lambda k, v: k * v * k * v))
+    plus = F.sqrt(_terms(order, lambda k, v: (k * v - k) * (k * v - k)))
+    minus = F.sqrt(_terms(order, lambda k, v: k * v * k * v))
     return minus / (plus + minus + EPS)
 
 
 def score_configs(points: DataFrame, country: str, keep: list[str], vectors: dict[str, dict[str, float]] | None = None,
                   directions: dict[str, str] = DIRECTION, cover: str = "worldcover", protected: str = "wdpa",
-                  modes: tuple[str, ...] = ("excl", "weighted"), minimum: int = MIN_FINITE_LAND) -> DataFrame:
+                  modes: tuple[str, ...] = ("excl", "weighted"), minimum: int = MIN_FINITE_LAND,
+                  aggregators: tuple[str, ...] = ("wlc", "topsis"), only: Column | None = None) -> DataFrame:
     """Long table (keep..., config, aggregator, land, mcda): one score per point and config.
 
-    A config scores exactly the points complete for its own criteria; excluded ground gets 0.
-    Normalised criteria travel as one array and meet the weight arrays of all configs in one
-    explode, so the plan does not grow with the number of configs.
+    A config scores exactly the points complete for its own criteria; excluded ground gets 0. Ranges come from all points; ``only``
+    says which of them are scored. A point meets the weights of its country's configs in the join that multiplies it, and
+    scores are plain arithmetic on columns, so the plan does not grow with the number of configs.
     """
     vectors = vectors or config_vectors()
     criteria = sorted({c for v in vectors.values() for c in v if c != "land"})
     order = [*criteria, "land"]
     ranges = durable(criterion_ranges(points, country, criteria, minimum=minimum))  # countries x criteria rows
-    normal = normalise(points, country, criteria, ranges, directions)
-    arrays = normal.select(
+    normal = normalise(points if only is None else points.filter(only), country, criteria, ranges, directions)
+    slim = normal.select(
         *keep, *([] if country in keep else [country]), excluded_land(cover, protected).alias("__excl"),
-        F.array(*[F.col(f"n_{c}") for c in criteria], land_suitability(cover).cast("double")).alias("__x"),
-    )
-    long = arrays.join(config_weights(ranges, country, vectors, modes, order), country).select(
-        *keep, "__excl", "__x", F.inline("__configs")
-    )
-    pair = F.array(
-        F.struct(F.lit("wlc").alias("aggregator"), weighted_sum(F.col("__x"), F.col("w")).alias("mcda")),
-        F.struct(F.lit("topsis").alias("aggregator"), topsis(F.col("__x"), F.col("w")).alias("mcda")),
+        *[f"n_{c}" for c in criteria], land_suitability(cover).cast("double").alias("n_land"),
     )
+    weights = durable(config_weights(ranges, country, vectors, modes, order))  # a small table of known size, so that it is sent to the points
+    formula = {"wlc": weighted_sum, "topsis": topsis}
+    long = slim.join(weights, country).select(*keep, "config", "land", "__excl", *[formula[a](order).alias(f"__{a}") for a in aggregators])
+    pair = F.array(*[F.struct(F.lit(a).alias("aggregator"), F.col(f"__{a}").alias("mcda")) for a in aggregators])
     out = long.select(*keep, "config", "land", "__excl", F.inline(pair)).filter(F.col("mcda").isNotNull())
     return out.select(*keep, "config", "aggregator", "land", F.when(F.col("__excl"), 0.0).otherwise(F.col("mcda")).alias("mcda"))
 

@@ -235,7 +235,8 @@ BOTH = ("excl", "weighted")
 
 
 def scored(spark, sf, **kw):
-    s = M.score_configs(T.criteria(spark, sf), "country", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "country", "label", "source"], **kw)
+    keep = kw.pop("keep", ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "country", "label", "source"])
+    s = M.score_configs(T.criteria(spark, sf), "country", keep, **kw)
     return s.withColumn("mcda", F.round("mcda", 9))
 
 
@@ -248,20 +249,22 @@ def prepared_weights(spark, sf):
 
 @query("c3_weighted_sum", f"WITH {_score_sql({'richards': M.RICHARDS}, ('excl',))} SELECT {KEYLIST}, mcda FROM sc WHERE aggregator = 'wlc'", ("criteria",))
 def weighted_sum(spark, sf):
-    return scored(spark, sf, vectors={"richards": M.RICHARDS}, modes=("excl",)).filter("aggregator = 'wlc'").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "mcda")
+    return scored(spark, sf, vectors={"richards": M.RICHARDS}, modes=("excl",), aggregators=("wlc",)).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "mcda")
 
 
 @query("c4_topsis", f"WITH {_score_sql({'chen': M.CHEN}, ('weighted',))} SELECT {KEYLIST}, mcda FROM sc WHERE aggregator = 'topsis'", ("criteria",))
 def topsis(spark, sf):
-    return scored(spark, sf, vectors={"chen": M.CHEN}, modes=("weighted",)).filter("aggregator = 'topsis'").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "mcda")
+    return scored(spark, sf, vectors={"chen": M.CHEN}, modes=("weighted",), aggregators=("topsis",)).select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "mcda")
 
 
 BY = "country, config, aggregator, land"
 
 
-@query("c5_config_matrix", f"WITH {_score_sql(M.config_vectors(), BOTH)} {auc_sql('sc', BY, 'mcda')}", ("criteria",))
+@query("c5_config_matrix", f"WITH {_score_sql(M.config_vectors(), BOTH)} {auc_sql('sc', BY, 'mcda', 'HAVING max(tp) + max(tn) >= 50 AND max(tp) >= 5')}", ("criteria",))
 def config_matrix(spark, sf):
-    return E.auc(scored(spark, sf), BY.split(", "), "mcda")
+    """Points with a model score alone; configs with fewer than 50 rows or 5 sites in a country are left out."""
+    finite = F.col("score").isNotNull() & ~F.isnan("score")
+    return E.auc(scored(spark, sf, only=finite, keep=["country", "label"]), BY.split(", "), "mcda").filter("n_pos + n_neg >= 50 AND n_pos >= 5")
 
 
 @query("e11_best_config", f"WITH {_score_sql(M.config_vectors(), BOTH)}, a AS ({auc_sql('sc', BY, 'mcda')}) SELECT country, config, aggregator, land, roc FROM a WHERE n_pos >= 5 AND n_neg >= 5 QUALIFY row_number() OVER (PARTITION BY country ORDER BY roc DESC, config, aggregator, land) = 1", ("criteria",))
@@ -275,7 +278,7 @@ OLD = {"balanced": M.BALANCED, "irradiance": M.IRRADIANCE, "infrastructure": M.I
 
 @query("c8_three_vector_benchmark", f"WITH {_score_sql(OLD, ('excl',))}, w AS (SELECT * FROM sc WHERE aggregator = 'wlc') {auc_sql('w', 'country, config', 'mcda')}", ("criteria",))
 def three_vectors(spark, sf):
-    return E.auc(scored(spark, sf, vectors=OLD, modes=("excl",)).filter("aggregator = 'wlc'"), ["country", "config"], "mcda")
+    return E.auc(scored(spark, sf, vectors=OLD, modes=("excl",), aggregators=("wlc",)), ["country", "config"], "mcda")
 
 
 @query("c6_expert_classes", "WITH b AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {lo!r}::DOUBLE, {hi!r}::DOUBLE, {k})" for c, bs in M.BREAKPOINTS.items() for lo, hi, k in bs)
