@@ -229,6 +229,11 @@ class Pieces:
             out.append(array("i", self._run(blanks)).tobytes())
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
+    def forget(self) -> None:
+        """Lets go of the words remembered."""
+        self.words.clear()
+        self.stable.clear()
+
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD one by one."""
         ids = ids.tolist() if isinstance(ids, np.ndarray) else list(ids)
@@ -291,19 +296,22 @@ def encode_decode(docs: DataFrame, model: str, ident: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path(model))
         pieces.remembered = remembered
-        for b in batches:
-            ids, texts, at = [], [], 0
-            size = 0
-            for k, t in enumerate(b.column(1)):
-                got = pieces.encode(t.as_py())
-                ids.append(got)
-                texts.append(pieces.decode(got))
-                size += len(texts[-1])
-                if size > BATCH_CHARS or k == b.num_rows - 1:
-                    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                    arr = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), arr, pa.array(texts, pa.string())], names=["ident", "ids", "decoded"])
-                    ids, texts, at, size = [], [], k + 1, 0
+        try:
+            for b in batches:
+                ids, texts, at = [], [], 0
+                size = 0
+                for k, t in enumerate(b.column(1)):
+                    got = pieces.encode(t.as_py())
+                    ids.append(got)
+                    texts.append(pieces.decode(got))
+                    size += len(texts[-1])
+                    if size > BATCH_CHARS or k == b.num_rows - 1:
+                        ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                        arr = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                        yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(ids)), arr, pa.array(texts, pa.string())], names=["ident", "ids", "decoded"])
+                        ids, texts, at, size = [], [], k + 1, 0
+        finally:
+            pieces.forget()  # workers live on beside other jobs
 
     out = docs.select(F.col(ident).alias("ident"), F.col(text).alias("text")).mapInArrow(run, f"ident {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("ident", ident)
