@@ -7,6 +7,8 @@ the node count fits. Weights, splits and permutations are hash based and repeat.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier,
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from heliograde.functions.vectors import dot, l2_norm
 from heliograde.operators import ranking as R
+from heliograde.operators.moments import outer_sums
 from heliograde.operators.sampling import balanced_weight
 
 BYTES_PER_NODE = 40  # fixed estimate for the size of a serialised tree node
@@ -56,7 +59,9 @@ def forest_size(model) -> int:
 
 
 def forest_within_budget(train: DataFrame, max_bytes: int, min_leaf: int = 5, **kw):
-    """Refit with larger leaves until the forest fits the size budget."""
+    """Refit with larger leaves until the forest fits the size budget; a budget below one node a tree is an error."""
+    if max_bytes < BYTES_PER_NODE * kw.get("trees", 20):
+        raise ValueError(f"{max_bytes} bytes are less than one node of each tree")
     while True:
         model = forest(train, min_leaf=min_leaf, **kw)
         size = forest_size(model)
@@ -132,6 +137,65 @@ def regression_r2(train: DataFrame, test: DataFrame, inputs: list[str], target:
     return float(r2), model
 
 
+def grouped_ridge(df: DataFrame, group: str, inputs: list[str], target: str, held: str, alpha: float = 1.0, minimum: int = 500) -> DataFrame:
+    """(group, n_train, n_test, r2, novelty): one ridge fit for each group, judged on its held-out rows (``held`` is true).
+
+    Inputs are standardised on the training rows and ``alpha`` weighs the squared coefficients against the sum of squared errors; constant inputs
+    get none. Rows with a null or non-finite value take no part, groups of fewer than ``minimum`` others are left out; without training or
+    held-out rows, or where the held-out target is constant, R2 is null. Rows go once into products of their columns, summed before the
+    shuffle, so a group is one small matrix for each side whatever its size; both the fit and the held-out error read off these.
+    Columns are first centred on the whole table's means, so that large offsets cost no digits.
+    """
+    names = [*inputs, target]
+    cols = [F.col(c).cast("double") for c in names]
+    finite = F.forall(F.array(*cols), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = df.filter(finite & F.col(held).isNotNull() & F.col(group).isNotNull())
+    means = rows.agg(*[F.avg(c).alias(str(i)) for i, c in enumerate(cols)]).first()  # one row of as many numbers as there are inputs
+    centred = [c - F.lit(m or 0.0) for c, m in zip(cols, means, strict=True)]
+    kind = df.schema[group].dataType.simpleString()
+    # group and side as one text key: the sums are grouped by it
+    key = F.to_json(F.struct(F.col(group).alias("g"), F.col(held).cast("boolean").alias("h")))
+    sums = outer_sums(rows.select(key.alias("key"), F.array(F.lit(1.0), *centred).alias("x")), "key", "x")
+    side = F.from_json("key", f"g {kind}, h boolean")
+    cells = sums.select(side["g"].alias(group), side["h"].alias("held"), "i", "j", "s")
+    d = len(names) + 1
+
+    def solve(t: pa.Table) -> pa.Table:
+        m = {}
+        for held_out in (False, True):
+            part = t.filter(pc.equal(t["held"], held_out))
+            m[held_out] = np.zeros((d, d))
+            m[held_out][part["i"].to_numpy(), part["j"].to_numpy()] = part["s"].to_numpy()
+        n, n_test = (int(round(m[h][0, 0])) for h in (False, True))
+        r2 = None
+        if n + n_test < minimum:
+            rows_ = []
+        else:
+            if n and n_test:
+                r2 = _ridge_r2(m[False], m[True], alpha)
+            rows_ = [(t[group][0].as_py(), n, n_test, r2, None if r2 is None else 1 - r2)]
+        kinds = [t[group].type, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows_], x) for k, x in enumerate(kinds)], names=[group, "n_train", "n_test", "r2", "novelty"])
+
+    return cells.groupBy(group).applyInArrow(solve, f"`{group}` {kind}, n_train bigint, n_test bigint, r2 double, novelty double")
+
+
+def _ridge_r2(train: np.ndarray, test: np.ndarray, alpha: float) -> float | None:
+    """R2 on one table of sums of products of (1, inputs..., target), fitted on another."""
+    n, mean = train[0, 0], train[0, 1:] / train[0, 0]
+    cov = train[1:, 1:] - n * np.outer(mean, mean)
+    xx, xy, var = cov[:-1, :-1], cov[:-1, -1], np.diag(cov)[:-1]
+    moves = var > 1e-12 * np.maximum(1e-12, np.diag(train)[1:-1])
+    sd = np.sqrt(var[moves] / n)
+    coef = np.zeros(len(var))
+    scaled = xx[np.ix_(moves, moves)] / np.outer(sd, sd)
+    coef[moves] = np.linalg.solve(scaled + alpha * np.eye(len(sd)), xy[moves] / sd) / sd
+    # error of y - b - x.w as a quadratic form in the held-out sums
+    form = np.append(np.append(-(mean[-1] - mean[:-1] @ coef), -coef), 1.0)
+    spread = test[-1, -1] - test[0, -1] ** 2 / test[0, 0]
+    return None if spread <= 1e-12 * max(1e-300, test[-1, -1]) else float(1 - form @ test @ form / spread)
+
+
 def hash_split(df: DataFrame, key, seed: int = 0, share: float = 0.3) -> tuple[DataFrame, DataFrame]:
     from heliograde.functions.hashing import uniform
 
