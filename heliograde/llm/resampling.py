@@ -58,7 +58,8 @@ class Block:
     """
 
     def __init__(self, texts: pa.Array):
-        lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")), SEPARATORS)
+        whole = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))  # ascii_lower misreads a slice: copy it
+        lists = pc.split_pattern_regex(pc.ascii_lower(whole), SEPARATORS)
         flat = pc.list_flatten(lists)
         real = pc.not_equal(flat, "")
         owner = pc.list_parent_indices(lists).filter(real).to_numpy()
