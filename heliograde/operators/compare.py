@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from heliograde.functions.hashing import draw
 from heliograde.operators import evaluate as E
+from heliograde.operators import pairs as P
 from heliograde.operators import ranking as R
 
 
@@ -128,17 +129,13 @@ def stack_criteria(df: DataFrame, keep: list[str], criteria: list[str]) -> DataF
     return R.clean_scores(long, "value")
 
 
-def _discrimination(df: DataFrame, group: list[str], criteria: list[str]) -> DataFrame:
-    keys = [*group, "criterion"]
-    p = E.score_profile(stack_criteria(df, [*group, "label"], criteria), keys, "value", domain=None)
-    return p.groupBy(*keys).agg(
-        E.auc_expr().alias("__auc"), *R.quantile_exprs("value", "pos", {"median_sites": 0.5}), *R.quantile_exprs("value", "neg", {"median_land": 0.5})
-    )
-
-
 def covariate_discrimination(df: DataFrame, group: list[str], criteria: list[str]) -> DataFrame:
     """How well each raw criterion alone separates sites from land, with both medians."""
-    d = _discrimination(df, group, criteria)
+    side = df.filter(F.col("label").isin(0, 1)).withColumn("__side", F.col("label"))
+    med = P.quantiles(side, [*group, "__side"], criteria, {"__m": 0.5})
+    at = lambda v: F.max(F.when(F.col("__side") == v, F.col("__m")))
+    med = med.groupBy(*group, "criterion").agg(at(1).alias("median_sites"), at(0).alias("median_land"))
+    d = P.column_areas(df, group, criteria).withColumnRenamed("auc", "__auc").join(med, [*group, "criterion"])
     return d.select(
         *group, "criterion", F.round("__auc", 6).alias("auc"), F.round(F.abs(2 * F.col("__auc") - 1), 6).alias("discrimination"),
         F.round("median_sites", 6).alias("median_sites"), F.round("median_land", 6).alias("median_land"),
@@ -147,7 +144,7 @@ def covariate_discrimination(df: DataFrame, group: list[str], criteria: list[str
 
 def expert_vs_empirical(df: DataFrame, group: list[str], criteria: list[str], weights: dict[str, float]) -> DataFrame:
     """Published weight share next to the share of mean discrimination, over common criteria."""
-    d = _discrimination(df, group, criteria).groupBy("criterion").agg(F.avg(F.abs(2 * F.col("__auc") - 1)).alias("__d"))
+    d = P.column_areas(df, group, criteria).groupBy("criterion").agg(F.avg(F.abs(2 * F.col("auc") - 1)).alias("__d"))
     w = None
     for c, v in weights.items():
         w = F.when(F.col("criterion") == c, F.lit(v)) if w is None else w.when(F.col("criterion") == c, F.lit(v))
