@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograde.llm import copies, mixing, pieces, quality, substrings
-from heliograde.session import scratch_folder
+from heliograde.session import durable, scratch, scratch_folder, shuffles_removed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MODEL = "piece_bpe_32k.model"
@@ -53,9 +53,14 @@ def words_digest(text: str) -> Column:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the token budgets of their source and language take, each once."""
-    counted = docs.select(*COLUMNS, mixing.token_count("text").alias("n_tokens"))
-    return mixing.mix(counted, TREE, WEIGHTS, F.lit(PART) * F.col("all_tokens")).filter("copies > 0").select(COLUMNS)
+    """The documents that the token budgets of their source and language take, each once. Budgets are dealt out on ids and counts, and rows of one id,
+    source and language are taken together, so texts meet the result in one join."""
+    counted = durable(docs.select("doc_id", *TREE, mixing.token_count("text").alias("n_tokens")))
+    mixed = mixing.mix(counted, TREE, WEIGHTS, F.lit(PART) * F.col("all_tokens")).filter("copies > 0")
+    keys = ["doc_id", *TREE]
+    taken = mixed.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return docs.select(COLUMNS).join(taken, same, "left_semi")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,11 +81,12 @@ ORACLE_SQL = None  # fingerprints, recompression and tokens are beyond SQL; test
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+    """All stages over ``documents``; each result is written to the shared folder and read again. What a stage stored and shuffled goes when it ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{scratch_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{k}")
+        with scratch(spark), shuffles_removed(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{base}/{k}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{k}")
     return docs

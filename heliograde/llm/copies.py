@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograde.llm.simhash import SEED, reachable
-from heliograde.session import durable
+from heliograde.session import discard, durable
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, WIDTH = 40, 6
@@ -91,10 +91,13 @@ def near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", shin
     keyed = durable(nodes.select("node", "size", F.explode("bands").alias("key")))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     met = durable(keyed.join(shared, "key"))
+    discard(keyed)  # large tables go as soon as the next one is written
     close = F.least("size", "size_b") >= F.lit(similarity - 1e-12) * F.greatest("size", "size_b")
     sets = durable(base.select("node", "grams").join(met.select("node").distinct(), "node").dropDuplicates(["node"]))
+    rows = durable(base.select("ident", "digest", "node"))
+    discard(base)
     open_ = met.withColumn("own", F.col("node"))  # buckets whose nodes are not all connected yet
-    links, tried = None, None
+    links, tried, spent = None, None, [met, sets]
     for turn in range(STARS + 1):
         if turn < STARS:  # all meet one node of the bucket, another one in each turn
             hub = open_.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node", F.lit(turn)).alias("h"), "node", "size", "own")).alias("f"))
@@ -106,9 +109,13 @@ def near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", shin
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = _links(pairs, sets, similarity)
         links = durable(new if links is None else links.unionByName(new))
+        spent += [pairs, links]
         label = durable(reachable(links))
         if turn < STARS:
             placed = durable(met.join(label, "node", "left").select("key", "node", "size", F.coalesce("label", "node").alias("own")))
             mixed = placed.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("key")
             open_ = durable(placed.join(mixed, "key"))
-    return base.join(label, "node", "left").select(F.col("ident").alias(ident), "digest", F.coalesce("label", "node").alias("component"))
+            spent += [placed, open_]
+    for table in spent:
+        discard(table)
+    return rows.join(label, "node", "left").select(F.col("ident").alias(ident), "digest", F.coalesce("label", "node").alias("component"))
