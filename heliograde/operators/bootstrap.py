@@ -3,7 +3,7 @@
 ``replicate_auc`` gives every row an independent Poisson(1) multiplicity in each replicate, a hash of (row key, replicate), which is what
 drawing n of n with replacement tends to as n grows; replicates are arrays of sums, so no row is repeated for them.
 ``draw_multiplicities`` draws exactly n of n, for groups so small that the difference shows: draw j of replicate b lands
-on row hash(b, j) mod n.
+on row hash(b, j) mod n. ``exact_auc`` gives the ROC areas of those draws, with two bytes moved for a draw instead of a row.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from heliograde.functions.hashing import draw, draw_batches, hash_array, poisson_limits
 from heliograde.operators import ranking as R
+from heliograde.session import durable
 
 REPS = 2000
 
@@ -55,10 +56,29 @@ def _draws(keys: np.ndarray, marks: np.ndarray, seed: int) -> np.ndarray:
     return np.searchsorted(np.array(poisson_limits(), dtype=np.uint32), h.ravel(), side="right").reshape(h.shape)
 
 
-def _accumulate(n_keys: int, reps: int, seed: int):
+def _hashed(reps: int, seed: int):
+    """Column of row keys -> multiplicities of its rows from one place to another."""
+    marks = hash_array(np.arange(reps), seed + 2)
+
+    def column(keys: pa.Array):
+        keys = keys.to_numpy(zero_copy_only=False)
+        return lambda at, end: _draws(keys[at:end], marks, seed)
+
+    return column
+
+
+def _stored(reps: int):
+    """Column of multiplicities as two bytes a replicate -> those of its rows from one place to another."""
+
+    def column(times: pa.Array):
+        return lambda at, end: np.frombuffer(b"".join(times.slice(at, end - at).to_pylist()), dtype="<u2").reshape(end - at, reps).astype(np.int64)
+
+    return column
+
+
+def _accumulate(n_keys: int, reps: int, drawn):
     """Rows sorted by (keys..., score) -> for each keys (keys..., pos, neg, won): per replicate the drawn positives and negatives, and twice the
     pairs that positives win inside. The state is a few arrays of one number a replicate, however many rows a cell has."""
-    marks = hash_array(np.arange(reps), seed + 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, names, sums = None, None, None
@@ -79,13 +99,14 @@ def _accumulate(n_keys: int, reps: int, seed: int):
         for b in batches:
             names = [b.column(i).type for i in range(n_keys)]
             keys = list(zip(*(b.column(i).to_pylist() for i in range(n_keys)), strict=True))
-            score, label, key = (b.column(n_keys + i).to_numpy(zero_copy_only=False) for i in range(3))
+            score, label = (b.column(n_keys + i).to_numpy(zero_copy_only=False) for i in range(2))
+            take = drawn(b.column(n_keys + 2))
             new_cell = np.array([True, *(x != y for x, y in zip(keys[1:], keys, strict=False))])[: b.num_rows]
             runs = np.flatnonzero(new_cell | np.append(True, score[1:] != score[:-1])[: b.num_rows])
             at = 0
             while at < b.num_rows:
                 end = min(b.num_rows, at + ROWS)
-                times = _draws(key[at:end], marks, seed)
+                times = take(at, end)
                 starts = np.unique(np.append(at, runs[(runs > at) & (runs < end)]))
                 pos = np.add.reduceat(times * (label[at:end] == 1)[:, None], starts - at, axis=0)
                 neg = np.add.reduceat(times * (label[at:end] == 0)[:, None], starts - at, axis=0)
@@ -119,15 +140,19 @@ def replicate_auc(
     stacked = rows.select(
         *group, F.inline(F.array(*[F.struct(F.lit(s).alias("which"), F.col(s).cast("double").alias("score")) for s in scores])), F.col(label).cast("int").alias("label"), F.col(key).cast("bigint").alias("key")
     )
+    return _areas(stacked, [*group, "which"], "key", _hashed(reps, seed), reps, domain, cells)
+
+
+def _areas(stacked: DataFrame, by: list[str], key: str, drawn, reps: int, domain, cells: int) -> DataFrame:
+    """(by..., rep, auc) of rows (by..., score, label, key), where ``drawn`` makes multiplicities of the column ``key``."""
     lo, hi = domain
     slot = F.floor((F.col("score") - F.lit(float(lo))) / F.lit(float(hi - lo)) * F.lit(cells))
     celled = R.clean_scores(stacked, "score").withColumn("cell", F.greatest(F.least(slot, F.lit(cells - 1)), F.lit(0)).cast("int"))
-    keys = [*group, "which", "cell"]
-    laid = celled.select(*keys, "score", "label", "key").repartition(*keys).sortWithinPartitions(*keys, "score")
+    keys = [*by, "cell"]
+    laid = celled.select(*keys, "score", "label", key).repartition(*keys).sortWithinPartitions(*keys, "score")
     kinds = dict(laid.dtypes)
     schema = ", ".join(f"k{i} {kinds[k]}" for i, k in enumerate(keys)) + ", pos array<long>, neg array<long>, won array<long>"
-    sums = laid.mapInArrow(_accumulate(len(keys), reps, seed), schema).toDF(*keys, "pos", "neg", "won")
-    by = [*group, "which"]
+    sums = laid.mapInArrow(_accumulate(len(keys), reps, drawn), schema).toDF(*keys, "pos", "neg", "won")
 
     def join_cells(table: pa.Table) -> pa.Table:
         """The cells of one group, ``cells`` of them at most, in order of their scores."""
@@ -142,6 +167,71 @@ def replicate_auc(
     return sums.groupBy(*by).applyInArrow(join_cells, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", rep int, auc double")
 
 
+BLOCK, TURN = 1 << 20, 10  # draws of a class and replicates that are made at once
+HELD = 1 << 15  # rows whose draws are counted at once: places in them, and their counts, fit two bytes
+PARTS = 200  # tasks that make draws: their input is a few numbers, which says nothing about the work
+
+
+def _picks(n_group: int, reps: int, seed: int, block: int, held: int):
+    """(group..., label, size, block, turn) -> (group..., label, held, rep, places): where the draws of a block land, as two-byte places in ``held`` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for *group, label, size, at, turn in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = hash_array(np.arange(at * block, min(size, (at + 1) * block)) * 2 + label, seed + 1)
+                for rep in range(turn * TURN, min(reps, (turn + 1) * TURN)):
+                    h = hash_array(own ^ hash_array(np.array([rep]), seed + 2), seed)
+                    pick = np.sort(h % np.uint32(size) if size < 1 << 31 else h)
+                    cut = np.searchsorted(pick, np.arange(0, size + held, held).astype(np.uint32)).tolist()
+                    places = (pick % np.uint32(held)).astype("<u2")
+                    full = [k for k in range(len(cut) - 1) if cut[k] < cut[k + 1]]
+                    cols = [pa.array([v] * len(full), b.column(i).type) for i, v in enumerate([*group, label])]
+                    found = [pa.array(full, pa.int64()), pa.array([rep] * len(full), pa.int32()), pa.array([places[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*cols, *found], names=[*(f"k{i}" for i in range(n_group + 1)), "held", "rep", "places"])
+
+    return run
+
+
+def exact_auc(
+    rows: DataFrame, group: list[str], score: str, label: str = "label", index: str = "idx", reps: int = REPS, seed: int = 0, domain=(0.0, 1.0),
+    cells: int = CELLS, block: int = BLOCK, held: int = HELD,
+) -> DataFrame:
+    """(group..., rep, auc) over the draws of ``draw_multiplicities``: n of n from every class.
+
+    Where a draw lands depends on its number and the size of the class alone, so draws are made without rows. They go to the
+    ``held`` rows they land in as two bytes each, and are counted there for each score; then scores go past accumulators as in ``replicate_auc``.
+    """
+    by = [*group, "label"]
+    pts = durable(rows.select(*group, F.col(label).cast("int").alias("label"), F.col(index).cast("bigint").alias("idx"), F.col(score).cast("double").alias("score")))
+    sizes = pts.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n))
+    work = sizes.select("*", upto(F.floor((F.col("size") - 1) / F.lit(block))).alias("block")).select("*", upto(F.lit((reps - 1) // TURN).cast("bigint")).alias("turn"))
+    kinds = dict(pts.dtypes)
+    named = ", ".join(f"`{c}` {kinds[c]}" for c in by)
+    key = ", ".join(f"k{i} {kinds[c]}" for i, c in enumerate(by))
+    picks = work.repartition(PARTS, *by, "block", "turn").mapInArrow(_picks(len(group), reps, seed, block, held), key + ", held bigint, rep int, places binary").toDF(*by, "held", "rep", "places")
+    there = pts.select(*by, F.floor(F.col("idx") / F.lit(held)).cast("bigint").alias("held"), (F.col("idx") % F.lit(held)).cast("int").alias("place"), "score")
+
+    def count(points: pa.Table, picked: pa.Table) -> pa.Table:
+        value = points["score"].to_numpy()
+        clean = ~np.isnan(value)  # a null score is NaN here
+        values, code = np.unique(value[clean], return_inverse=True)
+        at = np.full(held, len(values))
+        at[points["place"].to_numpy()[clean]] = code
+        times = np.zeros((reps, len(values)), dtype=np.int64)
+        for rep, places in zip(picked["rep"].to_pylist(), picked["places"].to_pylist(), strict=True):
+            times[rep] += np.bincount(at[np.frombuffer(places, dtype="<u2")], minlength=len(values) + 1)[: len(values)]
+        if times.size and times.max() > 0xFFFF:
+            raise OverflowError("more draws of a score than two bytes count")
+        cols = [pa.array([points[c][0].as_py()] * len(values), points[c].type) for c in by]
+        data = [pa.array(values), pa.array([x.tobytes() for x in times.T.astype("<u2")], pa.binary())]
+        return pa.table([*cols, *data], names=[*by, "score", "times"])
+
+    counted = there.groupBy(*by, "held").cogroup(picks.groupBy(*by, "held")).applyInArrow(count, named + ", score double, times binary")
+    areas = _areas(counted.withColumn("which", F.lit(score)), [*group, "which"], "times", _stored(reps), reps, domain, cells)
+    return areas.drop("which")
+
+
 def drawn_auc(drawn: DataFrame, group: list[str], score: str, label: str = "label", domain=(0.0, 1.0)) -> DataFrame:
     """(group..., rep, auc) of rows that are there once for each replicate that takes them, with ``times``."""
     keys = [*group, "rep"]
