@@ -56,15 +56,22 @@ def hash_order(key: Column | str, seed: int = 0) -> Column:
 
 def hash_array(keys: np.ndarray, seed: int = 0) -> np.ndarray:
     """``hash_order`` of an array of 64-bit integers, as unsigned 32-bit ones: only the low 31 bits of a product are kept."""
-    a, b = _seed_parts(seed)
     k = keys.astype(np.int64)
-    x = ((k ^ (k >> 31)) & MASK).astype(np.uint32) ^ np.uint32(a)
+    return mixed(((k ^ (k >> 31)) & MASK).astype(np.uint32), seed)
+
+
+def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
+    """``hash_order`` of 31-bit values, which it overwrites: unsigned 32-bit ones, so nothing is made but one array of their size."""
+    a, b = _seed_parts(seed)
+    x ^= np.uint32(a)
+    t = np.empty_like(x)
     for n, m, s in ((16, FIRST, b), (15, SECOND, 0), (16, FIRST, 0)):
-        x ^= x >> np.uint32(n)
+        x ^= np.right_shift(x, np.uint32(n), out=t)
         x *= np.uint32(m)
         x &= np.uint32(MASK)
         x ^= np.uint32(s)
-    return x ^ (x >> np.uint32(15))
+    x ^= np.right_shift(x, np.uint32(15), out=t)
+    return x
 
 
 def draw_batches(a: Column | str, b: Column | str, seed: int = 0) -> Column:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograde.functions.hashing import draw, draw_batches, hash_array, poisson_limits
+from heliograde.functions.hashing import draw, draw_batches, hash_array, mixed, poisson_limits
 from heliograde.operators import ranking as R
 from heliograde.session import durable
 
@@ -48,12 +48,21 @@ def resampled(rows: DataFrame, key: Column | str, reps: int = REPS, seed: int =
 
 CELLS = 64  # value-ordered parts of a group and score
 ROWS = 256  # rows whose draws are made at once
+TILE = 16  # rows whose draws are mixed at once, while they are in the cache
 
 
 def _draws(keys: np.ndarray, marks: np.ndarray, seed: int) -> np.ndarray:
     """Poisson(1) multiplicity of every row (by key) in every replicate (by the hash of its number): what ``poisson_times`` gives."""
-    h = hash_array(hash_array(keys, seed + 1)[:, None] ^ marks[None, :], seed)
-    return np.searchsorted(np.array(poisson_limits(), dtype=np.uint32), h.ravel(), side="right").reshape(h.shape)
+    limits = np.array(poisson_limits(), dtype=np.uint32)
+    own = hash_array(keys, seed + 1)
+    times = np.empty((len(own), len(marks)), dtype=np.uint8)  # there are far fewer limits
+    for at in range(0, len(own), TILE):
+        h = mixed(own[at : at + TILE, None] ^ marks[None, :], seed)
+        part = times[at : at + TILE]
+        np.greater_equal(h, limits[0], out=part.view(bool))
+        for x in limits[1:]:
+            part += (h >= x).view(np.uint8)
+    return times
 
 
 def _hashed(reps: int, seed: int):
@@ -71,7 +80,7 @@ def _stored(reps: int):
     """Column of multiplicities as two bytes a replicate -> those of its rows from one place to another."""
 
     def column(times: pa.Array):
-        return lambda at, end: np.frombuffer(b"".join(times.slice(at, end - at).to_pylist()), dtype="<u2").reshape(end - at, reps).astype(np.int64)
+        return lambda at, end: np.frombuffer(b"".join(times.slice(at, end - at).to_pylist()), dtype="<u2").reshape(end - at, reps)
 
     return column
 
@@ -108,8 +117,8 @@ def _accumulate(n_keys: int, reps: int, drawn):
                 end = min(b.num_rows, at + ROWS)
                 times = take(at, end)
                 starts = np.unique(np.append(at, runs[(runs > at) & (runs < end)]))
-                pos = np.add.reduceat(times * (label[at:end] == 1)[:, None], starts - at, axis=0)
-                neg = np.add.reduceat(times * (label[at:end] == 0)[:, None], starts - at, axis=0)
+                pos = np.add.reduceat(times * (label[at:end] == 1)[:, None], starts - at, axis=0, dtype=np.int64)
+                neg = np.add.reduceat(times * (label[at:end] == 0)[:, None], starts - at, axis=0, dtype=np.int64)
                 for i, s in enumerate(starts.tolist()):
                     if keys[s] != cell:
                         if cell is not None:
@@ -180,7 +189,7 @@ def _picks(n_group: int, reps: int, seed: int, block: int, held: int):
             for *group, label, size, at, turn in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 own = hash_array(np.arange(at * block, min(size, (at + 1) * block)) * 2 + label, seed + 1)
                 for rep in range(turn * TURN, min(reps, (turn + 1) * TURN)):
-                    h = hash_array(own ^ hash_array(np.array([rep]), seed + 2), seed)
+                    h = mixed(own ^ hash_array(np.array([rep]), seed + 2), seed)
                     pick = np.sort(h % np.uint32(size) if size < 1 << 31 else h)
                     cut = np.searchsorted(pick, np.arange(0, size + held, held).astype(np.uint32)).tolist()
                     places = (pick % np.uint32(held)).astype("<u2")
