@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograde.functions.hashing import hash_order
@@ -17,6 +17,12 @@ from heliograde.operators.compare import ordinal_rank
 from heliograde.operators.sampling import take_per_group
 from heliograde.session import durable
 
+DIRECT = 10_000_000  # pairs of positions compared without going to smaller cells
+FEW_PAIRS = 1_000_000  # ordered pairs within the widest separation that one graph for all separations may hold
+
+DIRECT = 10_000_000  # pairs of positions compared without going to smaller cells
+FEW_PAIRS = 1_000_000  # ordered pairs within the widest separation that one graph for all separations may hold
+
 
 def spaced_points(points: DataFrame, ident: str, separation: float, seeds: DataFrame | None = None, seed_id: str | None = None,
                   group: list[str] | None = None, seed: int = 0) -> DataFrame:
@@ -152,63 +158,227 @@ def connected_components(nodes: DataFrame, edges: DataFrame, by: list[str] | Non
         before = after
 
 
-def chain_clusters(df: DataFrame, ident: str, separation: float) -> DataFrame:
-    """(ident, cluster_id): rows linked by steps of at most ``separation`` metres.
+def _levels(separation: float) -> tuple[float, int]:
+    """(fine, up): cells of size ``fine`` shifted ``up`` bits are cells whose diagonal is the separation."""
+    size = separation / math.sqrt(3.0)
+    up = max(0, math.floor(math.log2(size / G.FINEST_CELL)))
+    return size / 2**up, up
+
+
+def _boxes(keyed: DataFrame, shift: int, *more) -> DataFrame:
+    """(cell, cnt, lo, hi, more...): positions in each cell and their tight bounds."""
+    bound = lambda f: F.struct(*[f(c).alias(c) for c in "xyz"])
+    return keyed.groupBy(G._key(shift).alias("cell")).agg(F.count(F.lit(1)).alias("cnt"), bound(F.min).alias("lo"), bound(F.max).alias("hi"), *more)
+
+
+def _gaps() -> tuple[Column, Column]:
+    """Smallest and largest possible distance between the occupants of two cells."""
+    low, high = F.lit(0.0), F.lit(0.0)
+    for c in "xyz":
+        ahead, behind = F.col(f"a.lo.{c}") - F.col(f"b.hi.{c}"), F.col(f"b.lo.{c}") - F.col(f"a.hi.{c}")
+        near, far = F.greatest(ahead, behind, F.lit(0.0)), F.greatest(-ahead, -behind)
+        low, high = low + near * near, high + far * far
+    return F.sqrt(low), F.sqrt(high)
+
 
-    Rows in one cell (diagonal = separation) are linked by construction. Between cells it is
-    enough to know whether any pair is close, found by descending into nested cells once per
-    (position, neighbouring cell), so a crowded cell is not paired with itself. The cluster
-    id is the smallest row id in it.
+def _relabelled(pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label, new) of the labels in ``links``, and the ``pairs`` (la, lb, ...) that still join two of them."""
+    ends = links.select(F.col("la").alias("node")).union(links.select("lb")).distinct()
+    to = durable(connected_components(ends, links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("label", "new"))
+    for c in ("la", "lb"):
+        pairs = pairs.join(to.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+    return to.withColumnRenamed("node", "label"), pairs.filter("la <> lb")
+
+
+def _merged(of: DataFrame, to: DataFrame) -> DataFrame:
+    return durable(of.join(to, "label", "left").select("top", F.coalesce("new", "label").alias("label")))
+
+
+def chained_cells(spots: DataFrame, separation: float) -> DataFrame:
+    """(top, label) stored: for each cell whose diagonal is the separation the smallest ``near_id`` that its positions reach by steps no longer.
+
+    ``spots`` has near_id, x, y, z, one row per position. A cell is linked in itself, and cells of half its size that touch
+    are linked, so crowded areas are joined on counts of cells alone. Only pairs of cells of different clusters are looked into, on both
+    sides at once: bounds settle a pair or rule it out, the rest goes on to smaller cells, and to positions once these are few.
     """
+    fine, up = _levels(separation)
+    keyed = spots.select("near_id", "x", "y", "z", *G._indices(fine))
+    half = keyed.groupBy(G._key(max(up - 1, 0)).alias("cell"), G._key(up).alias("top")).agg(F.min("near_id").alias("first"))
+    half = durable(half)
+    of = durable(half.groupBy("top").agg(F.min("first").alias("label")))
+    if up:
+        own = half.join(of, "top")
+        touching = own.select(F.col("label").alias("a"), F.explode(F.array(*[F.col("cell") + F.lit(o) for o in G._ring(1, half=True)])).alias("cell"))
+        touching = touching.join(own.select("cell", F.col("label").alias("b")), "cell").filter("a <> b").select("a", "b")
+        label = connected_components(of.select(F.col("label").alias("node")), touching)
+        of = _merged(of, label.select(F.col("node").alias("label"), F.col("label").alias("new")))
+    if of.select("label").distinct().limit(2).count() < 2:
+        return of
+    around = of.select(F.col("top").alias("ca"), F.col("label").alias("la"), F.explode(F.array(*[F.col("top") + F.lit(o) for o in G._ring(2, half=True)])).alias("cb"))
+    pairs = around.join(of.select(F.col("top").alias("cb"), F.col("label").alias("lb")), "cb").filter("la <> lb")
+    shift, low_high = up, _gaps()
+    while True:
+        boxes = _boxes(keyed, shift)
+        wide = pairs.alias("p").join(boxes.alias("a"), F.col("ca") == F.col("a.cell")).join(boxes.alias("b"), F.col("cb") == F.col("b.cell"))
+        wide = wide.filter(low_high[0] <= separation + G.SLACK)
+        pairs = durable(wide.select("ca", "cb", "la", "lb", (F.col("a.cnt") * F.col("b.cnt")).alias("work"), (low_high[1] <= separation).alias("sure")))
+        work, sure = pairs.agg(F.sum("work"), F.count_if("sure")).first()
+        if work is not None and work > DIRECT and sure:
+            to, pairs = _relabelled(pairs, pairs.filter("sure"))
+            of, pairs = _merged(of, to), durable(pairs)
+            work = pairs.agg(F.sum("work")).first()[0]
+        if work is None:
+            return of
+        if work <= DIRECT or shift == 0:
+            break
+        down = max(shift - 2, 0)
+        parts = keyed.select(G._key(shift).alias("parent"), G._key(down).alias("cell")).distinct()
+        for c in ("a", "b"):
+            pairs = pairs.join(parts.select(F.col("parent").alias(f"c{c}"), F.col("cell").alias(f"n{c}")), f"c{c}")
+        pairs, shift = pairs.select(F.col("na").alias("ca"), F.col("nb").alias("cb"), "la", "lb"), down
+    points = keyed.select(G._key(shift).alias("cell"), "x", "y", "z")
+    met = pairs.join(points.alias("a"), F.col("ca") == F.col("a.cell")).join(points.alias("b"), F.col("cb") == F.col("b.cell"))
+    d = F.round(G.chord(tuple(F.col(f"a.{c}") for c in "xyz"), tuple(F.col(f"b.{c}") for c in "xyz")), 3)
+    links = durable(met.filter(d <= separation).select("la", "lb").distinct())
+    return of if links.isEmpty() else _merged(of, _relabelled(pairs, links)[0])
+
+
+def _levels(separation: float) -> tuple[float, int]:
+    """(fine, up): cells of size ``fine`` shifted ``up`` bits are cells whose diagonal is the separation."""
     size = separation / math.sqrt(3.0)
-    pos = G.positions(df, [], ident)
-    depth = max(0, math.floor(math.log(size / G.FINEST_CELL, 8)))
-    spots = durable(pos.select("*", *G._indices(size / 8**depth)).withColumn("own", G._key(3 * depth)).drop("ix", "iy", "iz"))
-    search = ["lon", "lat", "own", "home"]
-    links = G._descend(spots.drop("near_id"), spots.drop("lon", "lat", "own"), [], search, size, G._ring(2, half=True), separation)
-    edges = links.select(F.col("own").alias("a"), F.col("home").alias("b")).distinct()
-    cells = spots.select(F.col("own").alias("node")).distinct()
-    label = connected_components(cells, edges)
-    member = df.select(ident, "lon", "lat").join(spots.select("lon", "lat", "own"), ["lon", "lat"]).join(
-        label, F.col("own") == F.col("node")
-    ).select(ident, "label")
-    smallest = member.groupBy("label").agg(F.min(ident).alias("cluster_id"))
-    return member.join(smallest, "label").select(ident, "cluster_id")
-
-
-def spanning_forest(df: DataFrame, ident: str, reach: float) -> DataFrame:
-    """(a, b, dist_m): the minimum spanning forest over distinct positions with steps of at most ``reach`` metres.
-
-    Rounds in which every tree picks its shortest step to another tree, ties by the two ids, so that picks of one round never
-    close a ring; trees at least halve in number. Cells that hold one tree alone are not entered, so the inside of a tree
-    costs a look at the cells around it. A tree without a step in reach is done and leaves the search. Positions are named
-    by their smallest id.
+    up = max(0, math.floor(math.log2(size / G.FINEST_CELL)))
+    return size / 2**up, up
+
+
+def _boxes(keyed: DataFrame, shift: int, *more) -> DataFrame:
+    """(cell, cnt, lo, hi, more...): positions in each cell and their tight bounds."""
+    bound = lambda f: F.struct(*[f(c).alias(c) for c in "xyz"])
+    return keyed.groupBy(G._key(shift).alias("cell")).agg(F.count(F.lit(1)).alias("cnt"), bound(F.min).alias("lo"), bound(F.max).alias("hi"), *more)
+
+
+def _gaps() -> tuple[Column, Column]:
+    """Smallest and largest possible distance between the occupants of two cells."""
+    low, high = F.lit(0.0), F.lit(0.0)
+    for c in "xyz":
+        ahead, behind = F.col(f"a.lo.{c}") - F.col(f"b.hi.{c}"), F.col(f"b.lo.{c}") - F.col(f"a.hi.{c}")
+        near, far = F.greatest(ahead, behind, F.lit(0.0)), F.greatest(-ahead, -behind)
+        low, high = low + near * near, high + far * far
+    return F.sqrt(low), F.sqrt(high)
+
+
+def _relabelled(pairs: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(label, new) of the labels in ``links``, and the ``pairs`` (la, lb, ...) that still join two of them."""
+    ends = links.select(F.col("la").alias("node")).union(links.select("lb")).distinct()
+    to = durable(connected_components(ends, links.select(F.col("la").alias("a"), F.col("lb").alias("b"))).withColumnRenamed("label", "new"))
+    for c in ("la", "lb"):
+        pairs = pairs.join(to.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+    return to.withColumnRenamed("node", "label"), pairs.filter("la <> lb")
+
+
+def _merged(of: DataFrame, to: DataFrame) -> DataFrame:
+    return durable(of.join(to, "label", "left").select("top", F.coalesce("new", "label").alias("label")))
+
+
+def chained_cells(spots: DataFrame, separation: float) -> DataFrame:
+    """(top, label) stored: for each cell whose diagonal is the separation the smallest ``near_id`` that its positions reach by steps no longer.
+
+    ``spots`` has near_id, x, y, z, one row per position. A cell is linked in itself, and cells of half its size that touch
+    are linked, so crowded areas are joined on counts of cells alone. Only pairs of cells of different clusters are looked into, on both
+    sides at once: bounds settle a pair or rule it out, the rest goes on to smaller cells, and to positions once these are few.
     """
-    spots = durable(G.positions(df, [], ident).select("near_id", F.col("near_id").alias("tag"), "x", "y", "z"))
-    forest = None
+    fine, up = _levels(separation)
+    keyed = spots.select("near_id", "x", "y", "z", *G._indices(fine))
+    half = keyed.groupBy(G._key(max(up - 1, 0)).alias("cell"), G._key(up).alias("top")).agg(F.min("near_id").alias("first"))
+    half = durable(half)
+    of = durable(half.groupBy("top").agg(F.min("first").alias("label")))
+    if up:
+        own = half.join(of, "top")
+        touching = own.select(F.col("label").alias("a"), F.explode(F.array(*[F.col("cell") + F.lit(o) for o in G._ring(1, half=True)])).alias("cell"))
+        touching = touching.join(own.select("cell", F.col("label").alias("b")), "cell").filter("a <> b").select("a", "b")
+        label = connected_components(of.select(F.col("label").alias("node")), touching)
+        of = _merged(of, label.select(F.col("node").alias("label"), F.col("label").alias("new")))
+    if of.select("label").distinct().limit(2).count() < 2:
+        return of
+    around = of.select(F.col("top").alias("ca"), F.col("label").alias("la"), F.explode(F.array(*[F.col("top") + F.lit(o) for o in G._ring(2, half=True)])).alias("cb"))
+    pairs = around.join(of.select(F.col("top").alias("cb"), F.col("label").alias("lb")), "cb").filter("la <> lb")
+    shift, low_high = up, _gaps()
     while True:
-        pairs = G.foreign_pairs(spots, reach)
-        step = F.struct("dist_m", F.least("own_id", "near_id").alias("a"), F.greatest("own_id", "near_id").alias("b"), "ptag")
-        picked = durable(pairs.groupBy("tag").agg(F.min(step).alias("s")).select("tag", "s.*"))
-        edges = picked.select("a", "b", "dist_m").distinct()
-        forest = edges if forest is None else forest.unionByName(edges)
-        if picked.isEmpty():
-            return forest
-        trees = connected_components(picked.select(F.col("tag").alias("node")), picked.select(F.col("tag").alias("a"), F.col("ptag").alias("b")))
-        spots = durable(spots.join(trees.select(F.col("node").alias("tag"), "label"), "tag").select("near_id", F.col("label").alias("tag"), "x", "y", "z"))
+        boxes = _boxes(keyed, shift)
+        wide = pairs.alias("p").join(boxes.alias("a"), F.col("ca") == F.col("a.cell")).join(boxes.alias("b"), F.col("cb") == F.col("b.cell"))
+        wide = wide.filter(low_high[0] <= separation + G.SLACK)
+        pairs = durable(wide.select("ca", "cb", "la", "lb", (F.col("a.cnt") * F.col("b.cnt")).alias("work"), (low_high[1] <= separation).alias("sure")))
+        work, sure = pairs.agg(F.sum("work"), F.count_if("sure")).first()
+        if work is not None and work > DIRECT and sure:
+            to, pairs = _relabelled(pairs, pairs.filter("sure"))
+            of, pairs = _merged(of, to), durable(pairs)
+            work = pairs.agg(F.sum("work")).first()[0]
+        if work is None:
+            return of
+        if work <= DIRECT or shift == 0:
+            break
+        down = max(shift - 2, 0)
+        parts = keyed.select(G._key(shift).alias("parent"), G._key(down).alias("cell")).distinct()
+        for c in ("a", "b"):
+            pairs = pairs.join(parts.select(F.col("parent").alias(f"c{c}"), F.col("cell").alias(f"n{c}")), f"c{c}")
+        pairs, shift = pairs.select(F.col("na").alias("ca"), F.col("nb").alias("cb"), "la", "lb"), down
+    points = keyed.select(G._key(shift).alias("cell"), "x", "y", "z")
+    met = pairs.join(points.alias("a"), F.col("ca") == F.col("a.cell")).join(points.alias("b"), F.col("cb") == F.col("b.cell"))
+    d = F.round(G.chord(tuple(F.col(f"a.{c}") for c in "xyz"), tuple(F.col(f"b.{c}") for c in "xyz")), 3)
+    links = durable(met.filter(d <= separation).select("la", "lb").distinct())
+    return of if links.isEmpty() else _merged(of, _relabelled(pairs, links)[0])
+
+
+def chain_clusters(df: DataFrame, ident: str, separation: float) -> DataFrame:
+    """(ident, cluster_id): rows linked by steps of at most ``separation`` metres.
+
+    The cluster id is the smallest row id in it. Rows without a position have no cluster.
+    """
+    fine, up = _levels(separation)
+    spots = durable(G.positions(df.filter("lon IS NOT NULL AND lat IS NOT NULL"), [], ident).select("near_id", "x", "y", "z"))
+    of = chained_cells(spots, separation)
+    rows = df.select(ident, *G.ecef("lon", "lat")).select(ident, *G._indices(fine)).select(ident, G._key(up).alias("top"))
+    return rows.join(of, "top").select(ident, F.col("label").alias("cluster_id"))
 
 
 def separation_sweep(df: DataFrame, ident: str, separations: list[float]) -> DataFrame:
     """(separation, clusters, largest): clusters of ``chain_clusters`` and rows of the largest, for every separation.
 
-    Two rows share a cluster at a separation exactly if the forest joins them by steps no longer, so one forest up to the
-    largest separation serves all; each separation is then a graph of at most one edge a position.
+    Separations are taken in rising order, each a run over the cells of the distinct positions; once all is one cluster the
+    wider ones have the same. Where positions are so few that their pairs within the widest fit a small table, one graph of these serves all.
     """
-    forest = durable(spanning_forest(df, ident, max(separations)))
-    rows = durable(df.groupBy("lon", "lat").agg(F.min(ident).alias("node"), F.count(F.lit(1)).alias("__m")).filter("lon IS NOT NULL AND lat IS NOT NULL").select("node", "__m"))
+    there = df.filter("lon IS NOT NULL AND lat IS NOT NULL").groupBy("lon", "lat").agg(F.min(ident).alias("near_id"), F.count(F.lit(1)).alias("__m"))
+    spots = durable(there.select("near_id", "__m", *G.ecef("lon", "lat")))
+    rising = sorted(separations)
+    size = rising[-1] / math.sqrt(3.0)
+    keyed = spots.select("*", *G._indices(size)).withColumn("cell", G._key(0))
+    cells = durable(keyed.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt")))
+    ring = F.array(*[F.lit(o) for o in G._ring(2)])
+    met = cells.select(F.explode(F.transform(ring, lambda o: F.col("cell") + o)).alias("cell"), F.col("cnt").alias("n")).join(cells, "cell")
+    if (met.agg(F.sum(F.col("n") * F.col("cnt"))).first()[0] or 0) <= FEW_PAIRS:
+        return _sweep_pairs(keyed, rising, ring)
+    out = None
+    for k, s in enumerate(rising):
+        fine, up = _levels(s)
+        of = chained_cells(spots, s)
+        rows = spots.select("__m", *G._indices(fine)).groupBy(G._key(up).alias("top")).agg(F.sum("__m").alias("__m"))
+        sums = rows.join(of, "top").groupBy("label").agg(F.sum("__m").alias("__m"))
+        row = sums.agg(F.count(F.lit(1)).alias("clusters"), F.max("__m").alias("largest")).first()  # two numbers
+        same = rising[k:] if row.clusters <= 1 else [s]
+        got = df.sparkSession.createDataFrame([(float(t), row.clusters, row.largest) for t in same], "separation double, clusters long, largest long")
+        out = got if out is None else out.unionByName(got)
+        if row.clusters <= 1:
+            break
+    return out
+
+
+def _sweep_pairs(keyed: DataFrame, separations: list[float], ring: Column) -> DataFrame:
+    """``separation_sweep`` past the pairs of positions in neighbouring cells."""
+    left = keyed.select(F.col("near_id").alias("a"), *[F.col(c).alias(f"a{c}") for c in "xyz"], F.explode(F.transform(ring, lambda o: F.col("cell") + o)).alias("cell"))
+    d = F.round(G.chord(tuple(F.col(f"a{c}") for c in "xyz"), tuple(F.col(c) for c in "xyz")), 3)
+    near = left.join(keyed, "cell").filter(F.col("a") < F.col("near_id")).select("a", F.col("near_id").alias("b"), d.alias("dist_m")).filter(F.col("dist_m") <= separations[-1])
     every = F.explode(F.array(*[F.lit(float(s)) for s in separations])).alias("separation")
-    edges = forest.select("*", every).filter(F.col("dist_m") <= F.col("separation"))
-    nodes = rows.select("node", "__m", every)
-    label = connected_components(nodes, edges, ["separation"])
-    size = label.join(rows, "node").groupBy("separation", "label").agg(F.sum("__m").alias("__m"))
+    edges = near.select("*", every).filter(F.col("dist_m") <= F.col("separation"))
+    nodes = keyed.select(F.col("near_id").alias("node"), "__m", every)
+    label = connected_components(nodes.drop("__m"), edges, ["separation"])
+    size = label.join(keyed.select(F.col("near_id").alias("node"), "__m"), "node").groupBy("separation", "label").agg(F.sum("__m").alias("__m"))
     return size.groupBy("separation").agg(F.count(F.lit(1)).alias("clusters"), F.max("__m").alias("largest"))
