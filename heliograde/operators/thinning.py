@@ -95,40 +95,36 @@ def trim_densest(df: DataFrame, ident: str, group: str, keep: DataFrame, radii:
     and again. Two rows that are each other's nearest lose their lower id whatever happens
     elsewhere, so all such pairs go in one round; removal distances only grow, so ordering
     all removals by (distance, id) gives the sequential order and the first n - keep of
-    each group are the answer. The default radii span the earth; a group that cannot be brought down to what it may keep (less
+    each group are the answer. Copies of a position go in closed form, so rounds do not grow with them. The default radii span the earth; a group that cannot be brought down to what it may keep (less
     than one row, or radii too short) is an error, never a short answer.
     """
     size = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     quota = durable(size.join(keep, group).select(group, F.greatest(F.col("__n") - F.col("keep"), F.lit(0)).alias("__cut")).filter("__cut > 0"))
-    alive = durable(df.join(quota, group).select(ident, group, "lon", "lat"))
-    removed = None
+    rows = durable(df.filter("lon IS NOT NULL AND lat IS NOT NULL").join(quota, group).select(ident, group, "lon", "lat"))
+    # Of rows at one position all but the highest id go at distance 0, whatever else there is.
+    alive = durable(rows.groupBy(group, "lon", "lat").agg(F.max(ident).alias(ident)))
+    removed = durable(rows.join(alive.select(ident), ident, "left_anti").select(group, ident, F.lit(0.0).alias("dist_m")))
     for radius in radii:
-        while True:
+        while not alive.isEmpty():
             nn = durable(G.nearest_other(alive, ident, radius, [group]).select(group, ident, "near_id", "dist_m"))
             back = nn.select(group, F.col(ident).alias("near_id"), F.col("near_id").alias(ident))
             gone = durable(nn.join(back, [group, ident, "near_id"]).filter(F.col(ident) < F.col("near_id")).select(group, ident, "dist_m"))
-            if gone.isEmpty():
-                break
-            removed = gone if removed is None else removed.unionByName(gone)
+            removed = removed.unionByName(gone)
             # A group is settled once enough rows went at distances no remaining pair can undercut.
             closest = nn.join(gone.select(ident), ident, "left_anti").groupBy(group).agg(F.min("dist_m").alias("__next"))
-            done = (
+            settled = (
                 removed.join(closest, group, "left").filter(F.col("__next").isNull() | (F.col("dist_m") < F.col("__next")))
                 .groupBy(group).agg(F.count(F.lit(1)).alias("__r")).join(quota, group).filter("__r >= __cut").select(group)
             )
-            open_nn = nn.groupBy(group).agg(F.count(F.lit(1)).alias("__c")).filter("__c > 2").select(group)
-            settled = done.join(open_nn, group, "left_semi")
             alive = durable(alive.join(gone.select(ident), ident, "left_anti").join(settled, group, "left_anti"))
-            if alive.isEmpty():
+            if gone.isEmpty():
                 break
         if alive.isEmpty():
             break
-    went = removed.groupBy(group).agg(F.count(F.lit(1)).alias("__r")) if removed is not None else quota.select(group, F.lit(0).alias("__r"))
+    went = removed.groupBy(group).agg(F.count(F.lit(1)).alias("__r"))
     short = quota.join(went, group, "left").filter(F.coalesce("__r", F.lit(0)) < F.col("__cut"))
     if not short.isEmpty():
         raise ValueError(f"some groups cannot be trimmed to what they may keep, such as {short.first()[group]!r}")
-    if removed is None:
-        return df.limit(0).select(group, ident, F.lit(0.0).alias("dist_m"), F.lit(0).alias("step"))
     ordered = ordinal_rank(removed, [group], "dist_m", ident, "step").join(quota, group)
     return ordered.filter(F.col("step") <= F.col("__cut")).select(group, ident, "dist_m", "step")
 
