@@ -6,6 +6,8 @@ the node count fits. Weights, splits and permutations are hash based and repeat.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,12 +22,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from heliograde.functions.vectors import dot, l2_norm
 from heliograde.operators import ranking as R
 from heliograde.operators.moments import outer_sums
 from heliograde.operators.sampling import balanced_weight
 
+FEATURE_ROWS = 500  # rows whose random features a task holds at once
 BYTES_PER_NODE = 40  # fixed estimate for the size of a serialised tree node
 
 
@@ -90,20 +94,27 @@ def squares(df: DataFrame, vec: str, out: str) -> DataFrame:
 def fourier_features(df: DataFrame, vec: str, out: str, dims: int = 512, gamma: float = 1.0, seed: int = 0, inputs: int = 64) -> DataFrame:
     """Random Fourier features cos(Wx + b) * sqrt(2 / dims), with W drawn once from a seed.
 
-    The projection is inputs x dims numbers, applied to whole Arrow batches.
+    The projection is inputs x dims numbers, applied to ``FEATURE_ROWS`` rows of an Arrow batch at a time: a task's Python holds the features of these alone.
     """
     rng = np.random.default_rng(seed)
     w = rng.normal(scale=np.sqrt(2 * gamma), size=(inputs, dims))
     b = rng.uniform(0, 2 * np.pi, size=dims)
 
-    @F.pandas_udf("array<double>")
-    def project(v):
-        import pandas as pd
-
-        x = np.vstack(v.to_numpy())
-        return pd.Series(list(np.sqrt(2.0 / dims) * np.cos(x @ w + b)))
-
-    return df.withColumn(out, project(F.col(vec)))
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, FEATURE_ROWS):
+                part = batch.slice(start, FEATURE_ROWS)
+                x = part.column(part.schema.get_field_index(vec))
+                if x.null_count:
+                    raise ValueError(f"{vec} holds nulls")
+                z = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, inputs) @ w
+                z += b
+                np.cos(z, out=z)
+                z *= np.sqrt(2.0 / dims)
+                offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * dims)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(z.ravel()))], names=[*part.schema.names, out])
+
+    return df.mapInArrow(project, StructType([*df.schema.fields, StructField(out, ArrayType(DoubleType()))]))
 
 
 def boosted(train: DataFrame, label: str = "label", seed: int = 0, iters: int = 20):
