@@ -237,6 +237,7 @@ def clear_of(left: DataFrame, right: DataFrame, left_id: str, right_id: str, dis
 
 BASE_CELL = 0.01  # degrees; each level is 4 times coarser
 LEVELS = 9
+EDGE = 1e-9  # degrees; a box covers a cell only if it reaches past its sides by more than rounding
 
 
 def _size(level: Column) -> Column:
@@ -298,14 +299,64 @@ def box_pairs(left: DataFrame, right: DataFrame, left_points: bool = False) -> D
     return out.unionByName(matched(_cells(l, only), _cells(finer, coarser(F.col("__lev") + 1))))
 
 
+def _spread(shapes: DataFrame) -> DataFrame:
+    """(lvl, cx, cy, edges, __id, full): each box in the cells it touches two levels below its own, at most 17 x 17, and whether it covers them."""
+    lv = shapes.withColumn("__own", F.greatest(_level() - 2, F.lit(0)))
+    cells = _cells(lv, F.array("__own"))
+    inside = lambda c, lo, hi: (F.col(lo) <= F.col(c) * F.col("__s") - EDGE) & ((F.col(c) + 1) * F.col("__s") + EDGE <= F.col(hi))
+    return cells.withColumn("full", inside("cx", "minx", "maxx") & inside("cy", "miny", "maxy")).drop("__s", "__own")
+
+
+def _at(level: int) -> list[Column]:
+    s = BASE_CELL * 4**level
+    return [F.floor(F.col("lon") / F.lit(s)).alias("cx"), F.floor(F.col("lat") / F.lit(s)).alias("cy")]
+
+
 def first_containing(points: DataFrame, boxes: DataFrame, box_id: str) -> DataFrame:
-    """Smallest id of a box that contains each point (NULL if none). Boxes include their edges."""
-    spots = points.select("lon", "lat").distinct().select(
-        "lon", "lat", F.col("lon").alias("minx"), F.col("lat").alias("miny"), F.col("lon").alias("maxx"), F.col("lat").alias("maxy")
-    )
-    shapes = boxes.groupBy("minx", "miny", "maxx", "maxy").agg(F.min(box_id).alias(box_id))
-    first = box_pairs(spots, shapes, left_points=True).groupBy("lon", "lat").agg(F.min(box_id).alias(box_id))
-    return points.join(first, ["lon", "lat"], "left")
+    """Smallest id of a box that contains each point (NULL if none). Boxes include their edges.
+
+    Boxes become cells first. Of the boxes that cover a cell only the smallest id counts, and of those that cross it only ids below that, so a point meets
+    one row a level and the few boxes left in its cell, however many lie over it.
+    """
+    edges = ["minx", "miny", "maxx", "maxy"]
+    where = ["lvl", "cx", "cy"]
+    shapes = durable(boxes.groupBy(*edges).agg(F.min(box_id).alias("__id")).filter("__id IS NOT NULL"))
+    spread = _spread(shapes)
+    full = durable(spread.filter("full").groupBy(*where).agg(F.min("__id").alias("best")))
+    part = spread.filter("NOT full").drop("full")
+    levels = sorted(r.lvl for r in spread.select("lvl").distinct().collect())  # 9 at most
+    for level in levels:
+        over = full.filter(F.col("lvl") == level).select(F.col("cx").alias("__ox"), F.col("cy").alias("__oy"), F.col("best").alias("__over"))
+        up = F.when(F.col("lvl") <= level, F.pow(F.lit(4.0), F.lit(level) - F.col("lvl")))  # null below: no such ancestor
+        part = part.join(over, (F.floor(F.col("cx") / up) == F.col("__ox")) & (F.floor(F.col("cy") / up) == F.col("__oy")), "left")
+        part = part.filter(F.col("__over").isNull() | (F.col("__id") < F.col("__over"))).drop("__ox", "__oy", "__over")
+    part = durable(part)
+    cells = full.select(*where, "best", F.lit(False).alias("open")).unionByName(part.select(*where, F.lit(None).cast(full.schema["best"].dataType).alias("best"), F.lit(True).alias("open")))
+    cells = durable(cells.groupBy(*where).agg(F.min("best").alias("best"), F.max("open").alias("open")))
+    marked = points.withColumns({"__best": F.lit(None).cast(full.schema["best"].dataType), "__open": F.lit(False)})
+    for level in levels:
+        own = cells.filter(F.col("lvl") == level).select(F.col("cx").alias("__x"), F.col("cy").alias("__y"), "best", "open")
+        x, y = _at(level)
+        marked = marked.join(own, (x == F.col("__x")) & (y == F.col("__y")), "left").withColumns(
+            {"__best": F.least("__best", "best"), "__open": F.col("__open") | F.coalesce("open", F.lit(False))}
+        ).drop("__x", "__y", "best", "open")
+    done = marked.filter(~F.col("__open")).withColumnRenamed("__best", box_id).drop("__open")
+    rest = marked.filter("__open").drop("__open")
+    spots = rest.select("lon", "lat").distinct()
+    met = None
+    for level in levels:
+        hit = spots.select("lon", "lat", *_at(level)).join(part.filter(F.col("lvl") == level).drop("lvl"), ["cx", "cy"])
+        hit = hit.filter((F.col("lon") >= F.col("minx")) & (F.col("lon") <= F.col("maxx")) & (F.col("lat") >= F.col("miny")) & (F.col("lat") <= F.col("maxy"))).select("lon", "lat", "__id")
+        met = hit if met is None else met.unionByName(hit)
+    if met is None:
+        return done
+    rest = rest.join(met.groupBy("lon", "lat").agg(F.min("__id").alias("__id")), ["lon", "lat"], "left")
+    return done.unionByName(rest.withColumn(box_id, F.least("__best", "__id")).drop("__best", "__id"))
+
+
+def inside_any(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Points inside some box. Which one is not asked, so a covered cell needs no box any more."""
+    return first_containing(points, boxes.select("minx", "miny", "maxx", "maxy", F.lit(0).alias("__any")), "__any").filter("__any IS NOT NULL").drop("__any")
 
 
 def overlap_summary(left: DataFrame, right: DataFrame, sums: dict[str, Column], mins: dict[str, Column], maxs: dict[str, Column]) -> DataFrame:

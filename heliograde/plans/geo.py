@@ -149,7 +149,7 @@ def box_candidates(spark, sf):
 
 @query("sm12_points_in_region", f"WITH {CAND}, {BOX} SELECT point_id FROM cand WHERE EXISTS (SELECT 1 FROM bx WHERE lon BETWEEN minx AND maxx AND lat BETWEEN miny AND maxy)", ("dense_sites",))
 def points_in_region(spark, sf):
-    return G.first_containing(box_candidates(spark, sf), boxes(spark, sf), "dense_id").filter("dense_id IS NOT NULL").select("point_id")
+    return G.inside_any(box_candidates(spark, sf), boxes(spark, sf)).select("point_id")
 
 
 @query("sm13_candidate_pool", f"""WITH {CAND}, {xyz('cand', 'point_id', 'a')}, {xyz('dense_sites', 'dense_id', 'b')}, n AS (SELECT point_id, min({DIST}) AS d FROM a, b GROUP BY point_id) SELECT point_id FROM n WHERE d >= 5000 AND d <= 20000""", ("dense_sites",))
