@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +11,14 @@ from heliograde.functions.hashing import uniform
 from heliograde.functions.scalars import METRES_PER_DEGREE, pad_box, utm_epsg
 from heliograde.operators import ranking as R
 from heliograde.operators import spatial as G
+from heliograde.session import durable
 
 # Fixed values of the compass search.
 SHIFTS_M = (8000.0, 15000.0, 25000.0)
 BEARINGS = tuple(range(0, 360, 45))
 
+CELLS_ACROSS = 16  # cells of a candidate pool to its clearance
+
 
 def sphere_points(keys: DataFrame, key: str, lat_lo: float, lat_hi: float, seeds: tuple[int, int] = (1, 2)) -> DataFrame:
     """One point per key, uniform by area between two latitudes."""
@@ -31,9 +36,26 @@ def box_points(keys: DataFrame, key: str, minx: float, miny: float, maxx: float,
 
 
 def candidate_pool(candidates: DataFrame, ident: str, sites: DataFrame, site_id: str, clear: float, reach: float) -> DataFrame:
-    """Candidates no site is closer to than ``clear`` and some site is within ``reach`` of."""
-    near = G.nearest_within(candidates, sites, site_id, reach)
-    return near.filter(F.col("dist_m") >= clear)
+    """Candidates no site is closer to than ``clear`` and some site is within ``reach`` of.
+
+    The nearest site is searched once for the centre of each cell: a candidate's own distance differs by half a diagonal at most, which
+    settles all cells but those that a limit runs through. Only candidates there are searched one by one.
+    """
+    size = max(clear, reach / 4) / CELLS_ACROSS
+    half = size * math.sqrt(3.0) / 2
+    index = ["cx", "cy", "cz"]
+    placed = candidates.select("*", *G.ecef("lon", "lat")).select(*candidates.columns, *[i.alias(n) for i, n in zip(G._indices(size), index)]).filter("lon IS NOT NULL AND lat IS NOT NULL")
+    cells = durable(placed.select(*index).distinct())
+    centres = cells.select(*index, *[((F.col(f"c{c}") + 0.5) * size).alias(c) for c in "xyz"])
+    spots = durable(G.positions(sites, [], site_id))
+    widest = reach + half + 2 * G.SLACK
+    near = G._descend(centres, spots, [], index, widest, G._ring(1), widest).groupBy(*index).agg(F.min("dist_m").alias("__d"))
+    low, high = F.col("__d") - half, F.col("__d") + half
+    kinds = near.filter((high >= clear - G.SLACK) & (low <= reach + G.SLACK))
+    kinds = durable(kinds.select(*index, ((low >= clear + G.SLACK) & (high <= reach - G.SLACK)).alias("__sure")))
+    kept = placed.join(kinds, index).drop(*index)
+    close = G.nearest_within(kept.filter("NOT __sure"), sites, site_id, reach).filter(F.col("dist_m") >= clear)
+    return kept.filter("__sure").select(*candidates.columns).unionByName(close.select(*candidates.columns))
 
 
 def label_pixels(pixels: DataFrame, footprints: DataFrame, ident: str, embed_year: str, install_year: str) -> DataFrame:
