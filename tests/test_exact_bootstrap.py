@@ -20,3 +20,20 @@ def test_exact_areas_equal_those_of_drawn_rows(spark):
         both = got.merge(want, on=["g", "rep"], how="outer")
         assert len(both) == len(want) == 69 and both[both.g == "c"].auc_x.isna().all()
         assert both.auc_x.to_numpy() == pytest.approx(both.auc_y.to_numpy(), abs=1e-12, nan_ok=True)
+
+
+def test_every_replicate_is_drawn(spark, tmp_path):
+    """The query and its SQL twin draw all replicates, and agree."""
+    import duckdb
+
+    from heliograde.plans import evaluation  # noqa: F401
+    from heliograde.plans.registry import ORACLES, QUERIES
+
+    orders = pd.DataFrame({"o_orderkey": range(1, 121), "o_custkey": [k * 7 % 31 for k in range(120)], "o_totalprice": [k * 37.5 + 900 for k in range(120)], "o_orderstatus": ["FOP"[k % 3] for k in range(120)]})
+    orders.to_parquet(tmp_path / "orders.parquet")
+    got = QUERIES["e9_bootstrap_ci_exact"](spark, str(tmp_path)).toPandas().sort_values("country")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet')")
+    want = con.execute(ORACLES["e9_bootstrap_ci_exact"]).df().sort_values("country")
+    assert got.reps.tolist() == want.reps.tolist() == [2000] * 5
+    assert got[["lo", "hi", "se"]].to_numpy() == pytest.approx(want[["lo", "hi", "se"]].to_numpy(), abs=1e-12)
