@@ -3,7 +3,7 @@
 ``replicate_auc`` gives every row an independent Poisson(1) multiplicity in each replicate, a hash of (row key, replicate), which is what
 drawing n of n with replacement tends to as n grows; replicates are arrays of sums, so no row is repeated for them.
 ``draw_multiplicities`` draws exactly n of n, for groups so small that the difference shows: draw j of replicate b lands
-on row hash(b, j) mod n. ``exact_auc`` gives the ROC areas of those draws, with two bytes moved for a draw instead of a row.
+on row hash(b, j) mod n. ``exact_auc`` gives the ROC areas of those draws, which are made where they are counted.
 """
 
 from __future__ import annotations
@@ -76,15 +76,6 @@ def _hashed(reps: int, seed: int):
     return column
 
 
-def _stored(reps: int):
-    """Column of multiplicities as two bytes a replicate -> those of its rows from one place to another."""
-
-    def column(times: pa.Array):
-        return lambda at, end: np.frombuffer(b"".join(times.slice(at, end - at).to_pylist()), dtype="<u2").reshape(end - at, reps)
-
-    return column
-
-
 def _accumulate(n_keys: int, reps: int, drawn):
     """Rows sorted by (keys..., score) -> for each keys (keys..., pos, neg, won): per replicate the drawn positives and negatives, and twice the
     pairs that positives win inside. The state is a few arrays of one number a replicate, however many rows a cell has."""
@@ -176,69 +167,75 @@ def _areas(stacked: DataFrame, by: list[str], key: str, drawn, reps: int, domain
     return sums.groupBy(*by).applyInArrow(join_cells, ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", rep int, auc double")
 
 
-BLOCK, TURN = 1 << 20, 10  # draws of a class and replicates that are made at once
-HELD = 1 << 15  # rows whose draws are counted at once: places in them, and their counts, fit two bytes
-PARTS = 200  # tasks that make draws: their input is a few numbers, which says nothing about the work
+BLOCK, TURN = 1 << 16, 100  # draws of a class that are made at once, while they are in the cache, and replicates of a task
+HELD = 1 << 15  # rows of a class in one packed row
+PARTS = 200  # tasks that make draws: the size of their input says nothing about the work
 
 
-def _picks(n_group: int, reps: int, seed: int, block: int, held: int):
-    """(group..., label, size, block, turn) -> (group..., label, held, rep, places): where the draws of a block land, as two-byte places in ``held`` rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for *group, label, size, at, turn in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = hash_array(np.arange(at * block, min(size, (at + 1) * block)) * 2 + label, seed + 1)
-                for rep in range(turn * TURN, min(reps, (turn + 1) * TURN)):
-                    h = mixed(own ^ hash_array(np.array([rep]), seed + 2), seed)
-                    pick = np.sort(h % np.uint32(size) if size < 1 << 31 else h)
-                    cut = np.searchsorted(pick, np.arange(0, size + held, held).astype(np.uint32)).tolist()
-                    places = (pick % np.uint32(held)).astype("<u2")
-                    full = [k for k in range(len(cut) - 1) if cut[k] < cut[k + 1]]
-                    cols = [pa.array([v] * len(full), b.column(i).type) for i, v in enumerate([*group, label])]
-                    found = [pa.array(full, pa.int64()), pa.array([rep] * len(full), pa.int32()), pa.array([places[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary())]
-                    yield pa.RecordBatch.from_arrays([*cols, *found], names=[*(f"k{i}" for i in range(n_group + 1)), "held", "rep", "places"])
-
-    return run
+def _landed(codes: np.ndarray, own: np.ndarray, mark: np.uint32, n_codes: int, seed: int, block: int) -> np.ndarray:
+    """How many draws of a replicate land on each code; ``own`` holds the hashes of the draws' numbers."""
+    counts = np.zeros(n_codes, dtype=np.int64)
+    size, step = np.uint32(len(codes)), max(block, n_codes)  # a count costs as much as there are codes
+    for at in range(0, len(codes), step):
+        drawn = np.empty(min(step, len(codes) - at), dtype=codes.dtype)
+        for i in range(0, len(drawn), block):
+            part = drawn[i : i + block]
+            h = mixed(own[at + i : at + i + len(part)] ^ mark, seed)
+            h -= h // size * size  # quicker than the remainder
+            codes.take(h, out=part, mode="clip")
+        counts += np.bincount(drawn, minlength=n_codes)
+    return counts
 
 
 def exact_auc(
     rows: DataFrame, group: list[str], score: str, label: str = "label", index: str = "idx", reps: int = REPS, seed: int = 0, domain=(0.0, 1.0),
-    cells: int = CELLS, block: int = BLOCK, held: int = HELD,
+    block: int = BLOCK, held: int = HELD,
 ) -> DataFrame:
     """(group..., rep, auc) over the draws of ``draw_multiplicities``: n of n from every class.
 
-    Where a draw lands depends on its number and the size of the class alone, so draws are made without rows. They go to the
-    ``held`` rows they land in as two bytes each, and are counted there for each score; then scores go past accumulators as in ``replicate_auc``.
+    Where a draw lands depends on its number and the size of the class alone, so no draw leaves the task that makes it. Scores become their
+    ranks among those of the group, packed as a few bytes each in the order of ``index``, and go once to each task, which makes ``TURN``
+    replicates of a group. A task holds 10 to 16 bytes for each row of its group, besides a few numbers for each different score.
     """
     by = [*group, "label"]
     pts = durable(rows.select(*group, F.col(label).cast("int").alias("label"), F.col(index).cast("bigint").alias("idx"), F.col(score).cast("double").alias("score")))
-    sizes = pts.groupBy(*by).agg(F.count(F.lit(1)).alias("size"))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n))
-    work = sizes.select("*", upto(F.floor((F.col("size") - 1) / F.lit(block))).alias("block")).select("*", upto(F.lit((reps - 1) // TURN).cast("bigint")).alias("turn"))
-    kinds = dict(pts.dtypes)
-    named = ", ".join(f"`{c}` {kinds[c]}" for c in by)
-    key = ", ".join(f"k{i} {kinds[c]}" for i, c in enumerate(by))
-    picks = work.repartition(PARTS, *by, "block", "turn").mapInArrow(_picks(len(group), reps, seed, block, held), key + ", held bigint, rep int, places binary").toDF(*by, "held", "rep", "places")
-    there = pts.select(*by, F.floor(F.col("idx") / F.lit(held)).cast("bigint").alias("held"), (F.col("idx") % F.lit(held)).cast("int").alias("place"), "score")
-
-    def count(points: pa.Table, picked: pa.Table) -> pa.Table:
-        value = points["score"].to_numpy()
-        clean = ~np.isnan(value)  # a null score is NaN here
-        values, code = np.unique(value[clean], return_inverse=True)
-        at = np.full(held, len(values))
-        at[points["place"].to_numpy()[clean]] = code
-        times = np.zeros((reps, len(values)), dtype=np.int64)
-        for rep, places in zip(picked["rep"].to_pylist(), picked["places"].to_pylist(), strict=True):
-            times[rep] += np.bincount(at[np.frombuffer(places, dtype="<u2")], minlength=len(values) + 1)[: len(values)]
-        if times.size and times.max() > 0xFFFF:
-            raise OverflowError("more draws of a score than two bytes count")
-        cols = [pa.array([points[c][0].as_py()] * len(values), points[c].type) for c in by]
-        data = [pa.array(values), pa.array([x.tobytes() for x in times.T.astype("<u2")], pa.binary())]
-        return pa.table([*cols, *data], names=[*by, "score", "times"])
-
-    counted = there.groupBy(*by, "held").cogroup(picks.groupBy(*by, "held")).applyInArrow(count, named + ", score double, times binary")
-    areas = _areas(counted.withColumn("which", F.lit(score)), [*group, "which"], "times", _stored(reps), reps, domain, cells)
-    return areas.drop("which")
+    values = R.clean_scores(pts, "score").select(*group, "score").distinct().withColumn("one", F.lit(1))
+    ranks = durable(R.running_sums(values, group, "score", ["one"], domain).select(*group, "score", (F.col("below_one") + 1).alias("code")))
+    coded = pts.join(ranks, [*group, "score"], "left").select(
+        *by, F.floor(F.col("idx") / F.lit(held)).cast("bigint").alias("held"), (F.col("idx") % F.lit(held)).cast("int").alias("place"), F.coalesce("code", F.lit(0)).cast("bigint").alias("code")
+    )
+    kinds = dict(coded.dtypes)
+    named = lambda names: ", ".join(f"`{c}` {kinds[c]}" for c in names)
+
+    def pack(points: pa.Table) -> pa.Table:
+        codes = np.zeros(points.num_rows, dtype=np.int64)
+        codes[points["place"].to_numpy()] = points["code"].to_numpy()
+        wide = np.min_scalar_type(codes.max()).itemsize
+        cols = [points[c].slice(0, 1) for c in (*by, "held")]
+        return pa.table([*cols, pa.array([wide], pa.int32()), pa.array([codes.astype(f"<u{wide}").tobytes()], pa.binary())], names=[*by, "held", "wide", "codes"])
+
+    def areas(packed: pa.Table) -> pa.Table:
+        packed = packed.sort_by("held")
+        turn = packed["turn"][0].as_py()
+        numbers = np.arange(turn * TURN, min(reps, (turn + 1) * TURN))
+        codes, own = [], []
+        for k in (0, 1):
+            parts = [np.frombuffer(c.as_buffer(), f"<u{w}") for x, w, c in zip(packed["label"].to_pylist(), packed["wide"].to_pylist(), packed["codes"], strict=True) if x == k]
+            codes.append(np.concatenate([np.empty(0, dtype=np.uint8), *parts]))
+            own.append(np.concatenate([np.empty(0, dtype=np.uint32), *(hash_array(np.arange(at, min(at + block, len(codes[k]))) * 2 + k, seed + 1) for at in range(0, len(codes[k]), block))]))
+        n_codes = 1 + max(int(c.max(initial=0)) for c in codes)
+        found = []
+        for mark in hash_array(numbers, seed + 2):
+            neg, pos = (_landed(codes[k], own[k], mark, n_codes, seed, block)[1:] for k in (0, 1))  # code 0 is a missing score
+            both = pos.sum() * neg.sum(dtype=np.float64)
+            found.append((pos * (2 * (np.cumsum(neg) - neg) + neg)).sum() / (2 * both) if both > 0 else np.nan)
+        kept = len(numbers) if n_codes > 1 else 0  # a group without scores has no areas
+        cols = [pa.array([packed[c][0].as_py()] * kept, packed[c].type) for c in group]
+        return pa.table([*cols, pa.array(numbers[:kept], pa.int32()), pa.array(np.array(found)[:kept], from_pandas=True)], names=[*group, "rep", "auc"])
+
+    packed = coded.groupBy(*by, "held").applyInArrow(pack, named([*by, "held"]) + ", wide int, codes binary")
+    turns = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit((reps - 1) // TURN))).alias("turn")).repartition(PARTS, *group, "turn")
+    return turns.groupBy(*group, "turn").applyInArrow(areas, ", ".join([*(f"`{c}` {kinds[c]}" for c in group), "rep int", "auc double"]))
 
 
 def drawn_auc(drawn: DataFrame, group: list[str], score: str, label: str = "label", domain=(0.0, 1.0)) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from heliograde.functions import hashing as H
 from heliograde.operators import bootstrap as B
 
 
@@ -22,6 +23,19 @@ def test_exact_areas_equal_those_of_drawn_rows(spark):
         assert both.auc_x.to_numpy() == pytest.approx(both.auc_y.to_numpy(), abs=1e-12, nan_ok=True)
 
 
+def test_ranks_of_several_widths_in_one_class(spark):
+    """Ranks of one, two and four bytes, replicates over a turn's end, and no group at all."""
+    n = 70_000
+    d = pd.DataFrame({"label": [0] * n + [1] * 50, "score": [*(np.arange(n) / n), *np.linspace(0, 1, 50)], "idx": [*range(n), *range(50)]})
+    got = B.exact_auc(spark.createDataFrame(d), [], "score", reps=103, held=200).toPandas()
+    assert sorted(got.rep) == list(range(103))
+    for rep in (0, 102):
+        pick = [H.hash_array(H.hash_array(np.arange(m) * 2 + k, 1) ^ H.hash_array(np.array([rep]), 2)) % m for k, m in ((0, n), (1, 50))]
+        neg, pos = np.sort(d.score.to_numpy()[:n][pick[0]]), d.score.to_numpy()[n:][pick[1]]
+        want = (np.searchsorted(neg, pos, "left") + np.searchsorted(neg, pos, "right")).sum() / (2 * n * 50)
+        assert got.auc[got.rep == rep].tolist() == pytest.approx([want], abs=1e-12)
+
+
 def test_every_replicate_is_drawn(spark, tmp_path):
     """The query and its SQL twin draw all replicates, and agree."""
     import duckdb
